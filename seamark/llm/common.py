@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,14 +50,21 @@ def to_arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return convert(StructType.fromDDL(schema))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder that the cluster shares and reads it back.
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the folder that the cluster shares, and reads it back.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
-    as in tests, the warehouse's neighbour serves.
+    This cuts the lineage: losing executors afterwards costs no recomputation,
+    and readers get single columns.  Shuffle files of the finished plan are let
+    go.  The folder is the session's ``spark.checkpoint.dir``; where that is
+    unset, as in tests, it lies beside the warehouse.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path, schema = f"{shared_folder(spark)}/{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
