@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, substring
+from . import decontam, minhash, packing, substring
 from .common import table
 
 #: The tokenizer file's name in the public vocabulary folder.
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -29,11 +33,13 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_pack": op10_pack,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontam.ORACLE_SQL,
+    "op4_minhash_dedup": minhash.ORACLE_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,
 }
