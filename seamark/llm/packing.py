@@ -12,6 +12,7 @@ size: no shuffle, no state beyond one block and one open window.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import zlib
@@ -32,7 +33,9 @@ STEP_TOKENS = 16 * 4096
 #: Tokens that are packed at once.
 BLOCK_TOKENS = 1 << 20
 #: Pieces of text whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
+#: ASCII punctuation that may follow a word (no apostrophe: 's and the like are tokens).
+TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -42,7 +45,9 @@ class WordIds(dict):
 
     The tokenizer drops white space before it splits, and neither its
     normaliser nor its merges look across it, so a text's ids are those of its
-    pieces in a row.
+    pieces in a row.  It also splits a letter or digit from ASCII punctuation
+    after it, so a piece's ids are those of its core and of that tail; cores are
+    remembered apart, as most words stand with and without a tail.
     """
 
     def __init__(self, path: str):
@@ -50,20 +55,45 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.cores: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        core = piece.rstrip(TAIL)
+        if core and b"<|" not in piece and b"'" not in piece and (core[-1:].isalnum() or core[-2:].decode("utf-8", "ignore").lower().isalpha()):
+            tail = piece[len(core) :]
+            out = self.core(core.lower() if core.isascii() else core) + (self.core(tail) if tail else b"")
+        else:
+            out = self.core(piece)
         if len(self) >= MEMO_WORDS:
             self.clear()
-        out = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = out
         return out
 
+    def core(self, piece: bytes) -> bytes:
+        if (out := self.cores.get(piece)) is None:
+            if piece.isascii() and piece.isalpha() and piece.islower():
+                ids = [t.id for t in self.model.tokenize(piece.decode())]
+            else:
+                ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+            out = np.array(ids, "<u4").tobytes()
+            if len(self.cores) >= MEMO_WORDS:
+                self.cores.clear()
+            if len(piece) <= 64:
+                self.cores[piece] = out
+        return out
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
 
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, kept from task to task."""
+    return WordIds(path)
+
+
 class Packer:
     """Packs one partition; ``add`` and ``flush`` give finished windows.
 
@@ -173,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = WordIds(tokenizer_path), Packer(tiers)
+        words, packer = word_ids(tokenizer_path), Packer(tiers)
         base = TaskContext.get().partitionId() << 33
         kept: dict[int, list] = {}  # document's number: doc_id, ids, tokens not yet in a window
         windows: list[tuple[int, list]] = []
