@@ -213,13 +213,14 @@ def block_links(members: DataFrame, percent: int, shingle: int, miss: float) ->
 def similar_components(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """(node, component) of every linked representative; ``table`` is ``signed_documents``, written."""
     full = table.where("n_shingles > 0 and doc_id is not null")
-    firsts = full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    firsts = written(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
     # One representative of each set; a doc_id that stands for several sets is one node.
     nodes = written(full.join(firsts, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"]).select("doc_id", "bands", "sig"))
     sigs, texts = nodes.select("doc_id", "sig"), only(docs, "doc_id", "text").where("text is not null")
 
     rows = nodes.select(F.explode("bands").alias("h"), "doc_id")
-    hubs = rows.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("h", "hub")
+    # Written, so that the join that follows is free to split a hot bucket.
+    hubs = written(rows.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("h", "hub"))
     shared = written(rows.join(hubs, "h"))  # members of buckets of two or more
     stars = shared.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     # One link is enough to join a component, so each member's likeliest is verified first.
@@ -228,7 +229,7 @@ def similar_components(docs: DataFrame, table: DataFrame, shingle: int = SHINGLE
     part = written(connected_components(links, written))
 
     now = shared.join(part, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "hub", F.coalesce("component", "doc_id").alias("component"))
-    state = now.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n")
+    state = written(now.groupBy("h").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h", "n"))
     unsettled = written(now.join(state, "h"))
 
     few = unsettled.where(F.col("n") <= SMALL)
@@ -263,7 +264,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     bounded_batches(docs.sparkSession)
     table = written(signed_documents(docs, shingle))
     components = similar_components(docs, table, shingle, percent, miss)
-    firsts = table.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    firsts = written(table.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first")))
     rows = table.select("doc_id", "n_shingles", "set_key").join(firsts, "set_key", "left").join(components, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
