@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, minhash, packing, shards, substring, urlrules
+from . import decontam, langid, media, minhash, packing, secrets, shards, substring, urlrules, warc
 from .common import table
 
 #: The tokenizer file's name in the public vocabulary folder.
@@ -21,6 +21,10 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.kd_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -50,10 +58,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_kd_shards": op2_kd_shards,
+    "op3_secret_scan": op3_secret_scan,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_media_avi": op7_media_avi,
+    "op8_warc": op8_warc,
     "op9_url_rules": op9_url_rules,
     "op10_pack": op10_pack,
 }
@@ -62,4 +72,5 @@ ORACLES: dict[str, str] = {
     "op1_decontaminate": decontam.ORACLE_SQL,
     "op4_minhash_dedup": minhash.ORACLE_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
 }
