@@ -55,7 +55,8 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     """
     t = keyed(docs).where("doc_id is not null and text is not null").select("doc_id", "tk", F.md5("text").alias("digest"))
     t = written(t)
-    groups = t.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # Written, so that the join that follows is free to split a large group.
+    groups = written(t.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"))
     return t.join(groups, "digest").where("doc_id > first").select("doc_id", "tk").distinct()
 
 
