@@ -85,3 +85,9 @@ def once_per_ttl(events: DataFrame, key: tuple[str, ...], seconds: int = 300) ->
     """
     before = F.lag("ts").over(W.partitionBy(*key).orderBy("ts", "event_id"))
     return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("ts") >= F.col("_before") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))).drop("_before")
+
+
+def after_eviction(entries: DataFrame, by: str, order: tuple[str, ...], share: float = 0.1) -> DataFrame:
+    """What stays of each cache when the oldest ``share`` of its entries, rounded up, goes."""
+    w = W.partitionBy(by)
+    return entries.withColumns({"_n": F.count("*").over(w), "_p": F.row_number().over(w.orderBy(*order))}).where(F.col("_p") > F.ceil(F.col("_n") * share)).drop("_n", "_p")
