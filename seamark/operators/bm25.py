@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import project_of, snippet, terms
+from ..sources.files import spread
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf), documents (doc_id, dl, file_path, text) and one row of corpus figures (n, avgdl)."""
+    """postings (term, doc_id, dl, tf), documents (doc_id, dl, file_path, text) and one row of corpus figures (n, avgdl)."""
 
     postings: DataFrame
     documents: DataFrame
@@ -33,9 +34,12 @@ class Index:
 
 def build(docs: DataFrame) -> Index:
     """Index of (doc_id, file_path, text)."""
-    docs = docs.select("doc_id", "file_path", "text", terms(F.col("text")).alias("terms"))
+    docs = spread(docs.select("doc_id", "file_path", "text")).select("doc_id", "file_path", "text", terms(F.col("text")).alias("terms"))
     sized = docs.select("doc_id", F.size("terms").cast("long").alias("dl"), "file_path", "text")
-    postings = docs.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    # An outer explode: else the optimiser tests for empty arrays below, which cuts every text into terms twice.
+    counted = docs.select("doc_id", F.size("terms").cast("long").alias("dl"), "terms")
+    rows = counted.select("doc_id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
+    postings = rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     return Index(postings, sized, sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
 
@@ -58,16 +62,20 @@ def scored(index: Index, queries: DataFrame) -> DataFrame:
     """
     wanted = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "term").join(wanted, "term").join(index.documents.select("doc_id", "dl"), "doc_id").crossJoin(F.broadcast(index.corpus))
+    df = hits.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))  # over tf, so that both sides are one plan and its shuffle is reused
+    rows = hits.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(index.corpus))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * idf * weight).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.1, projects: list[str] | None = None) -> DataFrame:
-    """The ``k`` best documents of each query with rank, snippet and matched terms; ties go to the smaller id."""
-    found = scored(index, queries).where(F.col("score") >= min_score)
+    """The ``k`` best documents of each query with rank, snippet and matched terms; ties go to the smaller id.
+
+    Scores are rounded to nine places first, so that sums in another order rank
+    alike.  Only the documents that are shown get their text and a snippet.
+    """
+    found = scored(index, queries).withColumn("score", F.round("score", 9)).where(F.col("score") >= min_score)
     docs = index.documents.where(project_of(F.col("file_path")).isin(projects)) if projects else index.documents
     if projects:
         found = found.join(docs.select("doc_id"), "doc_id", "left_semi")

@@ -31,7 +31,7 @@ def fused(vector: DataFrame, keyword: DataFrame, weights: DataFrame) -> DataFram
     keyword = normalised(keyword.select("query_id", "doc_id", "bm25_score", "matched_terms"), "bm25_score")
     both = vector.select("query_id", "doc_id", "vector_score").join(keyword, ["query_id", "doc_id"], "full_outer")
     kind = F.when(F.col("bm25_score").isNull(), "vector").when(F.col("vector_score").isNull(), "bm25").otherwise("hybrid")
-    both = both.join(F.broadcast(weights.select("query_id", "vector_weight", "bm25_weight")), "query_id")
+    both = both.join(weights.select("query_id", "vector_weight", "bm25_weight"), "query_id")
     v, b = F.coalesce("vector_score", F.lit(0.0)), F.coalesce("bm25_score", F.lit(0.0))
     return both.select("query_id", "doc_id", v.alias("vector_score"), b.alias("bm25_score"), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"), kind.alias("search_type"), (v * F.col("vector_weight") + b * F.col("bm25_weight")).alias("score"))
 
@@ -81,10 +81,10 @@ def hybrid_search(index: bm25.Index, embeddings: DataFrame, queries: DataFrame,
     kinds = intent.classified(queries.select("query_id", "query"))
     near = vectors.nearest(embeddings, queries.select("query_id", F.col("query_vector").alias("query")), arm)
     paths = index.documents.select(F.col("doc_id"), "file_path")
-    near = near.join(paths, near["vec_id"] == paths["doc_id"]).join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    near = near.join(paths, near["vec_id"] == paths["doc_id"]).join(queries.select("query_id", "query"), "query_id")
     vector = near.select("query_id", "doc_id", vectors.relevance(F.col("distance"), F.col("file_path"), F.col("query")).alias("vector_score"))
     keyword = bm25.search(index, queries.select("query_id", "query"), arm).select("query_id", "doc_id", F.col("score").alias("bm25_score"), "matched_terms")
     both = fused(vector, keyword, kinds)
-    both = both.join(F.broadcast(kinds.select("query_id", intent.technical_terms(F.col("query")).alias("technical"))), "query_id")
+    both = both.join(kinds.select("query_id", intent.technical_terms(F.col("query")).alias("technical")), "query_id")
     out = cut(boosted(both, technical=F.col("technical")), least, k)
     return out.select("query_id", "rank", "doc_id", "score", "vector_score", "bm25_score", "search_type")

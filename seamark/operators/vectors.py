@@ -24,16 +24,16 @@ def inner_product(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
     """query_id, rank, vec_id, distance: the exact ``k`` nearest of (vec_id, embedding) for a stated query set (query_id, query).
 
-    Each partition of the vectors meets all queries; only a partition's ``k``
-    best of each query are shuffled, so rows move by queries times partitions.
+    Every vector meets every query, in blocks of partitions where the queries
+    are too many to be sent whole.  A row number cut at ``k`` is a group limit:
+    each task keeps its ``k`` best of a query before anything is shuffled.
     """
     distance = squared_distance(F.col("embedding"), F.col("query")) if metric == "l2" else -inner_product(F.col("embedding"), F.col("query"))
-    pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(queries.select("query_id", "query")))
-    pairs = pairs.select("query_id", "vec_id", distance.alias("distance"), F.spark_partition_id().alias("_p"))
-    order = (F.col("distance"), F.col("vec_id"))
-    local = pairs.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "_p").orderBy(*order))).where(F.col("_n") <= k)
-    top = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "vec_id", (F.col("distance") if metric == "l2" else -F.col("distance")).alias("distance" if metric == "l2" else "similarity"))
+    pairs = vectors.select("vec_id", "embedding").crossJoin(queries.select("query_id", "query"))
+    pairs = pairs.select("query_id", "vec_id", F.round(distance, 9).alias("distance"))
+    order = W.partitionBy("query_id").orderBy("distance", "vec_id")
+    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("query_id", "rank", "vec_id", F.col("distance") if metric == "l2" else (-F.col("distance")).alias("similarity"))
 
 
 def relevance(distance: Column, path: Column, query: Column) -> Column:
@@ -83,6 +83,6 @@ def coarse_index(vectors: DataFrame, lists: int | None = None, seed: int = 7) ->
 def probe(index: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, lists: int = 8) -> DataFrame:
     """Approximate ``nearest``: only the ``lists`` lists nearest to a query are read."""
     reach = nearest(centers.select(F.col("list").alias("vec_id"), F.col("center").alias("embedding")), queries, lists).select("query_id", F.col("vec_id").alias("list"))
-    pairs = index.join(F.broadcast(reach), "list").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    pairs = index.join(reach, "list").join(queries.select("query_id", "query"), "query_id")
     pairs = pairs.select("query_id", "vec_id", squared_distance(F.col("embedding"), F.col("query")).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)

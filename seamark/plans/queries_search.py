@@ -45,7 +45,7 @@ def b1(spark, sf):
 
 @register("b2_postings", f"WITH {_DOCS}, {_INDEX} SELECT term, doc_id, tf FROM ps")
 def b2(spark, sf):
-    return bm25.build(documents(spark, sf)).postings
+    return bm25.build(documents(spark, sf)).postings.select("term", "doc_id", "tf")
 
 
 @register("a9_corpus_stats", f"WITH {_DOCS}, {_INDEX} SELECT count(*) AS total_documents, round(avg(dl), 6) AS average_document_length, CAST(sum(dl) AS BIGINT) AS total_terms, (SELECT count(DISTINCT term) FROM ps) AS vocabulary_size FROM dl")
@@ -68,21 +68,16 @@ _TOP = " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 @register("b4_search", _BASE + ", r AS (" + _TOP.format("round(score, 9)", "(SELECT * FROM sc WHERE score >= 0.1)", 10) + ") SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
 def b4(spark, sf):
-    found = bm25.scored(bm25.build(documents(spark, sf)), questions(spark, sf)).withColumn("score", F.round("score", 9)).where("score >= 0.1")
-    from pyspark.sql import Window as W
-
-    top = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
-    return top.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    found = bm25.search(bm25.build(documents(spark, sf)), questions(spark, sf))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register(
     "b5_snippets",
-    _BASE + ", m AS (SELECT query_id, doc_id, text, list_min(list_transform(matched, lambda t: instr(lower(text), t))) - 1 AS p FROM sc JOIN docs USING (doc_id)), w AS (SELECT *, greatest(0, p - 100) AS a, least(length(text), greatest(0, p - 100) + 200) AS b FROM m) SELECT query_id, doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM w",
+    _BASE + ", k AS (SELECT query_id, doc_id, matched FROM sc WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10), m AS (SELECT query_id, doc_id, text, list_min(list_transform(matched, lambda t: instr(lower(text), t))) - 1 AS p FROM k JOIN docs USING (doc_id)), w AS (SELECT *, greatest(0, p - 100) AS a, least(length(text), greatest(0, p - 100) + 200) AS b FROM m) SELECT query_id, doc_id, CASE WHEN a > 0 THEN '...' ELSE '' END || substring(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM w",
 )
 def b5(spark, sf):
-    index = bm25.build(documents(spark, sf))
-    found = bm25.scored(index, questions(spark, sf)).join(index.documents.select("doc_id", "text"), "doc_id")
-    return found.select("query_id", "doc_id", T.snippet(F.col("text"), F.col("matched_terms")).alias("snippet"))
+    return bm25.search(bm25.build(documents(spark, sf)), questions(spark, sf)).select("query_id", "doc_id", "snippet")
 
 
 @register("b6_scoped_search", _BASE + ", r AS (" + _TOP.format("round(score, 9)", "(SELECT sc.* FROM sc JOIN docs USING (doc_id) WHERE score >= 0.1 AND split_part(file_path, '/', 1) IN ('src1', 'src2'))", 5) + ") SELECT query_id, rank, doc_id FROM r")

@@ -55,6 +55,16 @@ LARGEST, LARGEST_SNIFFED, SNIFFED = 10 * 1024 * 1024, 100 * 1024, 1024
 # End of fixed values.
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer partitions than cores to all of them; one of more stays as it is.
+
+    A small file of long texts is one split, and what explodes it would run on
+    one core.  A large input has splits enough and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """file_path (below the root), size, modified and, if asked for, content (bytes) of every file outside skipped folders.
 
