@@ -86,5 +86,5 @@ def hybrid_search(index: bm25.Index, embeddings: DataFrame, queries: DataFrame,
     keyword = bm25.search(index, queries.select("query_id", "query"), arm).select("query_id", "doc_id", F.col("score").alias("bm25_score"), "matched_terms")
     both = fused(vector, keyword, kinds)
     both = both.join(kinds.select("query_id", intent.technical_terms(F.col("query")).alias("technical")), "query_id")
-    out = cut(boosted(both, technical=F.col("technical")), least, k)
+    out = cut(boosted(both, technical=F.col("technical")).withColumn("score", F.round("score", 9)), least, k)
     return out.select("query_id", "rank", "doc_id", "score", "vector_score", "bm25_score", "search_type")

@@ -11,7 +11,7 @@ from ..functions import intent
 from ..functions import text as T
 from ..operators import chunking, context, evaluate, extract, graph, metrics, serving
 from ..sources import files as S
-from .queries_search import _numbered, asked
+from .queries_search import _ASKED, _INTENT, _SIGNALS, _numbered, asked
 from .registry import register
 from .tables import chunks, edges, files, nodes, read, sql, transitions
 
@@ -256,7 +256,7 @@ def f16(spark, sf):
     return chunks(spark, sf).select("chunk_id", serving.is_snippet(F.col("text")).alias("is_code"))
 
 
-@register("r13_routed_questions")
+@register("r13_routed_questions", "SELECT * FROM (VALUES (0::BIGINT, 'callers', 'UNITED_1'), (1, 'dependencies', 'nation_3'), (2, 'symbol', 'Region1'), (3, 'search', '')) AS t(query_id, form, symbol)")
 def r13(spark, sf):
     q = spark.createDataFrame([(0, "what calls UNITED_1"), (1, "dependencies of nation_3"), (2, "find the class Region1"), (3, "hello")], "query_id long, query string")
     return serving.routed(q)
@@ -301,7 +301,11 @@ def r15(spark, sf):
     return serving.scored_symbols(d).withColumn("score", F.round("score", 6))
 
 
-@register("r16_graph_gate")
+_KINDS = ", ".join("(" + " + ".join(f"CAST(contains(l, '{w}') AS INT)" for w in words) + f") AS {k}" for k, words in intent.KINDS.items())
+_GATE = f"WITH {_ASKED}, n AS (SELECT query_id, l, {_KINDS}, len(regexp_extract_all(l, '\\S+')) AS w FROM (SELECT query_id, lower(query) AS l FROM a)), b AS (SELECT query_id, CASE WHEN entity > 0 AND entity >= greatest(architecture, file) THEN 0.6 WHEN architecture > 0 AND architecture >= file THEN 0.8 WHEN file > 0 THEN 0.1 ELSE 0.3 END + 0.2 * (CAST(contains(l, 'call') AS INT) + CAST(contains(l, 'depend') AS INT) + CAST(contains(l, 'inherit') AS INT) + CAST(contains(l, 'import') AS INT) + CAST(contains(l, 'relationship') AS INT) + CAST(contains(l, 'use') AS INT)) + 0.3 * (CAST(regexp_matches(l, 'what\\s+calls') AS INT) + CAST(regexp_matches(l, 'depends?\\s+on') AS INT) + CAST(regexp_matches(l, 'how\\s+does\\s+.*\\s+work') AS INT)) + 0.1 + CASE WHEN w > 5 THEN least((w - 5) * 0.05, 0.2) ELSE 0 END AS s FROM n) SELECT query_id, round(least(1.0, s)::DOUBLE, 6) AS benefit, least(1.0, s) >= 0.5 AS expand FROM b"
+
+
+@register("r16_graph_gate", _GATE)
 def r16(spark, sf):
     return asked(spark).select("query_id", F.round(intent.graph_benefit(F.col("query"), F.lit(1)), 6).alias("benefit"), (intent.graph_benefit(F.col("query"), F.lit(1)) >= 0.5).alias("expand"))
 
@@ -371,7 +375,7 @@ def a17(spark, sf):
     return evaluate.compared(s, s).select("category", "metric", "change")
 
 
-@register("a23_intent_distribution")
+@register("a23_intent_distribution", f"WITH {_ASKED}, {_SIGNALS}, {_INTENT} SELECT ['specific_symbol', 'conceptual', 'structural', 'debugging', 'exploratory'][k] AS intent, count(*) AS n, round(avg(conf)::DOUBLE, 6) AS mean FROM h GROUP BY k")
 def a23(spark, sf):
     return intent.classified(asked(spark)).groupBy("intent").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
 

@@ -227,9 +227,26 @@ def r6(spark, sf):
     return fusion.boosted(p, filename="index.html").select("page_id", F.round("score", 6).alias("score"))
 
 
-@register("r7_hybrid_search")
+_TECHNICAL = "[" + ", ".join(f"'{t}'" for t in intent.TECHNICAL) + "]"
+_WEIGHTS = """, a AS (SELECT query_id, query FROM qs), """ + _SIGNALS + ", " + _INTENT + """, wt AS (SELECT query_id, greatest(.1, least(.9, [.2, .8, .6, .3, .7][k] - CASE WHEN s > .5 THEN (s - .5) * .3 ELSE 0 END + CASE WHEN c > .3 THEN (c - .3) * .2 ELSE 0 END + CASE WHEN q > .5 THEN q * .15 ELSE 0 END - CASE WHEN t > .4 THEN (t - .4) * .25 ELSE 0 END - (1 - greatest(conf, .3)) * .3))::DOUBLE AS vw FROM h)"""
+_HYBRID = (
+    _BASE
+    + _WEIGHTS
+    + f""", e AS (SELECT query_id, query, row_number() OVER (ORDER BY query_id) - 1 AS n FROM qs), v0 AS (SELECT vec_id, embedding FROM embeddings), qv AS (SELECT query_id, query, embedding FROM e JOIN v0 ON vec_id = n),
+nn AS (SELECT q.query_id, q.query, v.vec_id AS doc_id, round({_L2}, 9) AS d FROM v0 v, qv q), nr AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) <= 20),
+va AS (SELECT nr.query_id, doc_id, least(1.0, greatest(0.1, 1 - d / 3) + CASE WHEN contains(lower(query), split_part(file_path, '/', 1)) OR contains(split_part(file_path, '/', 1), lower(query)) THEN 0.15 ELSE 0 END + 0.05) AS vs FROM nr JOIN docs USING (doc_id)),
+ka AS (SELECT query_id, doc_id, matched, score / max(score) OVER (PARTITION BY query_id) AS bs FROM (SELECT query_id, doc_id, matched, round(score, 9) AS score FROM sc JOIN qv USING (query_id) WHERE round(score, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 20)),
+fu AS (SELECT coalesce(va.query_id, ka.query_id) AS query_id, coalesce(va.doc_id, ka.doc_id) AS doc_id, coalesce(vs, 0) AS vs, coalesce(bs, 0) AS bs, matched, CASE WHEN bs IS NULL THEN 'vector' WHEN vs IS NULL THEN 'bm25' ELSE 'hybrid' END AS st FROM va FULL JOIN ka ON va.query_id = ka.query_id AND va.doc_id = ka.doc_id),
+bo AS (SELECT fu.*, round((vs * vw + bs * (1 - vw)) * CASE WHEN st <> 'vector' THEN 1 + 0.1 * len(list_filter(matched, lambda t: list_contains({_TECHNICAL}, t) AND contains(lower(query), t))) ELSE 1 END, 9) AS score FROM fu JOIN wt USING (query_id) JOIN qs USING (query_id)),
+cu AS (SELECT *, count(*) FILTER (WHERE score >= 0.25) OVER (PARTITION BY query_id) AS m FROM bo), kp AS (SELECT * FROM cu WHERE score >= CASE WHEN m < 8 THEN 0.25 * 0.7 ELSE 0.25 END)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, round(score, 6) AS score, round(vs, 6) AS vector_score, round(bs, 6) AS bm25_score, st AS search_type FROM kp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
+)
+
+
+@register("r7_hybrid_search", _HYBRID)
 def r7(spark, sf):
-    return fusion.hybrid_search(bm25.build(documents(spark, sf)), read(spark, sf, "embeddings"), _numbered(spark, sf))
+    out = fusion.hybrid_search(bm25.build(documents(spark, sf)), read(spark, sf, "embeddings"), _numbered(spark, sf))
+    return out.withColumns({c: F.round(c, 6) for c in ("score", "vector_score", "bm25_score")})
 
 
 @register("r24_token_estimate", "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents")
