@@ -315,3 +315,67 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     line = files.where(basename(F.col("file_path")).rlike(r"^requirements.*\.txt$")).select("file_path", F.explode(F.split("content", "\n")).alias("l")).where(F.col("l").rlike(r"^\s*[A-Za-z0-9]"))
     py = line.select("file_path", F.regexp_extract("l", r"^\s*([A-Za-z0-9._-]+)", 1).alias("name"), F.trim(F.regexp_extract("l", r"(?:==|>=|<=|~=|>|<)\s*([^\s;#]+)", 1)).alias("version"))
     return js.unionByName(py)
+
+
+def python_symbols(files: DataFrame) -> DataFrame:
+    """node_id, name, type, file_path, line_start, line_end, docstring, properties of Python sources, by parsing.
+
+    Functions in classes are methods; decorators, parameters and whether a
+    function is asynchronous are properties.  What doesn't parse has no symbols.
+    """
+    import ast
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    schema = "node_id string, name string, type string, file_path string, line_start int, line_end int, docstring string, properties string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def walk(path: str, body: list, inside: bool) -> Iterator[tuple]:
+        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        for n in body:
+            if isinstance(n, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                is_class = isinstance(n, ast.ClassDef)
+                props = {"decorators": [ast.unparse(d) for d in n.decorator_list]} | ({"bases": [ast.unparse(b) for b in n.bases]} if is_class else {"parameters": [a.arg for a in n.args.args], "async": isinstance(n, ast.AsyncFunctionDef)})
+                doc = ast.get_docstring(n)
+                yield f"{stem}::{n.name}::{n.lineno}", n.name, "class" if is_class else "method" if inside else "function", path, n.lineno, n.end_lineno, doc and doc[:200], json.dumps(props, sort_keys=True)
+                yield from walk(path, n.body, is_class)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["file_path"], batch["content"]):
+                try:
+                    rows += walk(path, ast.parse(text or "").body, False)
+                except (SyntaxError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.where(F.endswith("file_path", F.lit(".py"))).select("file_path", "content").mapInPandas(run, schema)
+
+
+def contained(symbols_: DataFrame) -> DataFrame:
+    """source_id, target_id: the smallest symbol of the file round each symbol, and the symbol."""
+    outer = symbols_.select("file_path", F.col("node_id").alias("source_id"), F.col("line_start").alias("a"), F.col("line_end").alias("b"))
+    both = symbols_.join(outer, "file_path").where("node_id <> source_id and a <= line_start and b >= line_end")
+    return both.groupBy(F.col("node_id").alias("target_id")).agg(F.min_by("source_id", F.struct(F.col("b") - F.col("a"), "source_id")).alias("source_id")).select("source_id", "target_id", F.lit("contains").alias("type"))
+
+
+def import_edges(found: DataFrame) -> DataFrame:
+    """Imports (file_path, target) as edges from file nodes to module nodes."""
+    return found.select(F.concat("file_path", F.lit("::file::0")).alias("source_id"), F.concat("target", F.lit("::module::0")).alias("target_id"), F.lit("imports").alias("type")).distinct()
+
+
+def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
+    """file_path, target, component: the file whose stem is the target's last part, the first by path."""
+    last = F.element_at(F.split(F.regexp_replace("target", r"\.(js|ts|py|java)$", ""), r"[./]"), -1)
+    stems = files.select(F.regexp_replace(basename(F.col("file_path")), r"\.[^.]*$", "").alias("_s"), F.col("file_path").alias("component")).groupBy("_s").agg(F.min("component").alias("component"))
+    return found.select("file_path", "target", last.alias("_s")).join(stems, "_s").select("file_path", "target", "component")
+
+
+def interfaces(files: DataFrame, most: int = 10) -> DataFrame:
+    """file_path, exports, imports: public names a file defines and modules it reads."""
+    exports = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^(?:export\s+)?(?:async\s+)?(?:def|class|function)\s+([A-Za-z]\w*)"), F.lit(1)))
+    used = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^(?:from|import)\s+([\w.]+)"), F.lit(1)))
+    return files.select("file_path", F.slice(exports, 1, most).alias("exports"), F.slice(used, 1, most).alias("imports"))

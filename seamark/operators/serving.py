@@ -206,3 +206,46 @@ def coverage(files: DataFrame, chunks: DataFrame, least_files: int = 3) -> DataF
     out = f.join(c, "project", "left").na.fill(0, ["chunks"])
     need = F.greatest(F.lit(5), F.floor(F.col("files") / 10))
     return out.withColumn("verdict", F.when(F.col("files") < least_files, "skip").when(F.col("chunks") < need, "index").otherwise("ready"))
+
+
+def graph_bonus(score: Column, relations: Column, depth: Column) -> Column:
+    """A score raised for being in the graph and for each relation, lowered by distance, 1 at most."""
+    return F.least(F.lit(1.0), score + 0.1 + 0.05 * relations - 0.02 * depth)
+
+
+def merged_arms(rows: DataFrame, boost: float = 1.2, least: float = 0.3) -> DataFrame:
+    """One row per key (k) over several searches (k, doc_id, score): the best score, raised where more than one found it."""
+    out = rows.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("s"), F.count("*").alias("n"))
+    return out.select("k", "doc_id", (F.col("s") * F.when(F.col("n") > 1, boost).otherwise(1.0)).alias("score")).where(F.col("score") >= least)
+
+
+def references(texts: DataFrame, key: str, pattern: str, most: int = 3) -> DataFrame:
+    """key, reference: the first references of each text; absolute ones, then rooted ones, then the rest."""
+    rows = texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("reference")).distinct()
+    rank = F.when(F.col("reference").rlike("^https?:"), 1).when(F.startswith("reference", F.lit("/")), 2).otherwise(3)
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(rank, "reference"))).where(F.col("_n") <= most).drop("_n")
+
+
+def diagram(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """child, parent, label of one type of edge, by name."""
+    names = lambda side, name: nodes.select(F.col("node_id").alias(side), F.col("name").alias(name))
+    return edges.where(F.col("type") == kind).join(names("source_id", "child"), "source_id").join(names("target_id", "parent"), "target_id").select("child", "parent", F.lit(kind).alias("label"))
+
+
+def near_hits(rows: DataFrame, group: str, position: str, at: int, term: str, radius: int) -> DataFrame:
+    """Rows of each group round a position that hold a term; score by distance."""
+    away = F.abs(F.col(position) - at)
+    return rows.where((away <= radius) & F.contains(F.lower("text"), F.lit(term.lower()))).select(group, position, F.round(1 - 0.1 * away, 6).alias("score"))
+
+
+def fenced_blocks(texts: DataFrame) -> DataFrame:
+    """text_id, language, block of every fenced block."""
+    pattern = r"(?s)```(\w*)\n(.*?)```"
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("language"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("block"))
+    return texts.select("text_id", F.explode(both).alias("b")).select("text_id", "b.language", "b.block")
+
+
+def response_confidence(text: Column) -> Column:
+    """0.5, more for long and structured answers, less for refusals."""
+    score = 0.5 + F.when(F.length(text) > 500, 0.2).otherwise(0.0) + F.when(F.contains(text, F.lit("\n")), 0.1).otherwise(0.0) - F.when(F.contains(F.lower(text), F.lit("not")), 0.1).otherwise(0.0)
+    return F.least(F.lit(1.0), score)
