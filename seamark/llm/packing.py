@@ -15,7 +15,10 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -32,7 +35,7 @@ END_ID = 2
 STEP_TOKENS = 16 * 4096
 #: Tokens that are packed at once.
 BLOCK_TOKENS = 1 << 20
-#: Pieces of text whose ids a worker remembers.
+#: Pieces of text whose ids a worker remembers (and twice as many cores).
 MEMO_WORDS = 500_000
 #: ASCII punctuation that may follow a word (no apostrophe: 's and the like are tokens).
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -40,6 +43,22 @@ TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+#: Words of one pre-token whose normal form is plain: small Latin letters without marks of their own.
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: The sign that a byte-level vocabulary has for each byte: printable ones stand for themselves, the others follow from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(_OTHER)}
+
+
+def small(core: bytes) -> bytes:
+    """The core in small letters where that is the same before and after normalising: Latin letters up to U+00FF."""
+    if core.isascii():
+        return core.lower()
+    text = core.decode("utf-8", "replace")
+    return text.lower().encode() if text.isalpha() and max(text) <= "\u00ff" else core
+
+
 class WordIds(dict):
     """Ids of text between ASCII white space, as little-endian uint32 bytes.
 
@@ -62,7 +81,7 @@ class WordIds(dict):
         core = piece.rstrip(TAIL)
         if core and b"<|" not in piece and b"'" not in piece and (core[-1:].isalnum() or core[-2:].decode("utf-8", "ignore").lower().isalpha()):
             tail = piece[len(core) :]
-            out = self.core(core.lower() if core.isascii() else core) + (self.core(tail) if tail else b"")
+            out = self.core(small(core)) + (self.core(tail) if tail else b"")
         else:
             out = self.core(piece)
         if len(self) >= MEMO_WORDS:
@@ -73,12 +92,13 @@ class WordIds(dict):
 
     def core(self, piece: bytes) -> bytes:
         if (out := self.cores.get(piece)) is None:
-            if piece.isascii() and piece.isalpha() and piece.islower():
-                ids = [t.id for t in self.model.tokenize(piece.decode())]
+            text = piece.decode("utf-8", "replace")
+            if LATIN.fullmatch(text):
+                ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(BYTE_SIGNS))]
             else:
-                ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
-            out = np.array(ids, "<u4").tobytes()
-            if len(self.cores) >= MEMO_WORDS:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+            if len(self.cores) >= 2 * MEMO_WORDS:
                 self.cores.clear()
             if len(piece) <= 64:
                 self.cores[piece] = out
