@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,7 +61,7 @@ def written(df: DataFrame) -> DataFrame:
     unset, as in tests, it lies beside the warehouse.
     """
     spark = df.sparkSession
-    path, schema = f"{shared_folder(spark)}/{uuid.uuid4().hex}", df.schema
+    path, schema = shared_path(spark), df.schema
     df.write.parquet(path)
     del df
     gc.collect()
@@ -67,6 +69,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str = "") -> str:
+    """A new path in the shared folder, which is removed when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{name}{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and with it the way to the folder
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, only, shared_folder, to_arrow_schema, written
+from .common import bounded_batches, map_rows, only, shared_path, to_arrow_schema, written
 
 #: Bytes of a chunk, of a segment's block, and of the shortest payload that is worth a revisit; records of an archive.
 CHUNK_BYTES, SEGMENT_BYTES, REVISIT_BYTES, ARCHIVE_RECORDS = 4096, 16384, 100, 2000
@@ -235,7 +234,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     if wrong := responses.where(~F.col("header_digest").eqNullSafe(F.col("payload_digest"))).take(1):
         raise ValueError(f"payload and digest differ: {wrong[0]['page_id']}")
     revisits = records.where("record_type = 'revisit'").select("page_id", "refers_to", "header_digest")
-    known = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "header_digest"])
+    # Written, so that the join that follows is free to split the revisits of one page.
+    known = written(responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("header_digest"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "header_digest"]))
     revisits = revisits.join(known, ["refers_to", "header_digest"], "left")
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         revisits.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
@@ -244,7 +244,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages to the shared folder and reads the archives back."""
-    path = f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(pages.sparkSession, "warc-")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path)
 
