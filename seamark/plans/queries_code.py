@@ -292,12 +292,12 @@ def r11(spark, sf):
     return a.unionByName(ids.join(F.broadcast(b)).select("query_id", F.lit("symbol").alias("arm"), F.col("node_id").alias("id")))
 
 
-_TEXT_SYMBOLS = "WITH t AS (SELECT doc_id AS text_id, unnest(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]{2,})\\b', 1)) AS symbol FROM documents WHERE strlen(text) = length(text)), n AS (SELECT text_id, symbol, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT text_id, symbol, round((CASE WHEN contains('the thing and that', lower(symbol)) THEN 1.0 WHEN len(list_filter(string_split(lower(symbol), '_'), lambda p: length(p) > 2 AND contains('the thing and that', p))) > 0 THEN 0.5 ELSE 0 END + least(n / 10, 1) + CASE WHEN regexp_matches(symbol, '^[A-Z]') THEN 0.2 ELSE 0 END + CASE WHEN contains(symbol, '_') THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS score FROM n) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, symbol) <= 10"
+_TEXT_SYMBOLS = "WITH t AS (SELECT doc_id AS text_id, unnest(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]*[^\\x00-\\x7F][A-Za-z0-9_\\x{80}-\\x{10FFFF}]*', '§', 'g'), '\\b([A-Za-z_][A-Za-z0-9_]{2,})\\b', 1)) AS symbol FROM documents), n AS (SELECT text_id, symbol, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT text_id, symbol, round((CASE WHEN contains('the thing and that', lower(symbol)) THEN 1.0 WHEN len(list_filter(string_split(lower(symbol), '_'), lambda p: length(p) > 2 AND contains('the thing and that', p))) > 0 THEN 0.5 ELSE 0 END + least(n / 10, 1) + CASE WHEN regexp_matches(symbol, '^[A-Z]') THEN 0.2 ELSE 0 END + CASE WHEN contains(symbol, '_') THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS score FROM n) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY score DESC, symbol) <= 10"
 
 
 @register("r15_context_symbols", _TEXT_SYMBOLS)
 def r15(spark, sf):
-    d = read(spark, sf, "documents").where(F.octet_length("text") == F.length("text")).select(F.col("doc_id").alias("text_id"), "text", F.lit("the thing and that").alias("query"))
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text", F.lit("the thing and that").alias("query"))
     return serving.scored_symbols(d).withColumn("score", F.round("score", 6))
 
 
@@ -385,9 +385,9 @@ def a25(spark, sf):
     return read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.max("l_discount").alias("confidence"), F.count("*").alias("n"))
 
 
-@register("a26_index_coverage", sql("WITH f AS (SELECT project, count(DISTINCT file_path) AS files FROM files GROUP BY project), c AS (SELECT project, count(*) AS chunks FROM chunks WHERE position = 0 AND doc_id % 11 = 0 GROUP BY project) SELECT project, files, coalesce(chunks, 0) AS chunks, CASE WHEN files < 3 THEN 'skip' WHEN coalesce(chunks, 0) < greatest(5, files // 10) THEN 'index' ELSE 'ready' END AS verdict FROM f LEFT JOIN c USING (project)", "files", "chunks"))
+@register("a26_index_coverage", sql("WITH f AS (SELECT project, count(DISTINCT file_path) AS files FROM files GROUP BY project), c AS (SELECT project, count(*) AS chunks FROM chunks GROUP BY project) SELECT project, files, coalesce(chunks, 0) AS chunks, CASE WHEN files < 3 THEN 'skip' WHEN coalesce(chunks, 0) < greatest(5, files // 10) THEN 'index' ELSE 'ready' END AS verdict FROM f LEFT JOIN c USING (project)", "files", "chunks"))
 def a26(spark, sf):
-    return serving.coverage(files(spark, sf), chunks(spark, sf).where("position = 0 and doc_id % 11 = 0"))
+    return serving.coverage(files(spark, sf), chunks(spark, sf))
 
 
 @register("a27_role_groups", f"WITH {CODE}, r AS (SELECT file_path, CASE {' '.join('WHEN ' + _ANY('lower(file_path)', words) + f' THEN {_q(role)}' for role, words in extract.ROLES)} ELSE 'component' END AS role FROM code) SELECT role, string_agg(file_path, ',' ORDER BY file_path) AS members FROM r GROUP BY role")

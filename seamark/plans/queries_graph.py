@@ -9,8 +9,8 @@ from .registry import register
 from .tables import edges, nodes, read, sql, transitions
 
 
-def _start(spark, sf, kind, n):
-    return nodes(spark, sf).where(F.startswith("node_id", F.lit(kind + ":"))).where(F.expr(f"cast(split_part(node_id, ':', 2) AS bigint) <= {n}"))
+def _start(spark, sf, kind):
+    return nodes(spark, sf).where(F.startswith("node_id", F.lit(kind + ":")))
 
 
 @register("f1_node_by_id", sql("SELECT * FROM nodes WHERE node_id = 'nation:7'", "nodes"))
@@ -80,14 +80,14 @@ def j1(spark, sf):
     return graph.callers(t, t.select(F.col("target_id").alias("node_id")), 3)
 
 
-@register("j2_dependencies", _walk_sql("edges", "source_id", "target_id", "'calls', 'imports', 'inherits'", "source_id LIKE 'orders:%' AND CAST(split_part(source_id, ':', 2) AS BIGINT) <= 500", 3))
+@register("j2_dependencies", _walk_sql("edges", "source_id", "target_id", "'calls', 'imports', 'inherits'", "source_id LIKE 'orders:%'", 3))
 def j2(spark, sf):
-    return graph.dependencies(edges(spark, sf), _start(spark, sf, "orders", 500), 3)
+    return graph.dependencies(edges(spark, sf), _start(spark, sf, "orders"), 3)
 
 
 @register("j4_class_hierarchy", _walk_sql("edges", "target_id", "source_id", "'inherits'", "target_id LIKE 'region:%'", 5))
 def j4(spark, sf):
-    return graph.walk(edges(spark, sf), _start(spark, sf, "region", 100), 5, forward=False, types=("inherits",))
+    return graph.walk(edges(spark, sf), _start(spark, sf, "region"), 5, forward=False, types=("inherits",))
 
 
 @register("j5_module_dependencies", sql("SELECT DISTINCT a.file_path AS source_file, b.file_path AS target_file, e.type FROM edges e JOIN nodes a ON a.node_id = source_id JOIN nodes b ON b.node_id = target_id WHERE a.file_path <> b.file_path AND e.type = 'imports'", "nodes", "edges"))
@@ -218,9 +218,9 @@ def k7(spark, sf):
     return graph.hotspots(edges(spark, sf), 30).select("node_id", "connections")
 
 
-@register("k3_call_targets", sql("SELECT source_id, target_id FROM edges WHERE type = 'calls' AND source_id LIKE 'orders:1%'", "edges"))
+@register("k3_call_targets", sql("SELECT source_id, target_id FROM edges WHERE type = 'calls' AND source_id LIKE 'orders:%'", "edges"))
 def k3(spark, sf):
-    return edges(spark, sf).where("type = 'calls' and source_id like 'orders:1%'").select("source_id", "target_id")
+    return edges(spark, sf).where("type = 'calls' and source_id like 'orders:%'").select("source_id", "target_id")
 
 
 _PATHS = """WITH RECURSIVE {t}, p(path) AS (SELECT [source_id, target_id] FROM transitions WHERE source_id = 'view'
@@ -273,13 +273,13 @@ def _report_sql():
 
 @register("k5_dependency_report", _report_sql())
 def k5(spark, sf):
-    out = graph.dependency_report(nodes(spark, sf), edges(spark, sf), _start(spark, sf, "customer", 10**9), 3)
+    out = graph.dependency_report(nodes(spark, sf), edges(spark, sf), _start(spark, sf, "customer"), 3)
     return out.withColumn("instability", F.round("instability", 6))
 
 
 @register("k10_neighbourhood")
 def k10(spark, sf):
-    return graph.neighbourhood(nodes(spark, sf), edges(spark, sf), _start(spark, sf, "nation", 5))
+    return graph.neighbourhood(nodes(spark, sf), edges(spark, sf), _start(spark, sf, "nation"))
 
 
 @register("k14_diagram_roles", sql("SELECT node_id, CASE WHEN contains(lower(file_path), 'config') OR contains(lower(file_path), 'setting') OR contains(lower(file_path), 'env') THEN 'configuration' ELSE 'component' END AS role FROM nodes", "nodes"))
@@ -297,7 +297,7 @@ def n4(spark, sf):
 
 @register("r14_graph_expansion")
 def r14(spark, sf):
-    hits = _start(spark, sf, "customer", 20).select((F.expr("cast(split_part(node_id, ':', 2) AS bigint)") % 4).alias("query_id"), "node_id", F.array(F.lit("customer"), F.lit("app")).alias("words"))
+    hits = _start(spark, sf, "customer").select((F.expr("cast(split_part(node_id, ':', 2) AS bigint)") % 4).alias("query_id"), "node_id", F.array(F.lit("customer"), F.lit("app")).alias("words"))
     return context.graph_expanded(hits, nodes(spark, sf), edges(spark, sf)).withColumn("score", F.round("score", 6))
 
 

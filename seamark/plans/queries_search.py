@@ -8,29 +8,26 @@ from ..functions import intent
 from ..functions import text as T
 from ..operators import bm25, context, evaluate, fusion, vectors
 from .registry import register
-from .tables import read, sql
+from .tables import read
 
-# DuckDB's \b knows ASCII letters only, so the SQL sides of term queries take ASCII texts.
+# DuckDB's \b knows ASCII letters only; a word with other letters, which has no term, becomes a sign for it first.
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TERMS = "list_filter(regexp_extract_all(lower({0}), '\\b[a-zA-Z_][a-zA-Z0-9_]*(?:\\.[a-zA-Z_][a-zA-Z0-9_]*)*\\b'), lambda t: length(t) >= 2 AND t NOT IN (" + _STOP + "))"
-_DOCS = "docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, text FROM documents WHERE strlen(text) = length(text))"
+MASKED = "regexp_replace(lower({0}), '[a-z0-9_]*[^\\x00-\\x7F][a-z0-9_\\x{{80}}-\\x{{10FFFF}}]*', '§', 'g')"
+_TERMS = "list_filter(regexp_extract_all(" + MASKED + ", '\\b[a-zA-Z_][a-zA-Z0-9_]*(?:\\.[a-zA-Z_][a-zA-Z0-9_]*)*\\b'), lambda t: length(t) >= 2 AND t NOT IN (" + _STOP + "))"
+_DOCS = "docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, text FROM documents)"
 _INDEX = f"tk AS (SELECT doc_id, {_TERMS.format('text')} AS ts FROM docs), dl AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS dl FROM tk), ps AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term), cp AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"
-_QUERIES = "qs AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark WHERE strlen(text) = length(text))"
+_QUERIES = "qs AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"
 _SCORES = f"qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM qs) GROUP BY ALL), sc AS (SELECT query_id, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, list_sort(list(DISTINCT term)) AS matched FROM qt JOIN ps USING (term) JOIN df USING (term) JOIN dl USING (doc_id), cp GROUP BY ALL)"
 _BASE = f"WITH {_DOCS}, {_INDEX}, {_QUERIES}, {_SCORES}"
 
 
-def _ascii(column):
-    return F.octet_length(column) == F.length(column)
-
-
 def documents(spark, sf):
-    d = read(spark, sf, "documents").where(_ascii("text"))
+    d = read(spark, sf, "documents")
     return d.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt"))).alias("file_path"), "text")
 
 
 def questions(spark, sf):
-    b = read(spark, sf, "benchmark").where(_ascii("text"))
+    b = read(spark, sf, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
 
 
@@ -167,16 +164,16 @@ def r4(spark, sf):
     return intent.classified(asked(spark)).select("query_id", "intent", *[F.round(c, 6).alias(c) for c in ("confidence", "vector_weight", "bm25_weight")])
 
 
-@register("r30_cleaned_questions", "SELECT item_id, coalesce(nullif(trim(regexp_replace(regexp_replace('@src' || item_id || '  ' || text, '@[A-Za-z0-9_-]+', ' ', 'g'), '\\s+', ' ', 'g')), ''), 'Give an overview of this project') AS query, 'src' || item_id AS project FROM benchmark WHERE strlen(text) = length(text)")
+@register("r30_cleaned_questions", "SELECT item_id, coalesce(nullif(trim(regexp_replace(regexp_replace('@src' || item_id || '  ' || text, '@[A-Za-z0-9_-]+', ' ', 'g'), '\\s+', ' ', 'g')), ''), 'Give an overview of this project') AS query, 'src' || item_id AS project FROM benchmark")
 def r30(spark, sf):
-    b = read(spark, sf, "benchmark").where(_ascii("text")).withColumn("q", F.concat(F.lit("@src"), "item_id", F.lit("  "), "text"))
+    b = read(spark, sf, "benchmark").withColumn("q", F.concat(F.lit("@src"), "item_id", F.lit("  "), "text"))
     return b.select("item_id", intent.cleaned(F.col("q")).alias("query"), F.array_join(intent.project_mentions(F.col("q")), ",").alias("project"))
 
 
 _FUSED = _BASE + f""", e AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS n FROM qs), v0 AS (SELECT vec_id, embedding FROM embeddings), qv AS (SELECT query_id, embedding FROM e JOIN v0 ON vec_id = n),
-nn AS (SELECT q.query_id, v.vec_id AS doc_id, {_L2} AS d FROM v0 v, qv q), nr AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) <= 20),
+nn AS (SELECT q.query_id, v.vec_id AS doc_id, round({_L2}, 9) AS d FROM v0 v, qv q), nr AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) <= 20),
 va AS (SELECT query_id, doc_id, greatest(0.1, 1 - d / 3) AS vs FROM nr),
-ka AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS bs FROM (SELECT * FROM sc WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20)),
+ka AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS bs FROM (SELECT query_id, doc_id, round(score, 9) AS score FROM sc WHERE round(score, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 20)),
 fu AS (SELECT coalesce(va.query_id, ka.query_id) AS query_id, coalesce(va.doc_id, ka.doc_id) AS doc_id, coalesce(vs, 0) AS vs, coalesce(bs, 0) AS bs, CASE WHEN bs IS NULL THEN 'vector' WHEN vs IS NULL THEN 'bm25' ELSE 'hybrid' END AS st FROM va FULL JOIN ka ON va.query_id = ka.query_id AND va.doc_id = ka.doc_id)"""
 
 

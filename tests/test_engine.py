@@ -132,8 +132,8 @@ def test_paths(spark):
     assert got == ["q/src/app.js", "project/src/app.js", "q/project/src/app.js", "q/", "q/x.py"]
     found = {r["file_path"]: (r["corrected"], r["severity"]) for r in S.inconsistencies(d.select(F.col("p").alias("file_path"))).collect()}
     assert found["src/app.js"] == ("project/src/app.js", "critical") and found["/workspace/project/src/app.js"][1] == "warning"
-    n = spark.createDataFrame([(p,) for p in ("iiot/a", "iiot/b", "iiot/c", "frontend/x", "backend/y", "/workspace/test/z", "k/m", "m/n")], "file_path string")
-    r = S.project_check(n, "iiot").first()
+    n = spark.createDataFrame([(p,) for p in ("shop/a", "shop/b", "shop/c", "frontend/x", "backend/y", "/workspace/test/z", "k/m", "m/n")], "file_path string")
+    r = S.project_check(n, "shop").first()
     assert tuple(r) == (3, 0, 2, 5, "issues")
 
 
