@@ -138,10 +138,11 @@ def _vocabulary(terms):
 
 
 # RE2 has no lookahead to worry about; all these texts are ASCII.
-_SYM = " + ".join("len(regexp_extract_all(query, '" + p.replace("'", "''") + "'))" for p in intent.SYMBOLS)
+_SYM = " + ".join("len(regexp_extract_all(plain, '" + p.replace("'", "''") + "'))" for p in intent.SYMBOLS)
 _QST = " + ".join("CAST(regexp_matches(l, '" + p.replace("'", "''") + "') AS INT)" for p in intent.QUESTIONS)
 _ASKED = "a AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS)) + ") AS t(query_id, query))"
-_SIGNALS = f"""b AS (SELECT query_id, query, lower(trim(query)) AS l, len(regexp_extract_all(query, '\\S+')) AS w FROM a),
+_PLAIN = "regexp_replace(query, '[A-Za-z0-9_]*[^\\x00-\\x7F][A-Za-z0-9_\\x{80}-\\x{10FFFF}]*', '§', 'g')"
+_SIGNALS = f"""b AS (SELECT query_id, query, {_PLAIN} AS plain, lower(trim(query)) AS l, len(regexp_extract_all(query, '\\S+')) AS w FROM a),
 s AS (SELECT query_id, {_vocabulary(intent.TECHNICAL)} / greatest(w, 1) AS t, {_vocabulary(intent.CONCEPTUAL)} / greatest(w, 1) AS c, least(({_SYM}) / 3.0, 1.0) AS s, least(({_QST}) / 2.0, 1.0) AS q,
  CASE WHEN w <= 3 THEN 0.8 WHEN w <= 7 THEN 0.5 ELSE 0.2 END AS p,
  (CAST(contains(query, '(') OR contains(query, ')') AS INT) + CAST(contains(query, '.') AND NOT ends_with(query, '.') AS INT) + CAST(contains(query, '::') OR contains(query, '.') AS INT)) / 3.0 AS x,
