@@ -55,14 +55,15 @@ LARGEST, LARGEST_SNIFFED, SNIFFED = 10 * 1024 * 1024, 100 * 1024, 1024
 # End of fixed values.
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a table of fewer partitions than cores to all of them; one of more stays as it is.
+def spread(df: DataFrame, split: int = 16 << 20) -> DataFrame:
+    """Deals a table of less than ``split`` bytes a core to all cores; a larger one isn't moved.
 
     A small file of long texts is one split, and what explodes it would run on
-    one core.  A large input has splits enough and isn't moved.
+    one core.  The size is the optimiser's estimate, which costs no job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
 
 
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
