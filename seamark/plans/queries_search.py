@@ -219,7 +219,7 @@ def f14(spark, sf):
     return vectors.adaptive(near, "score", 0.9, 10).select("query_id", "vec_id")
 
 
-@register("r6_filename_boost", "WITH p AS (SELECT page_id, page_id % 5 AS query_id, 1.0 + page_id % 7 AS score, regexp_extract(url, '://([^?#]*)', 1) AS f FROM pages), s AS (SELECT *, lower(regexp_extract(f, '([^/]*)$', 1)) = 'index.html' AS same, ends_with(lower(f), '.html') AS alike FROM p) SELECT page_id, round(score * CASE WHEN bool_or(same) OVER (PARTITION BY query_id) THEN CASE WHEN same THEN 1.35 WHEN alike THEN 0.5 ELSE 0.2 END WHEN alike THEN 1.2 ELSE 0.6 END, 6) AS score FROM s")
+@register("r6_filename_boost", "WITH p AS (SELECT page_id, page_id % 5 AS query_id, 1.0 + page_id % 7 AS score, regexp_extract(url, '://([^?#]*)', 1) AS f FROM pages), s AS (SELECT *, lower(regexp_extract(f, '([^/]*)$', 1)) = 'index.html' AS same, ends_with(lower(f), '.html') AS alike FROM p) SELECT page_id, round(score::DOUBLE * CASE WHEN bool_or(same) OVER (PARTITION BY query_id) THEN CASE WHEN same THEN 1.35 WHEN alike THEN 0.5 ELSE 0.2 END WHEN alike THEN 1.2 ELSE 0.6 END, 6) AS score FROM s")
 def r6(spark, sf):
     p = read(spark, sf, "pages").select("page_id", (F.col("page_id") % 5).alias("query_id"), (1.0 + F.col("page_id") % 7).cast("double").alias("score"), F.regexp_extract("url", "://([^?#]*)", 1).alias("file_path"), F.lit("bm25").alias("search_type"), F.array().cast("array<string>").alias("matched_terms"))
     return fusion.boosted(p, filename="index.html").select("page_id", F.round("score", 6).alias("score"))

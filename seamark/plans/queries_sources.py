@@ -185,7 +185,7 @@ def g3(spark, sf):
 _LINK = r"""regexp_extract_all(html, '<a href="([^"]+)"', 1)"""
 
 
-@register("g10_page_links", f"SELECT page_id, t AS target, CASE WHEN regexp_matches(t, '^[./]') THEN 'internal_relative' WHEN contains(t, 'http') OR contains(t, 'api') OR contains(t, 'client') THEN 'external' WHEN contains(t, 'service') OR contains(t, 'repository') OR contains(t, 'model') THEN 'cross_layer' ELSE 'internal' END AS class, CASE WHEN starts_with(t, '.') THEN 0.8 ELSE 0.9 END AS confidence FROM (SELECT DISTINCT page_id, unnest({_LINK}) AS t FROM pages)")
+@register("g10_page_links", f"SELECT page_id, t AS target, CASE WHEN regexp_matches(t, '^[./]') THEN 'internal_relative' WHEN contains(t, 'http') OR contains(t, 'api') OR contains(t, 'client') THEN 'external' WHEN contains(t, 'service') OR contains(t, 'repository') OR contains(t, 'model') THEN 'cross_layer' ELSE 'internal' END AS class, CASE WHEN starts_with(t, '.') THEN 0.8 ELSE 0.9 END::DOUBLE AS confidence FROM (SELECT DISTINCT page_id, unnest({_LINK}) AS t FROM pages)")
 def g10(spark, sf):
     rows = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))).alias("target")).distinct()
     return rows.select("page_id", "target", extract.import_class(F.col("target")).alias("class"), F.round(extract.import_confidence(F.col("target"), F.lit("html")), 6).alias("confidence"))

@@ -102,7 +102,7 @@ def t5(spark, sf):
     return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), ","), 256).alias("signature"))
 
 
-@register("w3_positional_scores", "SELECT doc_id, round(greatest(0.1, 1 - (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) * 0.2), 6) AS score FROM documents")
+@register("w3_positional_scores", "SELECT doc_id, round(greatest(0.1, 1 - (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) * 0.2), 6)::DOUBLE AS score FROM documents")
 def w3(spark, sf):
     from pyspark.sql import Window as W
 
