@@ -69,15 +69,20 @@ def scored(index: Index, queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * idf * weight).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.1, projects: list[str] | None = None) -> DataFrame:
-    """The ``k`` best documents of each query with rank, snippet and matched terms; ties go to the smaller id.
+def ranked(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.1, projects: list[str] | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score, matched_terms of the ``k`` best documents; ties go to the smaller id.
 
     Scores are rounded to nine places first, so that sums in another order rank
-    alike.  Only the documents that are shown get their text and a snippet.
+    alike.
     """
     found = scored(index, queries).withColumn("score", F.round("score", 9)).where(F.col("score") >= min_score)
-    docs = index.documents.where(project_of(F.col("file_path")).isin(projects)) if projects else index.documents
     if projects:
-        found = found.join(docs.select("doc_id"), "doc_id", "left_semi")
+        found = found.join(index.documents.where(project_of(F.col("file_path")).isin(projects)).select("doc_id"), "doc_id", "left_semi")
     top = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    return top.join(docs.select("doc_id", "file_path", "text"), "doc_id").select("query_id", "rank", "doc_id", "file_path", "score", "matched_terms", snippet(F.col("text"), F.col("matched_terms")).alias("snippet"))
+    return top.select("query_id", "rank", "doc_id", "score", "matched_terms")
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, min_score: float = 0.1, projects: list[str] | None = None) -> DataFrame:
+    """``ranked`` with path and snippet: only the documents that are shown get their text."""
+    top = ranked(index, queries, k, min_score, projects).join(index.documents.select("doc_id", "file_path", "text"), "doc_id")
+    return top.select("query_id", "rank", "doc_id", "file_path", "score", "matched_terms", snippet(F.col("text"), F.col("matched_terms")).alias("snippet"))

@@ -25,15 +25,16 @@ def positional(rank: Column, step: float = 0.2) -> Column:
 def fused(vector: DataFrame, keyword: DataFrame, weights: DataFrame) -> DataFrame:
     """Full outer join of (query_id, doc_id, vector_score) and (query_id, doc_id, bm25_score, matched_terms).
 
-    ``weights`` has query_id, vector_weight and bm25_weight.  Keyword scores are
-    brought to 0 to 1 first.
+    ``weights`` has query_id, vector_weight and bm25_weight; other columns of it
+    stay.  Keyword scores are brought to 0 to 1 first.
     """
     keyword = normalised(keyword.select("query_id", "doc_id", "bm25_score", "matched_terms"), "bm25_score")
     both = vector.select("query_id", "doc_id", "vector_score").join(keyword, ["query_id", "doc_id"], "full_outer")
     kind = F.when(F.col("bm25_score").isNull(), "vector").when(F.col("vector_score").isNull(), "bm25").otherwise("hybrid")
-    both = both.join(weights.select("query_id", "vector_weight", "bm25_weight"), "query_id")
+    rest = [c for c in weights.columns if c not in ("query_id", "vector_weight", "bm25_weight")]
+    both = both.join(weights.select("query_id", "vector_weight", "bm25_weight", *rest), "query_id")
     v, b = F.coalesce("vector_score", F.lit(0.0)), F.coalesce("bm25_score", F.lit(0.0))
-    return both.select("query_id", "doc_id", v.alias("vector_score"), b.alias("bm25_score"), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"), kind.alias("search_type"), (v * F.col("vector_weight") + b * F.col("bm25_weight")).alias("score"))
+    return both.select("query_id", "doc_id", v.alias("vector_score"), b.alias("bm25_score"), F.coalesce("matched_terms", F.array().cast("array<string>")).alias("matched_terms"), kind.alias("search_type"), (v * F.col("vector_weight") + b * F.col("bm25_weight")).alias("score"), *rest)
 
 
 def boosted(results: DataFrame, technical: Column | None = None, exact: Column | None = None, hints: list[str] | None = None, filename: str | None = None) -> DataFrame:
@@ -78,13 +79,12 @@ def hybrid_search(index: bm25.Index, embeddings: DataFrame, queries: DataFrame,
 
     Classifies each question, takes ``arm`` results of either kind, fuses and cuts.
     """
-    kinds = intent.classified(queries.select("query_id", "query"))
+    kinds = intent.classified(queries.select("query_id", "query")).select("query_id", "vector_weight", "bm25_weight", intent.technical_terms(F.col("query")).alias("technical"))
     near = vectors.nearest(embeddings, queries.select("query_id", F.col("query_vector").alias("query")), arm)
     paths = index.documents.select(F.col("doc_id"), "file_path")
     near = near.join(paths, near["vec_id"] == paths["doc_id"]).join(queries.select("query_id", "query"), "query_id")
     vector = near.select("query_id", "doc_id", vectors.relevance(F.col("distance"), F.col("file_path"), F.col("query")).alias("vector_score"))
-    keyword = bm25.search(index, queries.select("query_id", "query"), arm).select("query_id", "doc_id", F.col("score").alias("bm25_score"), "matched_terms")
+    keyword = bm25.ranked(index, queries.select("query_id", "query"), arm).select("query_id", "doc_id", F.col("score").alias("bm25_score"), "matched_terms")
     both = fused(vector, keyword, kinds)
-    both = both.join(kinds.select("query_id", intent.technical_terms(F.col("query")).alias("technical")), "query_id")
     out = cut(boosted(both, technical=F.col("technical")).withColumn("score", F.round("score", 9)), least, k)
     return out.select("query_id", "rank", "doc_id", "score", "vector_score", "bm25_score", "search_type")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,21 +26,59 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries that are sent whole to every task; more are joined in blocks of partitions.
+SENT_QUERIES = 4096
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
     """query_id, rank, vec_id, distance: the exact ``k`` nearest of (vec_id, embedding) for a stated query set (query_id, query).
 
-    Every vector meets every query, in blocks of partitions where the queries
-    are too many to be sent whole.  A row number cut at ``k`` is a group limit:
-    each task keeps its ``k`` best of a query before anything is shuffled.
+    Up to ``SENT_QUERIES`` queries go to every task, which compares them with
+    whole batches of vectors and keeps each query's ``k`` best of a batch; more
+    queries are joined with the vectors.  Either way a row number cut at ``k``
+    is a group limit: each task keeps its best before anything is shuffled.
+    Vectors that are null or of another width than the query are passed over.
     """
-    distance = squared_distance(F.col("embedding"), F.col("query")) if metric == "l2" else -inner_product(F.col("embedding"), F.col("query"))
-    pairs = vectors.select("vec_id", "embedding").crossJoin(queries.select("query_id", "query"))
-    pairs = pairs.select("query_id", "vec_id", F.round(distance, 9).alias("distance"))
+    queries = queries.select("query_id", "query").where("query is not null")
+    sent = queries.limit(SENT_QUERIES + 1).toArrow()
+    if sent.num_rows <= SENT_QUERIES:
+        pairs = _batch_nearest(vectors, queries, sent, k, metric)
+    else:
+        distance = squared_distance(F.col("embedding"), F.col("query")) if metric == "l2" else -inner_product(F.col("embedding"), F.col("query"))
+        pairs = vectors.select("vec_id", "embedding").crossJoin(queries).where("size(embedding) = size(query)").select("query_id", "vec_id", F.round(distance, 9).alias("distance"))
     order = W.partitionBy("query_id").orderBy("distance", "vec_id")
     top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", F.col("distance") if metric == "l2" else (-F.col("distance")).alias("similarity"))
 
 
+def _batch_nearest(vectors: DataFrame, queries: DataFrame, sent: pa.Table, k: int, metric: str) -> DataFrame:
+    """query_id, vec_id, distance of the ``k`` best of each query in each batch."""
+    types = dict(vectors.dtypes), dict(queries.dtypes)
+    schema = f"query_id {types[1]['query_id']}, vec_id {types[0]['vec_id']}, distance double"
+    arrow = pa.schema([("query_id", sent.schema.field("query_id").type), ("vec_id", pa.string() if types[0]["vec_id"] == "string" else pa.int32() if types[0]["vec_id"] == "int" else pa.int64()), ("distance", pa.float64())])
+    ids, rows = sent["query_id"].to_pylist(), [np.asarray(q, np.float64) for q in sent["query"].to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            width = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            for w in {len(q) for q in rows}:
+                at = np.flatnonzero(width == w)
+                if not len(at):
+                    continue
+                v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
+                keys = batch.column(0).take(pa.array(at))
+                for query_id, q in zip(ids, rows):
+                    if len(q) != w:
+                        continue
+                    d = np.round(((v - q) ** 2).sum(1) if metric == "l2" else -(v @ q), 9)
+                    # All that tie with the k-th stay, so that the smaller id decides among them.
+                    best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(best), arrow.field(0).type), keys.take(pa.array(best)).cast(arrow.field(1).type), pa.array(d[best])], schema=arrow)
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+
+
 def relevance(distance: Column, path: Column, query: Column) -> Column:
     """From a squared distance to 0.1 to 1, with bonuses for the project's name, the suffix and readmes."""
     low, file, project = F.lower(query), F.lower(path), F.lower(F.split_part(path, F.lit("/"), F.lit(1)))

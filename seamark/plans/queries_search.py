@@ -65,7 +65,7 @@ _TOP = " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 @register("b4_search", _BASE + ", r AS (" + _TOP.format("round(score, 9)", "(SELECT * FROM sc WHERE score >= 0.1)", 10) + ") SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
 def b4(spark, sf):
-    found = bm25.search(bm25.build(documents(spark, sf)), questions(spark, sf))
+    found = bm25.ranked(bm25.build(documents(spark, sf)), questions(spark, sf))
     return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -192,7 +192,7 @@ def _arms(spark, sf):
     near = vectors.nearest(read(spark, sf, "embeddings"), q.select("query_id", F.col("query_vector").alias("query")), 20)
     vector = near.select("query_id", F.col("vec_id").alias("doc_id"), F.greatest(F.lit(0.1), 1 - F.col("distance") / 3).alias("vector_score"))
     index = bm25.build(documents(spark, sf))
-    keyword = bm25.search(index, questions(spark, sf), 20).select("query_id", "doc_id", F.col("score").alias("bm25_score"), "matched_terms")
+    keyword = bm25.ranked(index, questions(spark, sf), 20).select("query_id", "doc_id", F.col("score").alias("bm25_score"), "matched_terms")
     return vector, keyword
 
 
