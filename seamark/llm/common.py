@@ -58,7 +58,7 @@ def written(df: DataFrame) -> DataFrame:
     This cuts the lineage: losing executors afterwards costs no recomputation,
     and readers get single columns.  Shuffle files of the finished plan are let
     go.  The folder is the session's ``spark.checkpoint.dir``; where that is
-    unset, as in tests, it lies beside the warehouse.
+    unset, as in tests, it lies in the warehouse.
     """
     spark = df.sparkSession
     path, schema = shared_path(spark), df.schema
@@ -85,7 +85,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
