@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from ..functions import text as T
 from ..operators import bm25, context, extract, fusion, graph, serving, vectors
 from ..sources import files as S
 from ..sources import sinks
+from ..sources.sinks import scratch
 from ..streaming import jobs
 from .queries_code import _IMPORTS, _LANG, CODE, code
 from .queries_search import _ASKED, _BASE, _DOCS, _INDEX, _INTENT, _L2, _NEAR, _SIGNALS, asked, documents, questions, vector_queries
@@ -20,12 +18,6 @@ from .registry import register
 from .tables import chunks, edges, files, nodes, read, sql
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 @register("s5_followed_links", sql("SELECT file_path FROM files WHERE doc_id % 4 <> 0 UNION SELECT b.file_path FROM files a JOIN files b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 4 = 0", "files"))
 def s5(spark, sf):
     f = files(spark, sf).select("doc_id", "file_path")

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import project_of
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, removed when the driver's Python ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{base}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended, and with it the way to the folder
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_by_project(table: DataFrame, path: str) -> None:
     """Replaces the projects that ``table`` (with file_path) has, and no other."""
     out = table.withColumn("project", F.coalesce(project_of(F.col("file_path")), F.lit("none")))
