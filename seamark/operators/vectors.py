@@ -28,6 +28,8 @@ def inner_product(a: Column, b: Column) -> Column:
 
 #: Queries that are sent whole to every task; more are joined in blocks of partitions.
 SENT_QUERIES = 4096
+#: Share of the true neighbours that approximate search aims at (0.9 is asked for), and queries of the set by which it is measured.
+RECALL, RECALL_QUERIES = 0.95, 64
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
@@ -51,8 +53,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "
     return top.select("query_id", "rank", "vec_id", F.col("distance") if metric == "l2" else (-F.col("distance")).alias("similarity"))
 
 
-def _batch_nearest(vectors: DataFrame, queries: DataFrame, sent: pa.Table, k: int, metric: str) -> DataFrame:
-    """query_id, vec_id, distance of the ``k`` best of each query in each batch."""
+def _batch_nearest(vectors: DataFrame, queries: DataFrame, sent: pa.Table, k: int, metric: str, reach: np.ndarray | None = None) -> DataFrame:
+    """query_id, vec_id, distance of the ``k`` best of each query in each batch.
+
+    With ``reach``, by query and list, a query meets only vectors of the lists that it reaches.
+    """
     types = dict(vectors.dtypes), dict(queries.dtypes)
     schema = f"query_id {types[1]['query_id']}, vec_id {types[0]['vec_id']}, distance double"
     arrow = pa.schema([("query_id", sent.schema.field("query_id").type), ("vec_id", pa.string() if types[0]["vec_id"] == "string" else pa.int32() if types[0]["vec_id"] == "int" else pa.int64()), ("distance", pa.float64())])
@@ -68,15 +73,20 @@ def _batch_nearest(vectors: DataFrame, queries: DataFrame, sent: pa.Table, k: in
                     continue
                 v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
                 keys = batch.column(0).take(pa.array(at))
-                for query_id, q in zip(ids, rows):
+                lists = batch.column(2).to_numpy()[at] if reach is not None else None
+                for i, (query_id, q) in enumerate(zip(ids, rows)):
                     if len(q) != w:
                         continue
-                    d = np.round(((v - q) ** 2).sum(1) if metric == "l2" else -(v @ q), 9)
+                    met = slice(None) if reach is None else np.flatnonzero(reach[i][lists])
+                    d = np.round(((v[met] - q) ** 2).sum(1) if metric == "l2" else -(v[met] @ q), 9)
+                    if not len(d):
+                        continue
                     # All that tie with the k-th stay, so that the smaller id decides among them.
                     best = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                    yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(best), arrow.field(0).type), keys.take(pa.array(best)).cast(arrow.field(1).type), pa.array(d[best])], schema=arrow)
+                    found = best if reach is None else met[best]
+                    yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(best), arrow.field(0).type), keys.take(pa.array(found)).cast(arrow.field(1).type), pa.array(d[best])], schema=arrow)
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, schema)
+    return vectors.select("vec_id", "embedding", *([] if reach is None else ["list"])).mapInArrow(run, schema)
 
 
 def relevance(distance: Column, path: Column, query: Column) -> Column:
@@ -123,9 +133,34 @@ def coarse_index(vectors: DataFrame, lists: int | None = None, seed: int = 7) ->
     return model.transform(rows).select("vec_id", "embedding", F.col("prediction").alias("list")), centers
 
 
-def probe(index: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, lists: int = 8) -> DataFrame:
-    """Approximate ``nearest``: only the ``lists`` lists nearest to a query are read."""
-    reach = nearest(centers.select(F.col("list").alias("vec_id"), F.col("center").alias("embedding")), queries, lists).select("query_id", F.col("vec_id").alias("list"))
-    pairs = index.join(reach, "list").join(queries.select("query_id", "query"), "query_id")
-    pairs = pairs.select("query_id", "vec_id", squared_distance(F.col("embedding"), F.col("query")).alias("distance"))
+def _places(centers: pa.Table, queries: pa.Table) -> np.ndarray:
+    """By query and list number: the list's place by the distance of its centre from the query; last of all where widths differ."""
+    numbers, points = centers["list"].to_numpy(), np.asarray(centers["center"].to_pylist(), np.float64)
+    out = np.full((queries.num_rows, int(numbers.max()) + 1), len(numbers), np.int32)
+    for i, q in enumerate(queries["query"].to_pylist()):
+        if len(q) == points.shape[1]:
+            out[i, numbers[np.argsort(((points - np.asarray(q, np.float64)) ** 2).sum(1), kind="stable")]] = np.arange(len(numbers))
+    return out
+
+
+def lists_needed(index: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, recall: float = RECALL) -> int:
+    """How many lists a query must read to find ``recall`` of its ``k`` nearest: measured by exact search for ``RECALL_QUERIES`` of the queries."""
+    sample = queries.select("query_id", "query").where("query is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(RECALL_QUERIES)
+    sample, places = sample.sparkSession.createDataFrame(rows := sample.toArrow(), sample.schema), _places(centers.toArrow(), rows)
+    row = {q: i for i, q in enumerate(rows["query_id"].to_pylist())}
+    true = nearest(index, sample, k).select("query_id", "vec_id").join(index.select("vec_id", "list"), "vec_id").collect()
+    found = np.sort([places[row[r["query_id"]], r["list"]] for r in true])
+    return int(found[int(np.ceil(recall * len(found))) - 1]) + 1 if len(found) else 1
+
+
+def probe(index: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None) -> DataFrame:
+    """Approximate ``nearest``: only the ``lists`` lists nearest to a query are read, by default as many as ``lists_needed`` finds."""
+    queries = queries.select("query_id", "query").where("query is not null")
+    lists = lists or lists_needed(index, centers, queries, k)
+    sent = queries.limit(SENT_QUERIES + 1).toArrow()
+    if sent.num_rows <= SENT_QUERIES:
+        pairs = _batch_nearest(index, queries, sent, k, "l2", _places(centers.toArrow(), sent) < lists)
+    else:
+        reach = nearest(centers.select(F.col("list").alias("vec_id"), F.col("center").alias("embedding")), queries, lists).select("query_id", F.col("vec_id").alias("list"))
+        pairs = index.join(reach, "list").join(queries, "query_id").select("query_id", "vec_id", F.round(squared_distance(F.col("embedding"), F.col("query")), 9).alias("distance"))
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
