@@ -16,7 +16,7 @@ MASKED = "regexp_replace(lower({0}), '[a-z0-9_]*[^\\x00-\\x7F][a-z0-9_\\x{{80}}-
 _TERMS = "list_filter(regexp_extract_all(" + MASKED + ", '\\b[a-zA-Z_][a-zA-Z0-9_]*(?:\\.[a-zA-Z_][a-zA-Z0-9_]*)*\\b'), lambda t: length(t) >= 2 AND t NOT IN (" + _STOP + "))"
 _DOCS = "docs AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, text FROM documents)"
 _INDEX = f"tk AS (SELECT doc_id, {_TERMS.format('text')} AS ts FROM docs), dl AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS dl FROM tk), ps AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tk) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term), cp AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"
-_QUERIES = "qs AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"
+_QUERIES = "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _SCORES = f"qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format('query')}) AS term FROM qs) GROUP BY ALL), sc AS (SELECT query_id, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, list_sort(list(DISTINCT term)) AS matched FROM qt JOIN ps USING (term) JOIN df USING (term) JOIN dl USING (doc_id), cp GROUP BY ALL)"
 _BASE = f"WITH {_DOCS}, {_INDEX}, {_QUERIES}, {_SCORES}"
 
