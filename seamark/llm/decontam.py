@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, only
+from .common import map_batches, map_rows, only
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton (about 60 bytes of memory for each byte and word of a window).
@@ -151,10 +151,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
         for batch in batches:
             yield batch.filter(pa.array([not judge(n, found)[2] for n, found in scanner.scan(batch.column(at).to_pylist())], pa.bool_()))
 
-    from .common import bounded_batches
-
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -7,24 +7,36 @@ that script.  Viterbi with a penalty for each switch then labels the words, so
 spans of different languages in one text are found.  Scores of a whole Arrow
 batch are computed at once; a text that provably has no switch (no run of words
 gains more from other languages than one penalty) skips the dynamic program.
+
+How well its languages explain a text, the mean log likelihood of a letter, is
+its ``fit``.  On a bounded sample of the training documents a least fit is
+learned for each language, far below what its own documents have: texts below it
+are in no learned language, and ``known_language`` rejects them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, only, to_arrow_schema
+from .common import map_batches, map_rows, only, to_arrow_schema
 
 #: Cells of the trigram table; nats for one switch; share of a language's words that a script needs.
 CELLS, PENALTY, SCRIPT_SHARE = 1 << 16, 12.0, 0.01
 SMOOTHING = 0.5
 UNKNOWN = "und"
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+#: Training documents (expected) whose fit is measured; fewest letters (bytes) that tell whether a text is in a language.
+FIT_DOCUMENTS, FIT_LETTERS = 20_000, 20
+#: The least fit lies this many times the way from the median to the lowest hundredth below the median.
+FIT_WAY = 4.0
+#: Characters that are scored at once, over the number of languages.
+PIECE = 1 << 21
+SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, fit double"
 
 #: First and last code point of the ranges that tell scripts apart (fixed values of Unicode).
 SCRIPTS = (
@@ -100,7 +112,7 @@ class Words:
         return self.cell[at - 1]
 
 
-def pieces(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str | None]]]:
+def pieces(texts: list[str | None], most: int = PIECE // 4) -> Iterator[tuple[int, list[str | None]]]:
     """Parts of a batch of at most about ``most`` characters."""
     begin = size = 0
     for i, t in enumerate(texts):
@@ -117,6 +129,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
+        #: Least fit of a text in each language.
+        self.floor = np.full(len(langs), -np.inf)
         if langs:
             total = counts.sum(1, keepdims=True)
             self.table = np.ascontiguousarray(np.log((counts + SMOOTHING) / (total + SMOOTHING * CELLS)).T.astype(np.float32))
@@ -124,11 +138,18 @@ class Model:
 
     def scores(self, words: Words) -> np.ndarray:
         """A row of log likelihoods for each word; languages that its script rules out get the lowest value."""
-        if not len(words.start):
-            return np.empty((0, len(self.langs)))
-        every = self.table[words.cell]
-        edges = np.column_stack([words.start - 1, words.end - 1]).ravel()
-        s = np.add.reduceat(every, edges, axis=0)[::2].astype(np.float64)
+        s = np.empty((len(words.start), len(self.langs)))
+        # A long text's words are taken in runs, so that memory doesn't grow with the text.
+        first, most = 0, max(1 << 14, PIECE // max(4, len(self.langs)))
+        while first < len(s):
+            last = max(first + 1, int(np.searchsorted(words.end, words.start[first] + most, "right")))
+            base = words.start[first] - 1
+            every = self.table[words.cell[base : words.end[last - 1]]]
+            edges = np.column_stack([words.start[first:last] - 1 - base, words.end[first:last] - 1 - base]).ravel()
+            s[first:last] = np.add.reduceat(every, edges, axis=0)[::2]
+            first = last
+        if not len(s):
+            return s
         allowed = self.uses[:, words.script].T
         allowed = allowed | ~allowed.any(1, keepdims=True)
         return np.where(allowed, s, s.min(1, keepdims=True) - PENALTY)
@@ -171,7 +192,6 @@ def train(docs: DataFrame) -> Model:
     """
     rows = only(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     schema = "lang string, cell int, n long"
-    bounded_batches(docs.sparkSession)
     arrow = to_arrow_schema(docs.sparkSession, schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +209,35 @@ def train(docs: DataFrame) -> Model:
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells.astype(np.int32)), pa.array(total[cells])], schema=arrow)
 
-    counts = rows.select("text", "lang").mapInArrow(count, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = map_batches(rows.select("text", "lang"), count, schema).groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     table = np.zeros((len(langs), CELLS + len(NAMES)), np.int64)
     if langs:
         table[np.searchsorted(langs, counts["lang"].to_pylist()), counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return Model(langs, table[:, :CELLS], table[:, CELLS:])
+    return with_floor(Model(langs, table[:, :CELLS], table[:, CELLS:]), rows)
+
+
+def with_floor(model: Model, rows: DataFrame, sample: int = FIT_DOCUMENTS) -> Model:
+    """The model with the least fit of each language, from about ``sample`` of the training rows."""
+    if not model.langs:
+        return model
+    share = int(min(1.0, sample / max(1, rows.count())) * 1_000_000)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            found = predicted(shared.value, batch.column(0).to_pylist())
+            keep = [(x.lang, x.fit) for x in found if x.letters >= FIT_LETTERS]
+            return {"lang": [x for x, _ in keep], "fit": [y for _, y in keep]}
+
+        return step
+
+    fits = map_rows(rows.select("text"), make, "lang string, fit double").groupBy("lang").agg(F.percentile("fit", [0.5, 0.01]).alias("q"))
+    for r in fits.collect():
+        middle, low = r["q"]
+        model.floor[model.langs.index(r["lang"])] = middle - FIT_WAY * max(middle - low, 0.1)
+    return model
 
 
 def labelled_words(model: Model, texts: list[str | None]) -> Iterator[tuple[int, Words, slice, np.ndarray, np.ndarray]]:
@@ -208,34 +251,47 @@ def labelled_words(model: Model, texts: list[str | None]) -> Iterator[tuple[int,
             yield begin + i, words, here, s, viterbi(s) if len(s) else np.empty(0, np.int32)
 
 
-def predicted(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """(language with the most letters, score) of each text.
+class Prediction(NamedTuple):
+    lang: str = UNKNOWN
+    score: float = 0.0
+    #: Mean log likelihood of a letter under the text's labels; letters (bytes).
+    fit: float = 0.0
+    letters: int = 0
+
+
+def predicted(model: Model, texts: list[str | None]) -> list[Prediction]:
+    """The language with the most letters of each text, its score and fit.
 
     The score is that language's share of the letters, times how sure the whole
     text's likelihoods are of the language over the next.
     """
-    out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    out = [Prediction()] * len(texts)
     if not model.langs:
         return out
     for i, words, here, s, path in labelled_words(model, texts):
         if not len(s) or not has_letter(texts[i]):
             continue
-        letters = np.bincount(path, weights=words.end[here] - words.start[here], minlength=len(model.langs))
+        size = words.end[here] - words.start[here]
+        letters = np.bincount(path, weights=size, minlength=len(model.langs))
         best = int(letters.argmax())
         own = s[path == best].sum(0)
         margin = own[best] - np.delete(own, best).max() if len(own) > 1 else np.inf
-        out[i] = (model.langs[best], float(letters[best] / letters.sum() / (1 + np.exp(-max(0.0, margin)))))
+        fit = s[np.arange(len(s)), path].sum() / size.sum()
+        out[i] = Prediction(model.langs[best], float(letters[best] / letters.sum() / (1 + np.exp(-max(0.0, margin)))), float(fit), int(size.sum()))
     return out
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per document row; ``und`` with score 0 where the text is null or has no letter, or nothing was learned."""
+    """One row per document row; ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
+
+    Ids may be null or repeat; every row is judged by its own text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             found = predicted(shared.value, batch.column(2).to_pylist())
-            return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [x for x, _ in found], "score": [y for _, y in found]}
+            return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": [x.lang for x in found], "score": [x.score for x in found], "fit": [x.fit for x in found]}
 
         return step
 
@@ -264,13 +320,33 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(only(docs, "doc_id", "text"), make, "doc_id long, span int, lang string, first_word int, last_word int, letter_bytes long")
 
 
-def known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents, all columns, whose text has a language at all."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model or train(docs)), docs.columns.index("text")
-    bounded_batches(docs.sparkSession)
+def known_language(docs: DataFrame, model: Model | None = None, languages: Collection[str] | None = None, least: float = 0.0) -> DataFrame:
+    """The documents, all columns, that are in a language; ``lang`` becomes the language that was found.
+
+    Rejected are texts that are null or have no letter, texts of ``FIT_LETTERS``
+    letters or more whose fit is below their language's least (shorter ones
+    can't be told), and, where a caller asks, those whose language is not among
+    ``languages`` or whose score is below ``least``.  Where nothing could be
+    learned, because no row has a language, every text with a letter stays as
+    it is, with its ``lang``.  Rows that repeat an id are judged each.
+    """
+    shared, names = docs.sparkSession.sparkContext.broadcast(model or train(docs)), docs.columns
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        floor = dict(zip(m.langs, m.floor))
         for batch in batches:
-            yield batch.filter(pa.array([x != UNKNOWN for x, _ in predicted(shared.value, batch.column(at).to_pylist())], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = batch.column(at).to_pylist()
+            if not m.langs:
+                yield batch.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+                continue
+            found = predicted(m, texts)
+            keep = [x.lang != UNKNOWN and (x.letters < FIT_LETTERS or x.fit >= floor[x.lang]) and (languages is None or x.lang in languages) and x.score >= least for x in found]
+            columns = list(batch.columns)
+            if "lang" in names:
+                i = names.index("lang")
+                columns[i] = pa.array([x.lang for x in found], columns[i].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

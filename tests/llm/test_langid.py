@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from seamark.llm import langid
 
@@ -64,3 +67,53 @@ def test_scripts():
     data = np.frombuffer("aéЖ漢ग🙂".encode() + b"    ", np.uint8)
     at = np.array([0, 1, 3, 5, 8, 11])
     assert [langid.NAMES[i] for i in langid.script_of(data, at)] == ["Latin", "Latin", "Cyrillic", "Han", "Devanagari", "other"]
+
+
+def letters(seed, n=400):
+    """Random words of small letters: no language."""
+    rng = np.random.default_rng(seed)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(n))
+
+
+FI = "kissa ja koira menivät taloon joidenkin ystäviensä kanssa sinä päivänä ja he olivat hyvin iloisia koska aurinko paistoi kirkkaasti "
+
+
+def test_stage_rejects_what_no_learned_language_explains(spark, docs):
+    train = corpus(docs)
+    model = langid.train(train)
+    test = [(1, EN), (2, DE + EN), (3, "漢字仮名交じり文" * 20), (4, letters(1)), (5, "x"), (6, "12 34"), (7, None), (8, ""), (9, "zzqx"), (9, EN), (None, RU), (10, FI)]
+    got = [(r["doc_id"], r["lang"]) for r in langid.known_language(docs(test, lang="??"), model).collect()]
+    assert sorted(got, key=str) == sorted([(1, "en"), (2, "de"), (5, got[2][1]), (9, got[3][1]), (9, "en"), (None, "ru")], key=str)
+    only_de = langid.known_language(docs(test), model, languages={"de"}, least=0.1)
+    assert {r["doc_id"] for r in only_de.collect()} - {5, 9} == {2}
+
+
+def test_stage_loses_nothing_when_nothing_is_learned(spark, docs):
+    rows = langid.known_language(docs([(0, EN), (0, EN), (1, "12 34"), (2, None), (None, DE)], lang=None)).collect()
+    assert sorted([(r["doc_id"], r["lang"]) for r in rows], key=str) == [(0, None), (0, None), (None, None)]
+    assert langid.known_language(docs([])).count() == 0
+
+
+def test_clashing_columns_stay(spark, docs):
+    rows = corpus(docs).selectExpr("*", "1 AS fit", "'s' AS score", "doc_id AS letters")
+    out = langid.known_language(rows)
+    assert out.columns == rows.columns and out.count() == rows.count()
+
+
+def test_held_out_accuracy_on_driver_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    both = langid.identify(rows).where("held_out").join(rows.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(both) > 200 and sum(r["lang"] == r["lang_pred"] for r in both) >= 0.98 * len(both)
+    kept = {r["doc_id"] for r in langid.known_language(rows).collect()}
+    assert len(kept) >= 0.99 * rows.count()
+
+
+def test_long_text_in_runs_scores_alike(spark, docs, monkeypatch):
+    model = langid.train(corpus(docs))
+    words = langid.Words([(EN + DE) * 300])
+    whole = model.scores(words)
+    monkeypatch.setattr(langid, "PIECE", 1)
+    assert len(words.end) and words.end[-1] > 3 << 14 and np.allclose(whole, model.scores(words))
