@@ -1,10 +1,12 @@
 """K-d tree sharding by distributed weighted medians, in DataFrame operations only.
 
 Each document is a point of its metadata (size, id, source, language) with its
-bytes as weight.  The node with the most bytes above the target is split at the
-weighted median along its widest dimension, until the leaves reach the target.
-A dimension's value and then a hash of the row make one 62-bit coordinate, so
-that a value that a third of all rows share can be cut too.  The median is found
+bytes as weight.  A node above the target bytes is split along its widest
+dimension, at the weighted median or, where an odd number of leaves is due, next
+to it; leaves are at the target.  Strings count by their place among the distinct
+values.  A dimension's value and then a hash of the row and its place in the input
+make one 62-bit coordinate, so that a value that a third of all rows share, and
+rows that are equal in everything, can be cut too.  The median is found
 by histograms of ``1 << STEP_BITS`` cells, first over the whole coordinate, then
 over the cell that holds half the bytes, and so on: a few aggregations that
 combine map-side, never a sort of all rows.
@@ -21,29 +23,48 @@ from .common import only, written
 SHARDS = 16
 #: Bits of a coordinate that one histogram resolves, of the value, and of the hash below it.
 STEP_BITS, VALUE_BITS, HASH_BITS = 10, 31, 31
-#: Rows of one shard that are numbered in one task, about.
-SLOT_ROWS = 50_000
+#: Rows of one shard, and distinct values of a string, that are numbered in one task, about.
+SLOT_ROWS = RANGE_VALUES = 50_000
 
 DIMENSIONS = ("size", "doc_id", "source", "lang")
 
 
+def places(docs: DataFrame, column: str) -> DataFrame:
+    """Every distinct value of a string column and its place in their order, from 1.
+
+    Values are dealt into ranges of about ``RANGE_VALUES``, numbered within each
+    range, and shifted by what the ranges before it hold.
+    """
+    values = written(docs.select(column).where(F.col(column).isNotNull()).distinct())
+    parts = values.repartitionByRange(max(1, -(-values.count() // RANGE_VALUES)), column)
+    # Written, so that a value's range stays what it was.
+    parts = written(parts.withColumn("range", F.spark_partition_id()))
+    counts = parts.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))  # one row a range
+    row = F.row_number().over(W.partitionBy("range").orderBy(column))
+    return written(parts.withColumn("row", row).join(before, "range").select(column, (F.col("before") + F.col("row")).alias(f"{column}_place")))
+
+
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, bytes, crc and one column of 31 bits for each dimension.
+    """doc_id, bytes, crc, one number for each dimension, and a hash that tells rows apart.
 
-    Null metadata sort lowest.  Strings keep the order of their first bytes.
+    Null metadata sort lowest.
     """
     docs = only(docs, "doc_id", "text", "source", "lang")
-    order = lambda c: F.coalesce(F.conv(F.substring(F.rpad(F.hex(c), 8, "0"), 1, 8), 16, 10).cast("long"), F.lit(0))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return docs.select(
+    rows = docs.select(
         "doc_id",
         size.alias("bytes"),
         F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("crc"),
         size.alias("size"),
-        order(F.col("source")).alias("source"),
-        order(F.col("lang")).alias("lang"),
-        F.xxhash64("doc_id", "source", "lang", "text").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("tie"),
+        "source",
+        "lang",
+        F.xxhash64("doc_id", "source", "lang", "text", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("tie"),
     )
+    rows = written(rows)  # without texts, and with its hashes settled
+    for c in ("source", "lang"):
+        rows = rows.join(places(rows, c), c, "left").drop(c).withColumn(c, F.coalesce(f"{c}_place", F.lit(0))).drop(f"{c}_place")
+    return rows
 
 
 def scaled(table: DataFrame) -> DataFrame:
@@ -108,14 +129,18 @@ def medians(table: DataFrame, dimension: dict[int, str], share: dict[int, float]
     return low
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """One row per document row: its leaf as shard, and a gapless number there.
 
-    A null text has no bytes but its row still weighs 1; null metadata sort
-    lowest; rows that are equal in all of id, text and metadata have one
-    coordinate and stay together.  An empty table gives an empty result.
+    The target is ``target_bytes``, or else a ``shards``-th of all bytes; a node
+    is due as many leaves as its bytes hold targets.  A null text has no bytes
+    but its row still weighs 1; null metadata sort lowest; equal rows are told
+    apart by their place in the input, so any number of them is spread as
+    others are.  An empty table gives an empty result.
     """
     table = written(scaled(points(docs)))
+    if target_bytes:
+        shards = max(1, -(-(table.agg(F.sum("bytes")).first()[0] or 0) // target_bytes))
     nodes, leaf_id = {0: shards}, 1
     table = table.withColumn("node", F.lit(0))
     while any(n > 1 for n in nodes.values()):
