@@ -46,7 +46,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    # A label's doc_id is the number in the URLs of that document's pages.
+    return urlrules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), by_number=True)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,30 +1,32 @@
 """URL filter by association rules.
 
-Spark's FP-growth mines token combinations of labelled URLs together with the
-label; rules that conclude the label with enough confidence and support, and
-that no shorter rule of the same or higher confidence makes needless, are kept.
+Spark's FP-growth mines token combinations of URLs that are labelled bad; those
+that conclude the label with enough confidence and support, surely above the
+share of bad pages, that no shorter rule of the same or higher confidence makes
+needless, and that hold on pages held back, are kept as rules.
 They are matched by an inverted index from a rule's rarest token to the rules.
 Fixed host and path rules come first; the longest that fits wins.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, only
+from .common import freed, map_batches, map_rows, only, to_arrow_schema, written
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SUPPORT, CONFIDENCE = 0.01, 0.5
-#: Item of an unwanted page; no token has a blank.
-BAD = "label: bad"
+#: Fewest bad pages of a rule, and deviations by which its confidence must exceed the share of bad pages.
+LEAST_HITS, SURE = 5, 3.0
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 
@@ -64,30 +66,89 @@ def token_rows(pages: DataFrame) -> DataFrame:
     return map_rows(rows, make, "page_id long, url string, host string, path string, tokens array<string>")
 
 
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Transactions: tokens of every labelled page, and ``BAD`` where the label of the same id is toxic or of low quality.
+def document_number(path: Column) -> Column:
+    """The first path part that is a whole number, as the id of the page's document; null if there is none."""
+    return F.try_to_number(F.regexp_extract(path, r"/([0-9]{1,18})(?=/|$)", 1), F.lit("9" * 18)).cast("long")
 
-    A page with several labels counts once, as bad if one of them is.
-    """
-    bad = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
-    both = rows.join(bad, rows["page_id"] == bad["doc_id"])
-    return both.select(F.when(F.col("bad") == 1, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
 
+def labelled(rows: DataFrame, labels: DataFrame, by_number: bool = False) -> DataFrame:
+    """Tokens of every labelled page with ``bad``, where its label is toxic or of low quality, and ``held``, the three tenths that rules are tried on.
 
-def mined_rules(transactions: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], float, int]]:
+    A label belongs to the page of the same id or, ``by_number``, to the pages
+    whose URL names its document.  A page with several labels counts once, as
+    bad if one of them is.
+    """
+    bad = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
+    keyed = rows.withColumn("key", document_number(F.col("path")) if by_number else F.col("page_id")).where("key is not null and size(tokens) > 0")
+    both = keyed.join(bad, keyed["key"] == bad["doc_id"])
+    # All pages of one document are on one side.
+    return both.select("tokens", "bad", (F.pmod(F.xxhash64("key"), F.lit(10)) < 3).alias("held"))
+
+
+def matched(transactions: DataFrame, sets: list[tuple[str, ...]]) -> dict[int, tuple[int, int]]:
+    """For each token set, by its number, the transactions that hold it and the bad ones among them."""
+    shared = transactions.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of, hits = SetIndex(shared.value), Counter(), Counter()
+        for batch in batches:
+            for tokens, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(index.within(tokens))
+                of.update(found)
+                if bad:
+                    hits.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int32()), pa.array(list(of.values()), pa.int64()), pa.array([hits[k] for k in of], pa.int64())], schema=arrow)
+
+    schema = "rule int, of long, hits long"
+    arrow = to_arrow_schema(transactions.sparkSession, schema)
+    counts = map_batches(transactions.select("tokens", "bad"), run, schema).groupBy("rule").agg(F.sum("of").alias("of"), F.sum("hits").alias("hits"))
+    return {r["rule"]: (r["of"], r["hits"]) for r in counts.collect()}
+
+
+def least_confidence(hits: int, of: int) -> float:
+    """Lower end of Wilson's interval for the confidence, ``SURE`` deviations wide."""
+    if not of:
+        return 0.0
+    p, z = hits / of, SURE * SURE / of
+    return (p + z / 2 - SURE * math.sqrt((p * (1 - p) + z / 4) / of)) / (1 + z)
+
+
+def mined_rules(transactions: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_HITS) -> list[tuple[tuple[str, ...], float, int]]:
     """(tokens, confidence, support count) of the rules that conclude a bad page.
 
-    The number of frequent sets has a bound that doesn't depend on the number
-    of rows, as each is in a ``support`` share of the transactions.
+    FP-growth mines the bad pages that are not held back; the sets it finds are
+    then counted over all pages.  A rule stays if its confidence is high enough
+    and surely above the share of bad pages, and if on the pages held back it
+    is right more often than that share.  The number of frequent sets has a
+    bound that doesn't depend on the number of rows, as each is in a
+    ``support`` share of the transactions; so they may be collected.
     """
-    if transactions.isEmpty():
+    train, held = transactions.where("not held"), transactions.where("held")
+    n, n_bad = train.agg(F.count("*"), F.count_if("bad")).first()
+    if n_bad < least:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(transactions)
-    sets = model.freqItemsets
-    bad = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("hits")).where("size(items) > 0")
-    of = sets.select(F.array_sort("items").alias("items"), "freq")
-    rules = bad.join(of, "items").where(F.col("hits") >= F.lit(confidence) * F.col("freq")).select("items", (F.col("hits") / F.col("freq")).alias("confidence"), "hits").collect()
-    return pruned([(tuple(r["items"]), r["confidence"], r["hits"]) for r in rules])
+    needed = max(least, math.ceil(support * n))
+    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, (needed - 0.5) / n_bad)).fit(train.where("bad").select("tokens"))
+    sets = [tuple(sorted(r["items"])) for r in model.freqItemsets.where(F.col("freq") >= needed).select("items").collect()]
+    base = n_bad / n
+    rules = [(sets[k], hits / of, hits) for k, (of, hits) in matched(train, sets).items() if hits >= needed and hits >= confidence * of and least_confidence(hits, of) > base] if sets else []
+    rules = pruned(rules)
+    tried = matched(held, [r[0] for r in rules]) if rules else {}
+    return [r for k, r in enumerate(rules) if k in tried and tried[k][1] > base * tried[k][0]]
+
+
+class SetIndex:
+    """From a token to the numbers of the sets that are filed under it: each under its rarest among all."""
+
+    def __init__(self, sets: list[tuple[str, ...]]):
+        count = Counter(t for s in sets for t in s)
+        self.filed: dict[str, list[tuple[int, frozenset[str]]]] = defaultdict(list)
+        for k, s in enumerate(sets):
+            self.filed[min(s, key=lambda t: (count[t], t))].append((k, frozenset(s)))
+
+    def within(self, tokens: Iterable[str]) -> Iterator[int]:
+        have = set(tokens)
+        return (k for t in have for k, need in self.filed.get(t, ()) if need <= have)
 
 
 def pruned(rules: Iterable[tuple[tuple[str, ...], float, int]]) -> list[tuple[tuple[str, ...], float, int]]:
@@ -127,15 +188,18 @@ def fixed_rule(host: str, path: str, rules: tuple = RULES) -> tuple[str, str] |
     return max(fits, key=lambda x: len(x[0]), default=None)
 
 
-def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, by_number: bool = False) -> DataFrame:
     """One row per page row: host, path, fixed rule or null, verdict, best mined confidence.
 
     A null URL or one without ``://`` has an empty host and path; it has no
-    tokens and is allowed, as every URL is that no rule blocks.  Without labels
-    nothing is mined.
+    tokens and is allowed, as every URL is that no rule blocks.  Without labels,
+    or where none of their rules is sure, nothing is mined.  Rows that repeat a
+    page_id are judged each.
     """
     rows = token_rows(pages)
-    mined = rows.sparkSession.sparkContext.broadcast(mined_rules(labelled(rows, labels), support, confidence))
+    transactions = written(labelled(rows, labels, by_number))
+    mined = rows.sparkSession.sparkContext.broadcast(mined_rules(transactions, support, confidence))
+    freed(transactions)
 
     def make():
         index = RuleIndex(mined.value)
