@@ -4,27 +4,32 @@ Questions and answers are normalised to words with a blank around each, and
 every window of words becomes one pattern.  A text is normalised in the same
 way and read once; a match's place is mapped back to word numbers, and to
 offsets of the original text where spans are asked for.  The automaton goes to
-the executors only while the benchmark's size, which is measured first, is
-within ``MAX_BLOCK_BYTES``; a larger one is dealt into blocks, each with an
-automaton of its own that a task builds, uses on a batch and drops.
+the executors whole while the benchmark's size, which is measured first, is
+within ``MAX_BLOCK_BYTES``.  A larger one is dealt into blocks of about that
+size; one job for each block finds its occurrences, which are written, and a last
+one puts together what a document's words hit: driver and executors hold one
+block at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_right
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_rows, only
+from .common import map_batches, map_rows, only, written
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton (about 60 bytes of memory for each byte and word of a window).
 MAX_BLOCK_BYTES = 4 << 20
+#: Bytes of an item that are dealt as one.
+SEGMENT_BYTES = 1 << 18
 
 #: Separators become blanks and A-Z small letters; bytes over 0x7F, parts of other characters, stay.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -59,44 +64,64 @@ class Automaton:
         return list(self.tree.iter(normal)) if self.any else []
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The stated query set in blocks of bounded size.
+def segments(text: str, size: int = SEGMENT_BYTES, window: int = WINDOW) -> Iterator[str]:
+    """A text's normalised words in parts of about ``size`` bytes that share ``window - 1`` words, so that every window is in one."""
+    words = words_of(text)
+    first = 0
+    while first < len(words):
+        last, held = first, 0
+        while last < len(words) and (held < size or last - first < window):
+            held += len(words[last]) + 1
+            last += 1
+        yield b" ".join(words[first:last]).decode("utf-8", "replace")
+        if last == len(words):
+            return
+        first = last - window + 1
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """(item_id, text, block) of the stated query set, and the number of blocks.
 
     Rows without an id or text are no items; an item_id that repeats is one
     item with the windows of all its rows.
     """
-    items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    blocks: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    for item, text in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        if size and size + len(text) > MAX_BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
-        size += len(text)
-    return blocks
+    items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {"item_id": [], "text": []}
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in segments(text, window=window):
+                    out["item_id"].append(item)
+                    out["text"].append(part)
+            return out
+
+        return step
+
+    parts = written(map_rows(items, make, "item_id string, text string"))
+    held = parts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-held // MAX_BLOCK_BYTES))
+    return parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")), blocks
 
 
 class Scanner:
-    """Finds what of a batch's texts is in the benchmark."""
+    """Finds what of a batch's texts is in the benchmark, or in a block of it."""
 
-    def __init__(self, blocks: list, window: int = WINDOW):
-        self.blocks, self.window = blocks, window
-        self.kept = Automaton(blocks[0].value, window) if len(blocks) == 1 else None
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        self.automaton = Automaton(items, window)
 
     def scan(self, batch: list[str | None]) -> list[tuple[int, list[tuple[int, int, set[str]]]]]:
         """Of each text its number of words, and (first word, words, items) of each occurrence."""
-        out, normals = [], []
+        out = []
         for text in batch:
             words = words_of(text)
-            out.append((len(words), []))
-            normals.append((b" " + b" ".join(words) + b" ").decode("latin-1") if words else "")
-        for block in self.blocks:
-            automaton = self.kept or Automaton(block.value, self.window)
-            for (_, found), normal in zip(out, normals):
-                if hits := automaton.matches(normal):
+            found = []
+            if words:
+                normal = (b" " + b" ".join(words) + b" ").decode("latin-1")
+                if hits := self.automaton.matches(normal):
                     blanks = [i for i, c in enumerate(normal) if c == " "]
-                    found += [(bisect_right(blanks, end) - 1 - size, size, items) for end, (size, items) in hits]
+                    found = [(bisect_right(blanks, end) - 1 - size, size, items) for end, (size, items) in hits]
+            out.append((len(words), found))
         return out
 
 
@@ -110,8 +135,72 @@ def judge(n_words: int, found: list[tuple[int, int, set[str]]]) -> tuple[int, li
     return len(hit), sorted(items), len(hit) > 0 and 20 * len(hit) >= n_words
 
 
-def shared_blocks(docs: DataFrame, benchmark: DataFrame) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark)]
+def shared_block(parts: DataFrame, block: int):
+    """A broadcast of one block's items, of about ``MAX_BLOCK_BYTES``."""
+    rows = parts.where(F.col("block") == block).select("item_id", "text").toLocalIterator()
+    return parts.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+
+
+def occurrences(docs: DataFrame, parts: DataFrame, blocks: int, window: int) -> DataFrame:
+    """(row, firsts, sizes, items) of every row of (row, text) that a block hits, one job a block: what is collected of a row is bounded by its text and the items in it."""
+    found = None
+    for block in range(blocks):
+        shared = shared_block(parts, block)
+
+        def make(shared=shared):
+            scanner = Scanner(shared.value, window)
+
+            def step(batch: pa.RecordBatch) -> dict:
+                out: dict[str, list] = {"row": [], "firsts": [], "sizes": [], "items": []}
+                for row, (_, hits) in zip(batch.column(0).to_pylist(), scanner.scan(batch.column(1).to_pylist())):
+                    if hits:
+                        out["row"].append(row)
+                        out["firsts"].append([a for a, _, _ in hits])
+                        out["sizes"].append([n for _, n, _ in hits])
+                        out["items"].append(sorted(set().union(*[i for _, _, i in hits])))
+                return out
+
+            return step
+
+        part = written(map_rows(docs, make, "row long, firsts array<int>, sizes array<int>, items array<string>"))
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    joined = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return found.groupBy("row").agg(joined("firsts"), joined("sizes"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def judged_rows(judgements: list[tuple[int, list[tuple[int, int, set[str]]]]]) -> dict:
+    judged = [judge(n, found) for n, found in judgements]
+    return {
+        "n_words": [n for n, _ in judgements],
+        "n_hit": [n for n, _, _ in judged],
+        "n_items": [len(items) for _, items, _ in judged],
+        "items_sha256": [hashlib.sha256(",".join(items).encode()).hexdigest() for _, items, _ in judged],
+        "contaminated": [bad for _, _, bad in judged],
+    }
+
+
+def in_blocks(docs: DataFrame, parts: DataFrame, blocks: int, window: int) -> DataFrame:
+    """The documents, all columns but the text, with what ``judged_rows`` gives; ``docs`` has a unique number ``row``."""
+    found = occurrences(docs.select("row", "text"), parts, blocks, window)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            texts, *rest = (batch.column(k).to_pylist() for k in range(1, 5))
+            each = [[(a, n, set()) for a, n in zip(firsts or (), sizes or ())] for firsts, sizes in zip(rest[0], rest[1])]
+            # Items go by document here, as a window of one may be in several blocks.
+            hits = [[*x, (0, 0, set(items))] if items else x for x, items in zip(each, rest[2])]
+            return {"row": batch.column(0)} | judged_rows([(len(words_of(t)), x) for t, x in zip(texts, hits)])
+
+        return step
+
+    rows = docs.select("row", "text").join(found, "row", "left").select("row", "text", "firsts", "sizes", "items")
+    return map_rows(rows, make, "row long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The table, written with a number ``row`` for each row."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -120,34 +209,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A null or empty text has no words and is clean; a null doc_id stays null;
     rows that repeat a doc_id are judged each.  An empty benchmark hits nothing.
     """
-    blocks = shared_blocks(docs, benchmark)
+    docs, (parts, blocks) = only(docs, "doc_id", "text"), benchmark_blocks(benchmark, window)
+    if blocks > 1:
+        docs = numbered(docs)
+        return in_blocks(docs, parts, blocks, window).join(docs.select("row", "doc_id"), "row").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    shared = shared_block(parts, 0)
 
     def make():
-        scanner = Scanner(blocks, window)
-
-        def step(batch: pa.RecordBatch) -> dict:
-            scanned = scanner.scan(batch.column(1).to_pylist())
-            judged = [judge(n, found) for n, found in scanned]
-            return {
-                "doc_id": batch.column(0).to_pylist(),
-                "n_words": [n for n, _ in scanned],
-                "n_hit": [n for n, _, _ in judged],
-                "n_items": [len(items) for _, items, _ in judged],
-                "items_sha256": [hashlib.sha256(",".join(items).encode()).hexdigest() for _, items, _ in judged],
-                "contaminated": [bad for _, _, bad in judged],
-            }
+        scanner = Scanner(shared.value, window)
+        return lambda batch: {"doc_id": batch.column(0)} | judged_rows(scanner.scan(batch.column(1).to_pylist()))
 
-        return step
-
-    return map_rows(only(docs, "doc_id", "text"), make, SCHEMA)
+    return map_rows(docs, make, SCHEMA)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, all columns, that are not contaminated."""
-    blocks, at = shared_blocks(docs, benchmark), docs.columns.index("text")
+    """The documents, all columns, that are not contaminated.
+
+    Null and empty texts stay; rows that repeat an id, or have none, are judged
+    each; an empty benchmark keeps everything.
+    """
+    parts, blocks = benchmark_blocks(benchmark, window)
+    if blocks > 1:
+        both = numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"))
+        bad = in_blocks(both, parts, blocks, window).where("contaminated").select("row")
+        return both.join(bad, "row", "left_anti").select("doc.*")
+    shared, at = shared_block(parts, 0), docs.columns.index("text")
 
     def run(batches):
-        scanner = Scanner(blocks, window)
+        scanner = Scanner(shared.value, window)
         for batch in batches:
             yield batch.filter(pa.array([not judge(n, found)[2] for n, found in scanner.scan(batch.column(at).to_pylist())], pa.bool_()))
 
@@ -156,12 +245,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each occurrence with its place in the original text (code points, end exclusive)."""
-    import re
+    parts, blocks = benchmark_blocks(benchmark, window)
+    each = [spans_of_block(docs, shared_block(parts, k), window) for k in range(blocks)] if blocks == 1 else [written(spans_of_block(docs, shared_block(parts, k), window)) for k in range(blocks)]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out
 
-    blocks = shared_blocks(docs, benchmark)
 
+def spans_of_block(docs: DataFrame, shared, window: int) -> DataFrame:
     def make():
-        scanner, word = Scanner(blocks, window), re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+        scanner, word = Scanner(shared.value, window), re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
         def step(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"doc_id": [], "item_id": [], "char_start": [], "char_end": []}

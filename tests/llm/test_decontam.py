@@ -43,10 +43,24 @@ def test_against_brute_force(spark, docs):
 
 def test_blocks_give_the_same(spark, docs, monkeypatch):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    whole = decontam.decontaminate(docs(TEXTS), bench).orderBy("doc_id").collect()
-    monkeypatch.setattr(decontam, "MAX_BLOCK_BYTES", 10)
-    assert len(decontam.blocks_of(bench)) > 1
-    assert decontam.decontaminate(docs(TEXTS), bench).orderBy("doc_id").collect() == whole
+    table = docs([*TEXTS, (None, LONG), (3, LONG), (3, LONG)]).selectExpr("*", "1 AS row", "2 AS block")
+    run = lambda: sorted(map(str, decontam.decontaminate(table, bench).collect()))
+    clean = lambda: sorted(map(str, decontam.clean_documents(table, bench).collect()))
+    spans = lambda: sorted(map(str, decontam.contaminated_spans(table, bench).collect()))
+    whole = run(), clean(), spans()
+    monkeypatch.setattr(decontam, "MAX_BLOCK_BYTES", 60)
+    assert decontam.benchmark_blocks(bench)[1] > 1
+    assert (run(), clean(), spans()) == whole
+
+
+def test_segments_hold_every_window():
+    text = " ".join(f"w{i}" for i in range(500))
+    parts = list(decontam.segments(text, 64))
+    assert len(parts) > 10
+    words = text.split()
+    windows = {tuple(words[i : i + 13]) for i in range(len(words) - 12)}
+    assert {tuple(p.split()[i : i + 13]) for p in parts for i in range(len(p.split()) - 12)} == windows
+    assert list(decontam.segments("A, b")) == ["a b"] and list(decontam.segments("")) == []
 
 
 def test_empty_tables_null_ids_and_more_columns(spark, docs):
