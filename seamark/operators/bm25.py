@@ -10,26 +10,41 @@ from pyspark.sql import functions as F
 
 from ..functions.text import project_of, snippet, terms
 from ..sources.files import spread
+from ..sources.sinks import sent
 
 K1, B = 1.5, 0.75
+#: Terms of queries that are sent to the postings whole (about 60 bytes each).
+SENT_TERMS = 100_000
 
 
 @dataclass
 class Index:
-    """postings (term, doc_id, dl, tf), documents (doc_id, dl, file_path, text) and one row of corpus figures (n, avgdl)."""
+    """postings (term, doc_id, dl, tf), documents (doc_id, dl, file_path, text), one row of corpus figures (n, avgdl) and terms (term, df)."""
 
     postings: DataFrame
     documents: DataFrame
     corpus: DataFrame
+    terms: DataFrame
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings are put in order by term and document, so that a hot term is in several files, and a search for few terms skips what has none of them."""
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        sized = self.postings.sparkSession.read.parquet(f"{path}/documents")
+        figures(sized).write.mode("overwrite").parquet(f"{path}/corpus")
+        frequencies(self.postings.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "corpus")))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "corpus", "terms")))
+
+
+def figures(documents: DataFrame) -> DataFrame:
+    return documents.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def frequencies(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def build(docs: DataFrame) -> Index:
@@ -40,11 +55,11 @@ def build(docs: DataFrame) -> Index:
     counted = docs.select("doc_id", F.size("terms").cast("long").alias("dl"), "terms")
     rows = counted.select("doc_id", "dl", F.explode_outer("terms").alias("term")).where("term is not null")
     postings = rows.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    return Index(postings, sized, sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(postings, sized, figures(sized), frequencies(postings))
 
 
 def document_frequency(index: Index) -> DataFrame:
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    return index.terms.select("term", "df")
 
 
 def statistics(index: Index) -> DataFrame:
@@ -57,13 +72,15 @@ def statistics(index: Index) -> DataFrame:
 def scored(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score, matched_terms for every document that shares a term with a query (query_id, query).
 
-    The queries' terms reduce postings before any other join; a term that a
-    query repeats counts as often.
+    The queries' terms meet the table of terms first; the result is sent to the
+    postings if its size, which is measured, allows it, so that postings are
+    not moved and a hot term stays where it is.  A larger one is written and
+    joined by term, where adaptive execution can split a hot term.  A term that
+    a query repeats counts as often.
     """
     wanted = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))  # over tf, so that both sides are one plan and its shuffle is reused
-    rows = hits.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(index.corpus))
+    known = sent(wanted.join(index.terms, "term").select("term", "query_id", "times", "df"), SENT_TERMS)
+    rows = index.postings.join(known, "term").crossJoin(F.broadcast(index.corpus))  # one row
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * idf * weight).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))

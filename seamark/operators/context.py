@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,38 +18,49 @@ BONUS = {"self": 0.3, "calls": 0.2, "inherits": 0.15, "imports": 0.1, "uses": 0.
 def within_budget(results: DataFrame, budget: int = 4000, reserve: int = 200, least: int = 100) -> DataFrame:
     """Per query the best results whose tokens fit, and the first that doesn't, cut, if over ``least`` tokens are left.
 
-    ``results`` has query_id, doc_id, score, text.  Costs only add up, so the
-    greedy choice that stops at the first overflow is a prefix sum.
+    ``results`` has query_id, doc_id (once a query), score, text.  Costs only add
+    up, so the greedy choice that stops at the first overflow is a prefix sum.
+    It runs over costs alone; the texts of what is left are joined to it.
     """
     cost = token_estimate(F.col("text"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = results.withColumn("tokens", cost).withColumn("used", F.sum("tokens").over(w))
+    rows = results.select("query_id", "doc_id", "score", cost.alias("tokens")).withColumn("used", F.sum("tokens").over(w))
     room = budget - reserve
     before = F.col("used") - F.col("tokens")
     first_over = (F.col("used") > room) & (before <= room)
     left = room - before
-    rows = rows.withColumn("is_cut", first_over & (left > least)).where((F.col("used") <= room) | F.col("is_cut"))
-    return rows.select("query_id", "doc_id", F.when(F.col("is_cut"), F.col("score") * 0.8).otherwise(F.col("score")).alias("score"), F.when(F.col("is_cut"), F.substring("text", F.lit(1), (left * 4 * 0.8).cast("int"))).otherwise(F.col("text")).alias("text"), F.col("is_cut"))
+    rows = rows.withColumns({"is_cut": first_over & (left > least), "_left": left}).where((F.col("used") <= room) | F.col("is_cut"))
+    rows = rows.select("query_id", "doc_id", "is_cut", "_left").join(results.select("query_id", "doc_id", "score", "text"), ["query_id", "doc_id"])
+    return rows.select("query_id", "doc_id", F.when(F.col("is_cut"), F.col("score") * 0.8).otherwise(F.col("score")).alias("score"), F.when(F.col("is_cut"), F.substring("text", F.lit(1), (F.col("_left") * 4 * 0.8).cast("int"))).otherwise(F.col("text")).alias("text"), F.col("is_cut"))
 
 
 def merged_neighbours(chunks: DataFrame, gap: int = 5, most: int = 1000) -> DataFrame:
     """Chunks of a file (file_path, start_line, end_line, text, score) that lie within ``gap`` lines as one, up to ``most`` tokens.
 
-    The token limit depends on what was merged before, so a running fold in
-    order of lines decides; it is an expression over the file's own chunks.
+    The token limit depends on what was merged before, so one pass in order of
+    lines decides; it sees lines and lengths only, a few numbers for each chunk
+    of one file.  Texts are put together by group, and no group is longer than
+    the limit, unless one chunk is.
     """
-    piece = F.struct("start_line", "end_line", "text", F.col("score").cast("double").alias("score"))
-    kind = "array<struct<start_line:int,end_line:int,text:string,score:double>>"
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        near = (x["start_line"] - last["end_line"] <= gap) & (token_estimate(last["text"]) + token_estimate(x["text"]) < most)
-        joined = F.struct(last["start_line"].alias("start_line"), F.greatest(last["end_line"], x["end_line"]).alias("end_line"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"), F.greatest(last["score"], x["score"]).alias("score"))
-        joint = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)).cast(kind)
-        return F.when(F.size(done) == 0, F.array(x).cast(kind)).when(near, joint).otherwise(F.concat(done, F.array(x)).cast(kind))
-
-    rows = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(piece)).alias("c"))
-    return rows.select("file_path", F.explode(F.aggregate("c", F.array().cast(kind), step)).alias("m")).select("file_path", "m.*")
+    rows = chunks.select("file_path", "start_line", "end_line", "text", F.col("score").cast("double").alias("score"))
+    size = rows.select("file_path", "start_line", "end_line", F.length("text").alias("size"), F.xxhash64("text", "score").alias("h"))
+
+    def groups(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start_line", "ascending"), ("end_line", "ascending"), ("h", "ascending")])
+        out, group, last, length = [], -1, 0, 0
+        for start, end, n in zip(*(table[c].to_pylist() for c in ("start_line", "end_line", "size"))):
+            if group >= 0 and start - last <= gap and max(1, length // 4) + max(1, n // 4) < most:
+                last, length = max(last, end), length + 1 + n
+            else:
+                group, last, length = group + 1, end, n
+            out.append(group)
+        return table.select(["file_path", "start_line", "end_line", "h"]).append_column("group", pa.array(out, pa.int32()))
+
+    found = size.groupBy("file_path").applyInArrow(groups, "file_path string, start_line int, end_line int, h long, group int").dropDuplicates(["file_path", "start_line", "end_line", "h"])
+    both = rows.withColumn("h", F.xxhash64("text", "score")).join(found, ["file_path", "start_line", "end_line", "h"])
+    parts = F.array_sort(F.collect_list(F.struct("start_line", "end_line", "h", "text")))
+    merged = both.groupBy("file_path", "group").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.max("score").alias("score"))
+    return merged.select("file_path", "start_line", "end_line", "text", "score")
 
 
 def graph_expanded(hits: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:

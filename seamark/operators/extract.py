@@ -153,11 +153,18 @@ def imports(files: DataFrame) -> DataFrame:
     return out.withColumns({"class": import_class(F.col("target")), "confidence": import_confidence(F.col("target"), F.col("language"))})
 
 
+def _parts_of(text: str, size: int) -> Column:
+    """All parts of a length, as an array."""
+    parts = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, parts).otherwise(F.array().cast("array<string>"))
+
+
 def calls(files: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """file_path, kind, target, confidence; with ``components`` (name) only targets that hold a component's name.
 
-    A target is cut into its identifiers, so that names meet by an equi-join
-    first; only names that are parts of identifiers need the broadcast list.
+    A name lies within a target exactly if it is one of the target's parts of
+    the name's length; distinct targets are cut into parts of the lengths that
+    names have, and both meet by an equi-join.
     """
     rows = files.select("file_path", "content", language(F.col("file_path")).alias("language"))
     parts = []
@@ -172,8 +179,13 @@ def calls(files: DataFrame, components: DataFrame | None = None) -> DataFrame:
     score = 0.6 + F.when(F.col("kind").isin("object_method", "static_call"), 0.2).otherwise(0.0) + F.when(F.col("language").isin("java", "csharp", "swift") & F.contains("target", F.lit(".")), 0.1).otherwise(0.0)
     out = out.withColumn("confidence", F.least(score, F.lit(1.0)))
     if components is not None:
-        names = components.select(F.col("name").alias("_name")).distinct()
-        out = out.join(names, F.contains("target", F.col("_name")), "left_semi")
+        names = components.select(F.col("name").alias("_part")).where("_part <> ''").distinct()
+        sizes = [r[0] for r in names.select(F.length("_part").alias("n")).distinct().collect()]  # as many as there are lengths of a name
+        targets = out.select("target").distinct()
+        cut = [_parts_of("target", n) for n in sizes]
+        parts = targets.select("target", F.explode(F.array_distinct(F.concat(*cut)) if cut else F.array().cast("array<string>")).alias("_part"))
+        found = parts.join(names, "_part", "left_semi").select("target").distinct()
+        out = out.join(found, "target", "left_semi")
     return out
 
 

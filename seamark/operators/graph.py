@@ -127,13 +127,22 @@ def related(nodes: DataFrame, edges: DataFrame, names: DataFrame, types: tuple[s
     return out.unionByName(into)
 
 
-def with_relations(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
-    """Each node with its sorted outgoing and incoming relations as arrays of type:node, up to ``most`` of a kind."""
+def relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, direction, relation, other_id: a row for each relation of each node, and one with nulls for a node without any.
+
+    Rows, not arrays: a hub's relations have no bound.
+    """
+    out = edges.select(F.col("source_id").alias("node_id"), F.lit("outgoing").alias("direction"), F.col("type").alias("relation"), F.col("target_id").alias("other_id"))
+    into = edges.select(F.col("target_id").alias("node_id"), F.lit("incoming").alias("direction"), F.col("type").alias("relation"), F.col("source_id").alias("other_id"))
+    return nodes.select("node_id").join(out.unionByName(into), "node_id", "left")
+
+
+def with_relations(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """Each node with its first ``most`` outgoing and incoming relations, sorted, as arrays of type:node, for reports."""
 
     def side(own: str, other: str, name: str) -> DataFrame:
         rows = edges.select(F.col(own).alias("node_id"), F.concat_ws(":", "type", other).alias("r"))
-        if most:
-            rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("node_id").orderBy("r"))).where(F.col("_n") <= most)
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("node_id").orderBy("r"))).where(F.col("_n") <= most)
         return rows.groupBy("node_id").agg(F.array_sort(F.collect_list("r")).alias(name))
 
     empty = F.array().cast("array<string>")
@@ -236,6 +245,13 @@ def dependency_report(nodes: DataFrame, edges: DataFrame, start: DataFrame, dept
     return out.withColumn("instability", F.col("direct") / F.greatest(F.col("direct") + F.col("dependents"), F.lit(1)))
 
 
+def same_file(nodes: DataFrame, start: DataFrame, most: int) -> DataFrame:
+    """start_id, node_id: the first ``most`` other symbols of the file of each start."""
+    own = nodes.join(start.select("node_id").distinct(), "node_id").select(F.col("node_id").alias("start_id"), "file_path")
+    near = own.join(nodes.select("file_path", "node_id", "line_start"), "file_path").where("node_id <> start_id")
+    return near.withColumn("_n", F.row_number().over(W.partitionBy("start_id").orderBy("line_start", "node_id"))).where(F.col("_n") <= most).select("start_id", "node_id")
+
+
 def neighbourhood(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2, siblings: int = 8, deps: int = 10) -> DataFrame:
     """start_id, arm, node_id: callers, call targets, dependencies, inheritance, imports and symbols of the same file."""
     hop = lambda kind, forward: walk(edges, start, 1, forward, (kind,))
@@ -246,10 +262,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: i
         ("inheritance", hop("inherits", True), None),
         ("import", hop("imports", True), None),
     ]
-    own = nodes.join(start.select("node_id").distinct(), "node_id").select(F.col("node_id").alias("start_id"), "file_path")
-    near = own.join(nodes.select("file_path", "node_id", "line_start"), "file_path").where("node_id <> start_id")
-    near = near.withColumn("_n", F.row_number().over(W.partitionBy("start_id").orderBy("line_start", "node_id"))).where(F.col("_n") <= siblings)
-    out = near.select("start_id", F.lit("sibling").alias("arm"), "node_id")
+    out = same_file(nodes, start, siblings).withColumn("arm", F.lit("sibling")).select("start_id", "arm", "node_id")
     for name, rows, most in arms:
         rows = rows.groupBy("start_id", "node_id").agg(F.min("depth").alias("depth"))
         if most:

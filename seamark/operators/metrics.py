@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,14 +12,17 @@ from pyspark.sql import functions as F
 def moving_average(events: DataFrame, by: str, value: str, order: tuple[str, ...], keep: float = 0.9) -> DataFrame:
     """by, ema: the last exponential moving average of each key; the first value is taken as it is.
 
-    An average of n ordered values is a weighted sum, so it aggregates without
-    collecting a key's events: weight (1 - keep) * keep ** (values after it).
+    An average of n ordered values is a weighted sum: weight (1 - keep) * keep
+    ** (values after it).  Beyond as many values as it takes for that to fall
+    below 2 ** -60, a double's last bit, nothing changes any more; so each task
+    keeps a key's last ones, and only these are brought together.
     """
-    last = F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in order])) - 1
-    n = F.count("*").over(W.partitionBy(by))
-    rows = events.select(by, value, last.alias("_after"), n.alias("_n"))
-    weight = F.pow(F.lit(keep), F.col("_after")) * F.when(F.col("_after") == F.col("_n") - 1, 1.0).otherwise(1 - keep)
-    return rows.groupBy(by).agg(F.sum(weight * F.col(value)).alias("ema"))
+    most = max(1, math.ceil(60 * math.log(2) / -math.log(keep)))
+    last = F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in order]))
+    rows = events.select(by, value, last.alias("_place")).where(F.col("_place") <= most)
+    counts = events.groupBy(by).agg(F.count("*").alias("_n"))
+    weight = F.pow(F.lit(keep), F.col("_place") - 1) * F.when(F.col("_place") == F.col("_n"), 1.0).otherwise(1 - keep)
+    return rows.join(counts, by).groupBy(by).agg(F.sum(weight * F.col(value)).alias("ema"))
 
 
 def effectiveness(rows: DataFrame) -> DataFrame:
@@ -91,3 +96,14 @@ def after_eviction(entries: DataFrame, by: str, order: tuple[str, ...], share: f
     """What stays of each cache when the oldest ``share`` of its entries, rounded up, goes."""
     w = W.partitionBy(by)
     return entries.withColumns({"_n": F.count("*").over(w), "_p": F.row_number().over(w.orderBy(*order))}).where(F.col("_p") > F.ceil(F.col("_n") * share)).drop("_n", "_p")
+
+
+def signatures(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, signature: changes when a value is added, removed or altered, whatever the order.
+
+    Sums of two parts of each value's digest, and their count: a state of three
+    numbers, so that any number of values aggregates map-side.
+    """
+    part = lambda a: F.conv(F.substring(F.md5(F.col(value)), a, 12), 16, 10).cast("decimal(20,0)")
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(part(1)).alias("a"), F.sum(part(13)).alias("b"))
+    return out.select(by, F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("signature"))

@@ -30,6 +30,9 @@ FRAMEWORKS = (
 SNIPPET_MARKS = ("{", "}", "(", ")", "def ", "class ", "function ", "import ", "return ")
 # End of fixed values.
 
+#: Relations of each kind that a report shows of a node.
+SHOWN = 100
+
 
 def routed(questions: DataFrame) -> DataFrame:
     """query_id, form, symbol of each question; symbols keep their case."""
@@ -60,7 +63,7 @@ def answered(routes: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
 def structural(nodes: DataFrame, edges: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
     """Nodes that fit the terms with their relations among edges that touch them."""
     hits = graph.find_nodes(nodes, terms)
-    return graph.with_relations(hits, graph.touching(edges, hits)).orderBy("type", "name", "node_id").limit(limit)
+    return graph.with_relations(hits, graph.touching(edges, hits), SHOWN).orderBy("type", "name", "node_id").limit(limit)
 
 
 def symbol_search(nodes: DataFrame, name: str, project: str | None = None, names: int = 5, paths: int = 10) -> DataFrame:
@@ -213,10 +216,10 @@ def graph_bonus(score: Column, relations: Column, depth: Column) -> Column:
     return F.least(F.lit(1.0), score + 0.1 + 0.05 * relations - 0.02 * depth)
 
 
-def merged_arms(rows: DataFrame, boost: float = 1.2, least: float = 0.3) -> DataFrame:
-    """One row per key (k) over several searches (k, doc_id, score): the best score, raised where more than one found it."""
-    out = rows.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("s"), F.count("*").alias("n"))
-    return out.select("k", "doc_id", (F.col("s") * F.when(F.col("n") > 1, boost).otherwise(1.0)).alias("score")).where(F.col("score") >= least)
+def merged_arms(rows: DataFrame, boost: float = 1.2, least: float = 0.3, by: tuple[str, ...] = ("k",)) -> DataFrame:
+    """One row per key (``by``) over several searches (by, doc_id, score): the best score, raised where more than one found it."""
+    out = rows.groupBy(*by).agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("s"), F.count("*").alias("n"))
+    return out.select(*by, "doc_id", (F.col("s") * F.when(F.col("n") > 1, boost).otherwise(1.0)).alias("score")).where(F.col("score") >= least)
 
 
 def references(texts: DataFrame, key: str, pattern: str, most: int = 3) -> DataFrame:

@@ -307,12 +307,12 @@ _GATE = f"WITH {_ASKED}, n AS (SELECT query_id, l, {_KINDS}, len(regexp_extract_
 
 @register("r16_graph_gate", _GATE)
 def r16(spark, sf):
-    return asked(spark).select("query_id", F.round(intent.graph_benefit(F.col("query"), F.lit(1)), 6).alias("benefit"), (intent.graph_benefit(F.col("query"), F.lit(1)) >= 0.5).alias("expand"))
+    return asked(spark, sf).select("query_id", F.round(intent.graph_benefit(F.col("query"), F.lit(1)), 6).alias("benefit"), (intent.graph_benefit(F.col("query"), F.lit(1)) >= 0.5).alias("expand"))
 
 
 @register("r22_key_terms")
 def r22(spark, sf):
-    return asked(spark).select("query_id", F.array_join(serving.key_terms(F.col("query")), " ").alias("terms"))
+    return asked(spark, sf).select("query_id", F.array_join(serving.key_terms(F.col("query")), " ").alias("terms"))
 
 
 @register("r19_entities", "SELECT 'db/' || r_regionkey || '.sql' AS file_path, 'sql' AS framework, 1.0::DOUBLE AS confidence FROM region UNION ALL SELECT 'db/' || n_nationkey || '.py', 'sqlalchemy', 0.9 FROM nation")
@@ -377,7 +377,7 @@ def a17(spark, sf):
 
 @register("a23_intent_distribution", f"WITH {_ASKED}, {_SIGNALS}, {_INTENT} SELECT ['specific_symbol', 'conceptual', 'structural', 'debugging', 'exploratory'][k] AS intent, count(*) AS n, round(avg(conf)::DOUBLE, 6) AS mean FROM h GROUP BY k")
 def a23(spark, sf):
-    return intent.classified(asked(spark)).groupBy("intent").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return intent.classified(asked(spark, sf)).groupBy("intent").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
 
 
 @register("a25_merged_relations", "SELECT l_orderkey AS source, l_partkey AS target, max(l_discount) AS confidence, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -390,10 +390,10 @@ def a26(spark, sf):
     return serving.coverage(files(spark, sf), chunks(spark, sf))
 
 
-@register("a27_role_groups", f"WITH {CODE}, r AS (SELECT file_path, CASE {' '.join('WHEN ' + _ANY('lower(file_path)', words) + f' THEN {_q(role)}' for role, words in extract.ROLES)} ELSE 'component' END AS role FROM code) SELECT role, string_agg(file_path, ',' ORDER BY file_path) AS members FROM r GROUP BY role")
+@register("a27_role_groups", f"WITH {CODE}, r AS (SELECT file_path, CASE {' '.join('WHEN ' + _ANY('lower(file_path)', words) + f' THEN {_q(role)}' for role, words in extract.ROLES)} ELSE 'component' END AS role FROM code) SELECT role, file_path, count(*) OVER (PARTITION BY role) AS members FROM r")
 def a27(spark, sf):
     r = code(spark, sf).select(extract.role(F.col("file_path")).alias("role"), "file_path")
-    return r.groupBy("role").agg(F.array_join(F.array_sort(F.collect_list("file_path")), ",").alias("members"))
+    return r.join(r.groupBy("role").agg(F.count("*").alias("members")), "role").select("role", "file_path", "members")
 
 
 @register("a28_session_stats", "SELECT user_id, count(*) AS n, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS failed FROM events GROUP BY user_id")

@@ -133,13 +133,12 @@ def j15(spark, sf):
     return n.alias("x").join(n.alias("y"), F.expr("x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")).select(F.col("x.n_name").alias("a"), F.col("y.n_name").alias("b"))
 
 
-_NEST = "WITH o AS (SELECT source_id AS node_id, array_to_string(list_sort(list(type || ':' || target_id)), ' ') AS outgoing FROM edges GROUP BY source_id), i AS (SELECT target_id AS node_id, array_to_string(list_sort(list(type || ':' || source_id)), ' ') AS incoming FROM edges GROUP BY target_id) SELECT node_id, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming FROM nodes LEFT JOIN o USING (node_id) LEFT JOIN i USING (node_id)"
+_NEST = "WITH r AS (SELECT source_id AS node_id, 'outgoing' AS direction, type AS relation, target_id AS other_id FROM edges UNION ALL SELECT target_id, 'incoming', type, source_id FROM edges) SELECT node_id, direction, relation, other_id FROM nodes LEFT JOIN r USING (node_id)"
 
 
 @register("j17_nested_relations", sql(_NEST, "nodes", "edges"))
 def j17(spark, sf):
-    out = graph.with_relations(nodes(spark, sf), edges(spark, sf))
-    return out.select("node_id", F.array_join("outgoing", " ").alias("outgoing"), F.array_join("incoming", " ").alias("incoming"))
+    return graph.relations(nodes(spark, sf), edges(spark, sf))
 
 
 @register("s15_node_upsert", sql("SELECT node_id, CASE WHEN node_id LIKE 'nation:%' THEN 'new ' || name ELSE name END AS name FROM nodes", "nodes"))

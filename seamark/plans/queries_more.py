@@ -13,9 +13,9 @@ from ..sources import sinks
 from ..sources.sinks import scratch
 from ..streaming import jobs
 from .queries_code import _IMPORTS, _LANG, CODE, code
-from .queries_search import _ASKED, _BASE, _DOCS, _INDEX, _INTENT, _L2, _NEAR, _SIGNALS, asked, documents, questions, vector_queries
+from .queries_search import _ASKED, _BASE, _DOCS, _FUSED, _INDEX, _INTENT, _L2, _NEAR, _SIGNALS, _arms, asked, documents, questions, vector_queries
 from .registry import register
-from .tables import chunks, edges, files, nodes, read, sql
+from .tables import chunks, edges, files, nodes, read, search_index, sql
 
 
 @register("s5_followed_links", sql("SELECT file_path FROM files WHERE doc_id % 4 <> 0 UNION SELECT b.file_path FROM files a JOIN files b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 4 = 0", "files"))
@@ -103,9 +103,8 @@ def s27(spark, sf):
 @register("s31_golden_set", f"WITH {_DOCS} SELECT CAST(doc_id % 40 AS BIGINT) AS query_id, CAST(doc_id % 3 AS VARCHAR) AS category, count(*) AS expected FROM docs GROUP BY ALL")
 def s31(spark, sf):
     path = scratch(spark)
-    g = documents(spark, sf).groupBy((F.col("doc_id") % 40).alias("query_id"), (F.col("doc_id") % 3).cast("string").alias("category")).agg(F.collect_list("doc_id").alias("expected"))
-    sinks.write_golden(g, path)
-    return sinks.read_golden(spark, path).select("query_id", "category", F.size("expected").cast("long").alias("expected"))
+    sinks.write_golden(documents(spark, sf).select((F.col("doc_id") % 40).alias("query_id"), (F.col("doc_id") % 3).cast("string").alias("category"), "doc_id"), path)
+    return sinks.read_golden(spark, path).groupBy("query_id", "category").agg(F.count("*").alias("expected"))
 
 
 @register("s29_file_tools", sql("SELECT 'list' AS tool, file_path AS value FROM (SELECT file_path FROM files WHERE file_path LIKE 'src4/%' ORDER BY file_path LIMIT 50) UNION ALL SELECT 'read', content FROM files WHERE doc_id = 3", "files"))
@@ -263,12 +262,12 @@ def v3(spark, sf):
 @register("r1_question_features", f"WITH {_ASKED} SELECT query_id, len(regexp_extract_all(query, '\\S+')) AS words, contains(query, '(') OR contains(query, '.') AS has_code, regexp_matches(lower(query), '^(how|what|why|where|when|which)\\b') AS is_question FROM a")
 def r1(spark, sf):
     q = F.col("query")
-    return asked(spark).select("query_id", F.size(F.regexp_extract_all(q, F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), (F.contains(q, F.lit("(")) | F.contains(q, F.lit("."))).alias("has_code"), F.lower(q).rlike(r"^(how|what|why|where|when|which)\b").alias("is_question"))
+    return asked(spark, sf).select("query_id", F.size(F.regexp_extract_all(q, F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), (F.contains(q, F.lit("(")) | F.contains(q, F.lit("."))).alias("has_code"), F.lower(q).rlike(r"^(how|what|why|where|when|which)\b").alias("is_question"))
 
 
 @register("r3_intents", f"WITH {_ASKED}, {_SIGNALS}, {_INTENT} SELECT query_id, ['specific_symbol', 'conceptual', 'structural', 'debugging', 'exploratory'][k] AS intent FROM h")
 def r3(spark, sf):
-    return intent.classified(asked(spark)).select("query_id", "intent")
+    return intent.classified(asked(spark, sf)).select("query_id", "intent")
 
 
 @register("r9_semantic_search", f"WITH {_NEAR.format(_L2, '')} SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(greatest(0.1, 1 - rank * 0.2 + 0.2), 6)::DOUBLE AS score FROM nr WHERE rank <= 10")
@@ -282,11 +281,17 @@ def r17(spark, sf):
     return d.select("node_id", F.round(serving.graph_bonus(F.lit(0.3), F.col("n"), F.col("n") % 4), 6).alias("score"))
 
 
-@register("r18_merged_arms", "WITH a AS (SELECT source || left(text, 100) AS k, doc_id, 0.5 AS s FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source || left(text, 100), doc_id, 0.4 FROM documents WHERE doc_id % 3 = 0), g AS (SELECT k, min(doc_id) AS doc_id, max(s) * CASE WHEN count(*) > 1 THEN 1.2 ELSE 1 END AS s FROM a GROUP BY k) SELECT doc_id, round(s, 6)::DOUBLE AS score FROM g WHERE s >= 0.3")
+@register(
+    "r18_merged_arms",
+    _FUSED + ", t AS (SELECT query_id, doc_id, vs AS s FROM va UNION ALL SELECT query_id, doc_id, bs FROM ka), a AS (SELECT query_id, source || left(text, 100) AS k, doc_id, s FROM t JOIN documents USING (doc_id)), g AS (SELECT query_id, k, min(doc_id) AS doc_id, max(s) * CASE WHEN count(*) > 1 THEN 1.2 ELSE 1 END AS s FROM a GROUP BY query_id, k) SELECT query_id, doc_id, round(s, 6)::DOUBLE AS score FROM g WHERE s >= 0.3",
+)
 def r18(spark, sf):
-    d = read(spark, sf, "documents").withColumn("k", F.concat("source", F.substring("text", 1, 100)))
-    arms = d.where("doc_id % 2 = 0").select("k", "doc_id", F.lit(0.5).alias("score")).unionByName(d.where("doc_id % 3 = 0").select("k", "doc_id", F.lit(0.4).alias("score")))
-    return serving.merged_arms(arms).select("doc_id", F.round("score", 6).alias("score"))
+    """Keyword and vector search of every question, merged by source and opening."""
+    vector, keyword = _arms(spark, sf)
+    keyword = fusion.normalised(keyword, "bm25_score").select("query_id", "doc_id", F.col("bm25_score").alias("score"))
+    arms = vector.select("query_id", "doc_id", F.col("vector_score").alias("score")).unionByName(keyword)
+    d = read(spark, sf, "documents").select("doc_id", F.concat("source", F.substring("text", 1, 100)).alias("k"))
+    return serving.merged_arms(arms.join(d, "doc_id"), by=("query_id", "k")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @register("r20_file_search", sql("SELECT file_path FROM files WHERE regexp_matches(lower(file_path), 'src1.*/de/') QUALIFY row_number() OVER (PARTITION BY project ORDER BY file_path) <= 3", "files"))
@@ -297,7 +302,7 @@ def r20(spark, sf):
 
 @register("r21_auto_context", _BASE + ", r AS (SELECT query_id, doc_id, score FROM sc WHERE round(score, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 8), u AS (SELECT *, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM r JOIN docs USING (doc_id)) SELECT query_id, count(*) AS passages FROM u WHERE used <= 3800 OR (used - greatest(1, length(text) // 4) <= 3800 AND 3800 - used + greatest(1, length(text) // 4) > 100) GROUP BY query_id")
 def r21(spark, sf):
-    index = bm25.build(documents(spark, sf))
+    index = search_index(spark, sf)
     top = bm25.search(index, questions(spark, sf), 8).join(index.documents.select("doc_id", "text"), "doc_id")
     return context.within_budget(top.select("query_id", "doc_id", "score", "text")).groupBy("query_id").agg(F.count("*").alias("passages"))
 
@@ -309,7 +314,7 @@ def r25(spark, sf):
 
 @register("r29_hits_in_context", _BASE + ", r AS (SELECT query_id, doc_id FROM sc WHERE round(score, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 3) SELECT query_id, doc_id, file_path, (SELECT count(*) FROM docs e WHERE regexp_replace(e.file_path, '/[^/]*$', '') = regexp_replace(d.file_path, '/[^/]*$', '')) AS siblings FROM r JOIN docs d USING (doc_id)")
 def r29(spark, sf):
-    index = bm25.build(documents(spark, sf))
+    index = search_index(spark, sf)
     folder = F.regexp_replace("file_path", "/[^/]*$", "")
     near = index.documents.groupBy(folder.alias("folder")).agg(F.count("*").alias("siblings"))
     top = bm25.search(index, questions(spark, sf), 3).select("query_id", "doc_id", "file_path", folder.alias("folder"))
@@ -324,8 +329,7 @@ def k9(spark, sf):
 @register("k11_siblings", sql("SELECT a.node_id AS start_id, b.node_id FROM nodes a JOIN nodes b ON a.file_path = b.file_path AND a.node_id <> b.node_id WHERE a.node_id LIKE 'nation:%' QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY b.line_start, b.node_id) <= 10", "nodes"))
 def k11(spark, sf):
     n = nodes(spark, sf)
-    near = graph.neighbourhood(n, edges(spark, sf).limit(0), n.where(F.startswith("node_id", F.lit("nation:"))), siblings=10)
-    return near.where("arm = 'sibling'").select("start_id", "node_id")
+    return graph.same_file(n, n.where(F.startswith("node_id", F.lit("nation:"))), 10)
 
 
 @register("k13_symbol_report", sql("WITH m AS (SELECT node_id, name FROM nodes WHERE type = 'class' AND contains(lower(name), 'a') ORDER BY type, name, node_id LIMIT 20), i AS (SELECT target_id AS node_id, count(*) AS n FROM edges WHERE type IN ('calls', 'imports', 'inherits') GROUP BY 1) SELECT node_id, name, coalesce(n, 0) AS dependents FROM m LEFT JOIN i USING (node_id)", "nodes", "edges"))

@@ -96,10 +96,9 @@ def t4(spark, sf):
     return read(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses"))
 
 
-@register("t5_signature", "SELECT source, sha256(string_agg(doc_id || ':' || n_chars, ',' ORDER BY doc_id || ':' || n_chars)) AS signature FROM documents GROUP BY source")
+@register("t5_signature", "WITH f AS (SELECT source, md5(doc_id || ':' || n_chars) AS m FROM documents), s AS (SELECT source, count(*) AS n, sum(('0x' || left(m, 12))::BIGINT) AS a, sum(('0x' || m[13:24])::BIGINT) AS b FROM f GROUP BY source) SELECT source, sha256(n || ':' || a || ':' || b) AS signature FROM s")
 def t5(spark, sf):
-    d = read(spark, sf, "documents").select("source", F.concat_ws(":", "doc_id", "n_chars").alias("f"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), ","), 256).alias("signature"))
+    return metrics.signatures(read(spark, sf, "documents").select("source", F.concat_ws(":", "doc_id", "n_chars").alias("f")), "source", "f")
 
 
 @register("w3_positional_scores", "SELECT doc_id, round(greatest(0.1, 1 - (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) * 0.2), 6)::DOUBLE AS score FROM documents")

@@ -7,10 +7,14 @@ are derived from its tables; each function has its SQL beside it in ``CTE``.
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..operators import bm25
+
 CHUNK = 400
 
 #: Node kinds: table, key, type, name, file path, first line.
@@ -36,6 +40,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, file_path, text."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt"))).alias("file_path"), "text")
+
+
+#: Saved indexes of this session, by the state of the files that they were built from.
+_indexes: dict[tuple, str] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The saved keyword index of a folder's documents, built where it is missing or older than they are."""
+    from ..operators import bm25
+    from ..sources.sinks import scratch
+
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = tuple((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in store.listStatus(place))
+    key = (spark.sparkContext.applicationId, state)
+    if key not in _indexes:
+        path = scratch(spark)
+        bm25.build(documents(spark, sf_dir)).save(path)
+        _indexes[key] = path
+    return bm25.Index.load(spark, _indexes[key])
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, project, file_path, size, content, modified of every document."""
     d = read(spark, sf_dir, "documents")
@@ -54,7 +84,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.chunking import fixed_chunks
 
     f = files(spark, sf_dir).select("doc_id", "project", "file_path", F.col("content").alias("text"))
-    return fixed_chunks(f, CHUNK).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("position"))
+    return fixed_chunks(f, CHUNK).withColumn("chunk_id", F.col("doc_id") * 100_000_000 + F.col("position"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +118,7 @@ def _union(parts: list[str]) -> str:
 #: Each table as one common table expression.
 CTE = {
     "files": "files AS (SELECT doc_id, source AS project, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, CAST(octet_length(encode(text)) AS BIGINT) AS size, text AS content, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INT)) AS modified FROM documents)",
-    "chunks": f"chunks AS (SELECT doc_id * 100000 + i AS chunk_id, doc_id, source AS project, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, CAST(i AS INT) AS position, substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS text FROM documents, unnest(range(0, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT))) AS r(i))",
+    "chunks": f"chunks AS (SELECT doc_id * 100000000 + i AS chunk_id, doc_id, source AS project, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, CAST(i AS INT) AS position, substring(text, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}) AS text FROM documents, unnest(range(0, CAST(ceil(length(text) / {CHUNK}.0) AS BIGINT))) AS r(i))",
     "nodes": "nodes AS (" + _union([f"SELECT '{t}:' || {k} AS node_id, '{kind}' AS type, {name} AS name, {path} AS file_path, CAST({line} AS INT) AS line_start, CAST({line} + 9 AS INT) AS line_end FROM {t}" for t, k, kind, name, path, line in _KINDS]) + ")",
     "edges": "edges AS (" + _union([f"SELECT {'DISTINCT ' if t == 'lineitem' else ''}'{a}:' || {ak} AS source_id, '{b}:' || {bk} AS target_id, '{kind}' AS type FROM {t}" for t, a, ak, b, bk, kind in _LINKS]) + ")",
     "transitions": "transitions AS (SELECT DISTINCT source_id, target_id, 'calls' AS type FROM (SELECT event_type AS source_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target_id FROM events) WHERE target_id IS NOT NULL)",

@@ -13,8 +13,15 @@ from ..functions.text import project_of
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, removed when the driver's Python ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """A new folder that driver and executors share, removed when the driver's Python ends.
+
+    It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse, on a single machine only.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{base}/{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -26,6 +33,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in ``scratch``: joins that read it can split its hot keys, and nothing below is computed again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, most: int) -> DataFrame:
+    """``df`` as a broadcast side if it has at most ``most`` rows, which is measured, else as a written table."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return written(df)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def write_by_project(table: DataFrame, path: str) -> None:
     """Replaces the projects that ``table`` (with file_path) has, and no other."""
     out = table.withColumn("project", F.coalesce(project_of(F.col("file_path")), F.lit("none")))
@@ -57,12 +79,14 @@ def write_index(files: DataFrame, path: str) -> dict[str, str]:
 
 
 def write_golden(golden: DataFrame, path: str) -> None:
-    golden.write.mode("overwrite").json(path)
+    """JSON lines of (query_id, category, doc_id), a line for each document that a question should find."""
+    golden.select("query_id", "category", "doc_id").write.mode("overwrite").json(path)
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, category, expected of a golden set in JSON lines."""
-    return spark.read.schema("query_id long, category string, expected array<long>").json(path)
+    """query_id, category, doc_id of a golden set in JSON lines; lists of documents under ``expected`` are read too."""
+    rows = spark.read.schema("query_id long, category string, doc_id long, expected array<long>").json(path)
+    return rows.select("query_id", "category", F.explode(F.coalesce("expected", F.array("doc_id"))).alias("doc_id"))
 
 
 def followed(paths: DataFrame, links: DataFrame, depth: int = 5) -> DataFrame:

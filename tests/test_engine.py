@@ -117,7 +117,7 @@ def test_interval_link(spark):
 
 def test_metrics_of_retrieval(spark):
     res = spark.createDataFrame([(1, i + 1, d) for i, d in enumerate("abcde")], "query_id long, rank int, doc_id string")
-    gold = spark.createDataFrame([(1, "x", ["b", "e", "z"]), (2, "y", ["q"])], "query_id long, category string, expected array<string>")
+    gold = spark.createDataFrame([(1, "x", "b"), (1, "x", "e"), (1, "x", "z"), (1, "x", "e"), (2, "y", "q")], "query_id long, category string, doc_id string")
     out = evaluate.per_query(res, gold)
     r = out.where("query_id = 1").first()
     assert [r[m] for m in evaluate.METRICS] == pytest.approx([1 / 3, 2 / 5, 0, 2 / 3, 1 / 2])
