@@ -6,8 +6,11 @@ framing; a block over ``SEGMENT_BYTES`` is cut into a first record and
 ``revisit`` records.  Spark's text writer puts the records into gzip archives in
 any store it can write, and commits them as it commits any table.
 
-Reading: archives are read whole (the writer bounds their records), parsed by
-their content lengths, and continuation records are grouped by their origin,
+An archive is bounded by records and, as a record's block is a segment at most,
+by bytes: about ``ARCHIVE_RECORDS * SEGMENT_BYTES`` and the headers, unpacked.
+
+Reading: a task holds one packed archive and one record of it at a time; records
+are parsed by their content lengths, and continuation records are grouped by their origin,
 put in order by segment number, checked against the total length, and decoded.
 Blocks of one record go to one task, and a record is no longer than its page.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, only, shared_path, to_arrow_schema, written
+from .common import map_batches, map_rows, only, shared_path, to_arrow_schema, written
 
 #: Bytes of a chunk, of a segment's block, and of the shortest payload that is worth a revisit; records of an archive.
 CHUNK_BYTES, SEGMENT_BYTES, REVISIT_BYTES, ARCHIVE_RECORDS = 4096, 16384, 100, 2000
@@ -134,22 +138,26 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (small letters) and block of every record of an archive, compressed as a whole, by record, or not at all."""
-    data = gzip.decompress(archive) if archive[:2] == b"\x1f\x8b" else archive
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode().split("\r\n")[1:])}
+    """Header fields (small letters) and block of every record of an archive, compressed as a whole, by record, or not at all.
+
+    Records are read one by one: of what is unpacked only one is held.
+    """
+    raw = io.BytesIO(archive)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) if archive[:2] == b"\x1f\x8b" else raw
+    while line := stream.readline():
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        fields = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode().partition(":")
+            fields[k.strip().lower()] = v.strip()
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = stream.read(size)
         if len(block) != size:
             raise ValueError("an archive ends within a record")
         yield fields, block
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
 
 
 def _page(uri: str | None) -> int | None:
@@ -179,7 +187,6 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: whole ones decoded, segments with their blocks; see ``RECORDS``."""
-    bounded_batches(spark)
     arrow = to_arrow_schema(spark, RECORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +202,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return map_batches(spark.read.format("binaryFile").load(path).select("content"), run, RECORDS)
 
 
 def reassembled(segments: DataFrame) -> DataFrame:

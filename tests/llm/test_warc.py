@@ -62,3 +62,27 @@ def test_chunked_framing():
         warc.dechunked(b"9\r\nabc\r\n0\r\n\r\n")
     assert all(p.decode() is not None for p in warc.cut(data, 7))
     assert warc.payload_of(b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nplain") == b"plain"
+
+
+def test_archives_of_many_long_pages_are_bounded(spark, monkeypatch, tmp_path):
+    import gzip
+    import pathlib
+
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 40)
+    html = [("é" * 50_000 + str(i)) for i in range(30)] + ["x" * 300_000, None, ""]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").selectExpr("page_id", "'http://a.b/c' AS url", "html", "1 AS digest").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/out")
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in pathlib.Path(f"{tmp_path}/out").glob("*.gz")]
+    assert len(sizes) > 5 and max(sizes) <= 40 * (warc.SEGMENT_BYTES + 1000)
+    rows = {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(spark, f"{tmp_path}/out").collect()}
+    assert rows == {i: len((h or "").encode()) for i, h in enumerate(html)}
+
+
+def test_archives_compressed_by_record_or_not_at_all():
+    import gzip
+
+    records = [warc.records_of(i, "u", f"page {i}", "d", None, "s")[0].encode() + b"\r\n\r\n" for i in range(5)]
+    for archive in (b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records)), b"".join(records)):
+        assert [warc.payload_of(b) for _, b in warc.parsed(archive)] == [f"page {i}".encode() for i in range(5)]
+    with pytest.raises(ValueError):
+        list(warc.parsed(b"".join(records)[:-20]))
