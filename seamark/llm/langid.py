@@ -8,14 +8,17 @@ spans of different languages in one text are found.  Scores of a whole Arrow
 batch are computed at once; a text that provably has no switch (no run of words
 gains more from other languages than one penalty) skips the dynamic program.
 
-How well its languages explain a text, the mean log likelihood of a letter, is
-its ``fit``.  On a bounded sample of the training documents a least fit is
-learned for each language, far below what its own documents have: texts below it
-are in no learned language, and ``known_language`` rejects them.
+How well its languages explain a text is its ``fit``: the median, over the letters
+of words that touch no digit, of the mean log likelihood of their word's letters;
+a few odd words, as names and keys, don't move it.  Where it is below that of the
+uniform distribution over all cells, knowing the language explains the text worse
+than knowing nothing: it is in no learned language, and ``known_language`` rejects
+it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Iterator
 from typing import NamedTuple
 
@@ -30,10 +33,8 @@ from .common import map_batches, map_rows, only, to_arrow_schema
 CELLS, PENALTY, SCRIPT_SHARE = 1 << 16, 12.0, 0.01
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Training documents (expected) whose fit is measured; fewest letters (bytes) that tell whether a text is in a language.
-FIT_DOCUMENTS, FIT_LETTERS = 20_000, 20
-#: The least fit lies this many times the way from the median to the lowest hundredth below the median.
-FIT_WAY = 4.0
+#: Fit of the uniform distribution; fewest letters (bytes) that tell whether a text is in a language.
+LEAST_FIT, FIT_LETTERS = -math.log(CELLS), 60
 #: Characters that are scored at once, over the number of languages.
 PIECE = 1 << 21
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, fit double"
@@ -91,10 +92,13 @@ class Words:
     def __init__(self, texts: list[str | None]):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         joined = b" " + b" ".join(raw) + b"     "
-        data = FOLD[np.frombuffer(joined, np.uint8)]
+        source = np.frombuffer(joined, np.uint8)
+        data = FOLD[source]
         letter = data != 32
         self.start = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
         self.end = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+        digit = (source >= 48) & (source <= 57)
+        self.plain = ~(digit[self.start - 1] | digit[self.end])
         wide = data.astype(np.uint32)
         h = (wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) * np.uint32(0x9E3779B1)
         self.cell = (h >> np.uint32(16)).astype(np.int32)  # of the trigram round place i + 1
@@ -129,8 +133,6 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
-        #: Least fit of a text in each language.
-        self.floor = np.full(len(langs), -np.inf)
         if langs:
             total = counts.sum(1, keepdims=True)
             self.table = np.ascontiguousarray(np.log((counts + SMOOTHING) / (total + SMOOTHING * CELLS)).T.astype(np.float32))
@@ -214,30 +216,7 @@ def train(docs: DataFrame) -> Model:
     table = np.zeros((len(langs), CELLS + len(NAMES)), np.int64)
     if langs:
         table[np.searchsorted(langs, counts["lang"].to_pylist()), counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    return with_floor(Model(langs, table[:, :CELLS], table[:, CELLS:]), rows)
-
-
-def with_floor(model: Model, rows: DataFrame, sample: int = FIT_DOCUMENTS) -> Model:
-    """The model with the least fit of each language, from about ``sample`` of the training rows."""
-    if not model.langs:
-        return model
-    share = int(min(1.0, sample / max(1, rows.count())) * 1_000_000)
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict:
-            found = predicted(shared.value, batch.column(0).to_pylist())
-            keep = [(x.lang, x.fit) for x in found if x.letters >= FIT_LETTERS]
-            return {"lang": [x for x, _ in keep], "fit": [y for _, y in keep]}
-
-        return step
-
-    fits = map_rows(rows.select("text"), make, "lang string, fit double").groupBy("lang").agg(F.percentile("fit", [0.5, 0.01]).alias("q"))
-    for r in fits.collect():
-        middle, low = r["q"]
-        model.floor[model.langs.index(r["lang"])] = middle - FIT_WAY * max(middle - low, 0.1)
-    return model
+    return Model(langs, table[:, :CELLS], table[:, CELLS:])
 
 
 def labelled_words(model: Model, texts: list[str | None]) -> Iterator[tuple[int, Words, slice, np.ndarray, np.ndarray]]:
@@ -254,7 +233,7 @@ def labelled_words(model: Model, texts: list[str | None]) -> Iterator[tuple[int,
 class Prediction(NamedTuple):
     lang: str = UNKNOWN
     score: float = 0.0
-    #: Mean log likelihood of a letter under the text's labels; letters (bytes).
+    #: Median over letters of their word's mean log likelihood, under the text's labels; letters (bytes) of words that touch no digit.
     fit: float = 0.0
     letters: int = 0
 
@@ -276,8 +255,12 @@ def predicted(model: Model, texts: list[str | None]) -> list[Prediction]:
         best = int(letters.argmax())
         own = s[path == best].sum(0)
         margin = own[best] - np.delete(own, best).max() if len(own) > 1 else np.inf
-        fit = s[np.arange(len(s)), path].sum() / size.sum()
-        out[i] = Prediction(model.langs[best], float(letters[best] / letters.sum() / (1 + np.exp(-max(0.0, margin)))), float(fit), int(size.sum()))
+        plain = np.flatnonzero(words.plain[here])
+        each, weight = (s[np.arange(len(s)), path] / size)[plain], size[plain]
+        fit, order = 0.0, np.argsort(each)
+        if len(plain):
+            fit = each[order[np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)]]
+        out[i] = Prediction(model.langs[best], float(letters[best] / letters.sum() / (1 + np.exp(-max(0.0, margin)))), float(fit), int(weight.sum()))
     return out
 
 
@@ -324,8 +307,7 @@ def known_language(docs: DataFrame, model: Model | None = None, languages: Colle
     """The documents, all columns, that are in a language; ``lang`` becomes the language that was found.
 
     Rejected are texts that are null or have no letter, texts of ``FIT_LETTERS``
-    letters or more whose fit is below their language's least (shorter ones
-    can't be told), and, where a caller asks, those whose language is not among
+    letters or more whose fit is below ``LEAST_FIT`` (shorter ones can't be told), and, where a caller asks, those whose language is not among
     ``languages`` or whose score is below ``least``.  Where nothing could be
     learned, because no row has a language, every text with a letter stays as
     it is, with its ``lang``.  Rows that repeat an id are judged each.
@@ -335,14 +317,13 @@ def known_language(docs: DataFrame, model: Model | None = None, languages: Colle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        floor = dict(zip(m.langs, m.floor))
         for batch in batches:
             texts = batch.column(at).to_pylist()
             if not m.langs:
                 yield batch.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
                 continue
             found = predicted(m, texts)
-            keep = [x.lang != UNKNOWN and (x.letters < FIT_LETTERS or x.fit >= floor[x.lang]) and (languages is None or x.lang in languages) and x.score >= least for x in found]
+            keep = [x.lang != UNKNOWN and (x.letters < FIT_LETTERS or x.fit >= LEAST_FIT) and (languages is None or x.lang in languages) and x.score >= least for x in found]
             columns = list(batch.columns)
             if "lang" in names:
                 i = names.index("lang")
