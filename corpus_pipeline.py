@@ -1,8 +1,11 @@
 """A training corpus from ``documents``: five stages, each over all that the one before kept.
 
-Language identification drops documents without a language; near-duplicate
-groups keep their smallest id; contaminated documents go; secrets are masked in
-place; what is left is packed.
+Language identification sets ``lang`` and drops documents in no language;
+near-duplicate groups keep their smallest id; contaminated documents go; secrets
+are masked in place; what is left is packed.  A null or empty text is in no
+language; rows that repeat an id are judged each by their text, and a row
+without an id has no near-duplicates; more columns, whatever their names, are
+passed on.  An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from seamark.llm import common, decontam, langid, minhash, packing, queries, secrets
 
 
+#: Words of a shingle, as near-duplicate stages take them (the contract of op4 alone has four).
+SHINGLE = 5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.known_language(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.without_near_duplicates(docs)
+    return minhash.without_near_duplicates(docs, shingle=SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

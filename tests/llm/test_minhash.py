@@ -8,14 +8,14 @@ from seamark.llm import minhash
 from .conftest import ODD
 
 
-def shingles(t):
+def shingles(t, n=4):
     w = (t or "").translate({c: c + 32 for c in range(65, 91)}).replace("\x0b", " ").replace("\x0c", " ")
     w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", w) if x]
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, n=4):
+    sets = [shingles(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):

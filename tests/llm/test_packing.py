@@ -87,3 +87,24 @@ def test_step_groups_are_even():
     for s, g in zip(sizes, groups):
         total[g] += s
     assert min(total) == 5 and max(total.values()) - min(total.values()) <= 4096
+
+
+def test_other_tokenizers_encode_whole_texts(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  World, it's\n\nfine", "x" * 300, "", "É漢字 A B"]
+    words, plain = packing.WordIds(path), Tokenizer.from_file(path)
+    assert packing.WordIds(PATH).by_words and not words.by_words
+    for t in texts:
+        assert words.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_memo_ages_and_stays_right(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_WORDS", 20)
+    words, fresh = packing.WordIds(PATH), packing.WordIds(PATH)
+    rng = random.Random(4)
+    for _ in range(60):
+        text = " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(50))
+        assert words.ids(text) == fresh.encoded(text)
+        assert len(words) <= 40 and len(words.old) <= 40 and len(words.cores) <= 80
