@@ -12,8 +12,8 @@ size: no shuffle, no state beyond one block and one open window.
 
 from __future__ import annotations
 
-import functools
 import heapq
+import json
 import os
 import re
 import sys
@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, only, to_arrow_schema
+from .common import kept as kept_by_worker
+from .common import map_batches, only, to_arrow_schema
 
 TIERS = (4096, 2048, 1024, 512)
 END_ID = 2
@@ -35,8 +36,8 @@ END_ID = 2
 STEP_TOKENS = 16 * 4096
 #: Tokens that are packed at once.
 BLOCK_TOKENS = 1 << 20
-#: Pieces of text whose ids a worker remembers (and twice as many cores).
-MEMO_WORDS = 500_000
+#: Young pieces of text whose ids a worker remembers (as many old ones, and as many cores of both kinds: about 110 MB in all), and the longest such piece.
+MEMO_WORDS, MEMO_LENGTH = 250_000, 32
 #: ASCII punctuation that may follow a word (no apostrophe: 's and the like are tokens).
 TAIL = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -50,6 +51,17 @@ _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(_OTHER)}
 
+#: Settings of the one kind of tokenizer whose texts can be taken apart at white space (fixed values of its file).
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def small(core: bytes) -> bytes:
     """The core in small letters where that is the same before and after normalising: Latin letters up to U+00FF."""
@@ -59,59 +71,105 @@ def small(core: bytes) -> bytes:
     return text.lower().encode() if text.isalpha() and max(text) <= "\u00ff" else core
 
 
-class WordIds(dict):
+class Memo(dict):
+    """The last entries: when ``MEMO_WORDS`` are young they become the old ones, whose entries come back when they are asked for."""
+
+    def __init__(self):
+        self.old: dict[bytes, bytes] = {}
+
+    def found(self, key: bytes) -> bytes | None:
+        if (out := self.old.get(key)) is not None:
+            self[key] = out
+        return out
+
+    def aged(self) -> None:
+        """To be called now and then, as after each text."""
+        if len(self) > MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
+class WordIds(Memo):
     """Ids of text between ASCII white space, as little-endian uint32 bytes.
 
-    The tokenizer drops white space before it splits, and neither its
-    normaliser nor its merges look across it, so a text's ids are those of its
-    pieces in a row.  It also splits a letter or digit from ASCII punctuation
-    after it, so a piece's ids are those of its core and of that tail; cores are
-    remembered apart, as most words stand with and without a tail.
+    Where the tokenizer's own settings say that it drops white space before it
+    splits, that neither its normaliser nor its merges look across it, and that
+    it splits a letter or digit from ASCII punctuation after it, a text's ids
+    are those of its pieces in a row, and a piece's ids are those of its core
+    and of that tail; cores are remembered apart, as most words stand with and
+    without a tail.  With any other settings texts are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cores: dict[bytes, bytes] = {}
+        self.by_words = splits_words(json.loads(self.tokenizer.to_str()))
+        self.cores = Memo()
 
     def __missing__(self, piece: bytes) -> bytes:
+        if (out := self.found(piece)) is not None:
+            return out
         core = piece.rstrip(TAIL)
         if core and b"<|" not in piece and b"'" not in piece and (core[-1:].isalnum() or core[-2:].decode("utf-8", "ignore").lower().isalpha()):
             tail = piece[len(core) :]
             out = self.core(small(core)) + (self.core(tail) if tail else b"")
         else:
             out = self.core(piece)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        if len(piece) <= 64:
+        if len(piece) <= MEMO_LENGTH:
             self[piece] = out
         return out
 
     def core(self, piece: bytes) -> bytes:
-        if (out := self.cores.get(piece)) is None:
+        if (out := self.cores.get(piece)) is None and (out := self.cores.found(piece)) is None:
             text = piece.decode("utf-8", "replace")
             if LATIN.fullmatch(text):
-                ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(BYTE_SIGNS))]
+                out = as_bytes([t.id for t in self.model.tokenize(piece.decode("latin-1").translate(BYTE_SIGNS))])
             else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            out = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
-            if len(self.cores) >= 2 * MEMO_WORDS:
-                self.cores.clear()
-            if len(piece) <= 64:
+                out = self.encoded(text)
+            if len(piece) <= MEMO_LENGTH:
                 self.cores[piece] = out
         return out
 
+    def encoded(self, text: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if not self.by_words:
+            return self.encoded(raw.decode("utf-8", "replace"))
+        out = []
+        # A long text's pieces are taken in runs, so that the memo stays within its bound.
+        for at in range(0, len(pieces := raw.split()), MEMO_WORDS):
+            out += map(self.__getitem__, pieces[at : at + MEMO_WORDS])
+            self.aged()
+            self.cores.aged()
+        return b"".join(out)
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
+def splits_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those that ``WordIds`` takes a text apart by.
+
+    Known is one kind, as its file states it: added tokens in ``<|`` and ``|>``
+    alone, a byte-level merge model without prefix or suffix, and the
+    normaliser and pre-tokenizer below.
+    """
+    model = settings["model"]
+    plain = {k: model.get(k) for k in PLAIN_MODEL}
+    added = all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in settings["added_tokens"])
+    return added and plain == PLAIN_MODEL and settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER and settings["truncation"] is None
 
 
-@functools.cache
 def word_ids(path: str) -> WordIds:
-    """One for each worker process, kept from task to task."""
-    return WordIds(path)
+    """One for each worker process, kept while packing tasks follow each other."""
+    return kept_by_worker(("word ids", path), lambda: WordIds(path))
 
 
 class Packer:
@@ -218,7 +276,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     piece's ids as ``input_ids``.
     """
     schema = SCHEMA + (", input_ids array<long>" if with_ids else "")
-    bounded_batches(docs.sparkSession)
     arrow = to_arrow_schema(docs.sparkSession, schema)
     last = np.array([end_id], "<u4").tobytes()
 
@@ -264,4 +321,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
         windows.extend(packer.flush())
         yield from rows()
 
-    return only(docs, "doc_id", "text").mapInArrow(run, schema)
+    return map_batches(only(docs, "doc_id", "text"), run, schema, keeps=("word ids", tokenizer_path))
