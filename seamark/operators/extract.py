@@ -319,14 +319,43 @@ def ranked_components(nodes: DataFrame, most: int = 5) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(W.partitionBy("role").orderBy("name"))).where(F.col("place") <= most)
 
 
+def _entries(files: DataFrame, within: Column, entry: str, name: str, version: str) -> DataFrame:
+    """file_path, name, version from every match of ``entry`` in the texts of ``within``; ``name`` and ``version`` pick from a match."""
+    found = files.select("file_path", F.explode(within).alias("_b")).select("file_path", F.explode(F.regexp_extract_all("_b", F.lit(entry), F.lit(0))).alias("_e"))
+    return found.select("file_path", F.regexp_extract("_e", name, 1).alias("name"), F.regexp_extract("_e", version, 1).alias("version"))
+
+
 def manifest_dependencies(files: DataFrame) -> DataFrame:
-    """file_path, name, version from package.json and requirements.txt."""
-    body = F.regexp_extract_all("content", F.lit(r'"(?:dev|peer)?[dD]ependencies"\s*:\s*\{([^}]*)\}'), F.lit(1))
-    pairs = files.where(basename(F.col("file_path")) == "package.json").select("file_path", F.explode(body).alias("b")).select("file_path", F.explode(F.regexp_extract_all("b", F.lit(r'("[^"]+"\s*:\s*"[^"]*")'), F.lit(1))).alias("p"))
-    js = pairs.select("file_path", F.regexp_extract("p", r'^"([^"]+)"', 1).alias("name"), F.regexp_extract("p", r':\s*"([^"]*)"', 1).alias("version"))
-    line = files.where(basename(F.col("file_path")).rlike(r"^requirements.*\.txt$")).select("file_path", F.explode(F.split("content", "\n")).alias("l")).where(F.col("l").rlike(r"^\s*[A-Za-z0-9]"))
-    py = line.select("file_path", F.regexp_extract("l", r"^\s*([A-Za-z0-9._-]+)", 1).alias("name"), F.trim(F.regexp_extract("l", r"(?:==|>=|<=|~=|>|<)\s*([^\s;#]+)", 1)).alias("version"))
-    return js.unionByName(py)
+    """file_path, name, version, language of what a manifest (file_path, content) asks for; nine kinds, told by the file's name.
+
+    A version that a manifest doesn't state is empty; a Maven artifact is named
+    by its group and itself.
+    """
+    base, whole = basename(F.col("file_path")), F.array("content")
+    sections = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+    pair, first, second = r'"[^"]+"\s*:\s*"[^"]*"', r'^"([^"]+)"', r':\s*"([^"]*)"'
+    kinds = (
+        ("javascript", base == "package.json", sections(r'"(?:dependencies|devDependencies|peerDependencies)"\s*:\s*\{([^}]*)\}'), pair, first, second),
+        ("php", base == "composer.json", sections(r'"require(?:-dev)?"\s*:\s*\{([^}]*)\}'), pair, first, second),
+        ("python", base.rlike(r"^requirements.*\.txt$"), whole, r"(?m)^[ \t]*[A-Za-z0-9][^\n]*", r"^\s*([A-Za-z0-9._-]+)", r"(?:==|>=|<=|~=|>|<)\s*([^\s;#,]+)"),
+        ("go", base == "go.mod", whole, r"(?m)^\s*(?:require\s+)?[\w.-]+\.[\w-]+/[\w./-]+\s+v[\w.+-]+", r"([\w.-]+\.[\w-]+/[\w./-]+)\s+v", r"\s(v[\w.+-]+)$"),
+        ("rust", base == "Cargo.toml", sections(r"(?ms)^\[(?:dev-|build-)?dependencies\]\s*$([^\[]*)"), r"(?m)^[\w-]+\s*=[^\n]*", r"^([\w-]+)", r'(?:^[\w-]+\s*=\s*|version\s*=\s*)"([^"]*)"'),
+        ("java", base == "pom.xml", whole, r"(?s)<dependency>.*?</dependency>", None, r"<version>\s*(.*?)\s*</version>"),
+        ("csharp", base == "packages.config", whole, r"<package\s[^>]*>", r'\bid="([^"]+)"', r'\bversion="([^"]*)"'),
+        ("ruby", base == "Gemfile", whole, r"""(?m)^\s*gem\s+['"][^\n]*""", r"""gem\s+['"]([^'"]+)""", r"""gem\s+['"][^'"]+['"]\s*,\s*['"]([^'"]+)"""),
+        ("swift", base == "Package.swift", whole, r"\.package\([^)]*\)", r'url:\s*"([^"]+)"', r'(?:from|exact):\s*"([^"]+)"'),
+    )
+    parts = []
+    for language, fits, within, entry, name, version in kinds:
+        rows = files.where(fits)
+        if name is None:
+            found = rows.select("file_path", F.explode(F.regexp_extract_all("content", F.lit(entry), F.lit(0))).alias("_e"))
+            joint = F.concat(F.regexp_extract("_e", r"<groupId>\s*(.*?)\s*</groupId>", 1), F.lit("."), F.regexp_extract("_e", r"<artifactId>\s*(.*?)\s*</artifactId>", 1))
+            found = found.select("file_path", joint.alias("name"), F.regexp_extract("_e", version, 1).alias("version"))
+        else:
+            found = _entries(rows, within, entry, name, version)
+        parts.append(found.where("name <> ''").withColumn("language", F.lit(language)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:

@@ -175,14 +175,38 @@ def members(files: DataFrame, methods: int = 10, attributes: int = 5) -> DataFra
 
 
 def pipe_tables(texts: DataFrame) -> DataFrame:
-    """text_id, first_line, rows: runs of two or more lines with pipes."""
+    """text_id, first_line, rows, columns (filled cells of the first line): runs of two or more lines with pipes."""
     from .chunking import lines
 
     w = W.partitionBy("text_id").orderBy("line_no")
     rows = lines(texts.select("text_id", "text"), "text").withColumn("is_row", F.length(F.regexp_replace("line", r"[^|]", "")) >= 2)
     starts = F.when(F.col("is_row") & ~F.coalesce(F.lag("is_row").over(w), F.lit(False)), 1).otherwise(0)
     rows = rows.withColumn("_g", F.sum(starts).over(w)).where("is_row")
-    return rows.groupBy("text_id", "_g").agg(F.min("line_no").alias("first_line"), F.count("*").alias("rows")).where("rows >= 2").drop("_g")
+    cells = F.size(F.filter(F.split("line", r"\|"), lambda c: F.trim(c) != ""))
+    return rows.groupBy("text_id", "_g").agg(F.min("line_no").alias("first_line"), F.count("*").alias("rows"), F.min_by(cells, "line_no").alias("columns")).where("rows >= 2").drop("_g")
+
+
+def repeated_tables(found: DataFrame, structured: DataFrame, least: float = 0.7) -> DataFrame:
+    """text_id, first_line, rows, likeness of ``pipe_tables`` that one of the text's structured tables (text_id, columns, rows) repeats.
+
+    Both are tables: 0.3; as many columns: 0.4; as many rows below the first: 0.3.
+    """
+    both = found.alias("f").join(structured.select("text_id", F.col("columns").alias("_c"), F.col("rows").alias("_r")), "text_id")
+    tenths = 3 + F.when(F.col("columns") == F.col("_c"), 4).otherwise(0) + F.when(F.col("rows") - 1 == F.col("_r"), 3).otherwise(0)
+    best = both.groupBy("text_id", "first_line", "rows").agg((F.max(tenths) / 10).alias("likeness"))
+    return best.where(F.col("likeness") >= least)
+
+
+def without_tables(texts: DataFrame, matches: DataFrame) -> DataFrame:
+    """text_id, text without the lines of ``repeated_tables``, at most one blank line in a row, none at the end."""
+    gone = matches.groupBy("text_id").agg(F.collect_list(F.struct("first_line", "rows")).alias("_gone"))  # at most the tables of one text
+    rows = texts.select("text_id", "text").join(gone, "text_id", "left")
+    ranges = F.coalesce("_gone", F.array().cast("array<struct<first_line:int,rows:bigint>>"))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("n")))
+    kept = F.filter(lines, lambda x: ~F.exists(ranges, lambda g: (x["n"] >= g["first_line"]) & (x["n"] < g["first_line"] + g["rows"])))
+    text = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?m)^([ \t]*)\n(?:[ \t]*(?:\n|\z))+", "$1\n"), r"\s*\z", "")
+    return rows.select("text_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text).alias("text"))
 
 
 def contradictions(results: DataFrame) -> DataFrame:
@@ -229,6 +253,37 @@ def references(texts: DataFrame, key: str, pattern: str, most: int = 3) -> DataF
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(rank, "reference"))).where(F.col("_n") <= most).drop("_n")
 
 
+# What a readme may name: kind, pattern, its group, confidence, priority (small is first); changes of priority by kind of question.
+REFERENCES = (
+    ("api_endpoints", r"/api/[a-zA-Z0-9/_-]+", 0, 0.9, 1),
+    ("file_paths", r"`([^`]*\.(?:ts|tsx|js|jsx|py|md|json|config\.(?:ts|js|mjs)))`", 1, 0.95, 1),
+    ("components", r"\b([A-Z][a-zA-Z0-9]*(?:Component|Hook|Provider|Context|Dialog|Modal))\b", 1, 0.7, 2),
+    ("directories", r"\b(src/[a-zA-Z0-9/_-]+)", 1, 0.8, 2),
+    ("config_files", r"\b([a-zA-Z0-9._-]+\.config\.(?:ts|js|mjs|json))\b", 1, 0.9, 1),
+    ("package_files", r"\b(package\.json|tsconfig\.json|next\.config\.(?:js|mjs)|tailwind\.config\.(?:ts|js))\b", 1, 0.95, 1),
+    ("trpc_routers", r"\b(?:router|tRPC|trpc).*?([a-zA-Z][a-zA-Z0-9]*(?:Router|Api))\b", 1, 0.8, 1),
+)
+PRIORITIES = {
+    "architecture": {"api_endpoints": -2, "config_files": -2, "directories": -1, "components": -1, "file_paths": -1},
+    "database_entities": {"file_paths": -2, "directories": -1, "api_endpoints": 0},
+    "authentication": {"api_endpoints": -2, "file_paths": -1, "components": -1},
+    "general": {"file_paths": -1, "api_endpoints": 0},
+}
+# End of fixed values.
+
+
+def readme_references(texts: DataFrame, key: str, question: str = "general", most: int = 3, priorities: dict[str, dict[str, int]] = PRIORITIES) -> DataFrame:
+    """key, kind, reference, confidence, priority, rank: the first references of each text by priority, confidence, kind and name."""
+    parts = []
+    for kind, pattern, group, confidence, priority in REFERENCES:
+        found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)))).alias("reference")
+        rank = priority + priorities.get(question, {}).get(kind, 0)
+        parts.append(texts.select(key, F.lit(kind).alias("kind"), found, F.lit(confidence).alias("confidence"), F.lit(rank).alias("priority")))
+    rows = reduce(DataFrame.unionByName, parts).where("reference <> ''")
+    order = W.partitionBy(key).orderBy("priority", F.desc("confidence"), "kind", "reference")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def diagram(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """child, parent, label of one type of edge, by name."""
     names = lambda side, name: nodes.select(F.col("node_id").alias(side), F.col("name").alias(name))

@@ -132,7 +132,31 @@ def j14(spark, sf):
 
 @register("g13_manifests", "SELECT 'conf/part_' || p_partkey || '/package.json' AS file_path, 'lib' || p_size AS name, '1.' || p_partkey AS version FROM part")
 def g13(spark, sf):
-    return extract.manifest_dependencies(code(spark, sf))
+    return extract.manifest_dependencies(code(spark, sf)).select("file_path", "name", "version")
+
+
+#: For each kind of manifest its file, a text with {k} for a number, and (name, version) of what it asks for.
+_MANIFESTS = (
+    ("requirements-dev.txt", "# tools\nlib_{k}==1.{k}\nplain{k}\n  other>=2.0 ; python_version < '3'\n", (("lib_{k}", "1.{k}"), ("plain{k}", ""), ("other", "2.0"))),
+    ("go.mod", "module a.b/c\n\ngo 1.21\n\nrequire x.org/m{k} v1.{k}.0\nrequire (\n\tgithub.com/a/b{k} v0.1.0-rc1 // indirect\n)\n", (("x.org/m{k}", "v1.{k}.0"), ("github.com/a/b{k}", "v0.1.0-rc1"))),
+    ("Cargo.toml", '[package]\nname = "p{k}"\nversion = "9"\n\n[dependencies]\nserde = "1.{k}"\ntokio-{k} = { version = "0.2", features = ["full"] }\n\n[dev-dependencies]\nrand = { git = "u" }\n', (("serde", "1.{k}"), ("tokio-{k}", "0.2"), ("rand", ""))),
+    ("pom.xml", "<project><groupId>own</groupId><dependencies><dependency>\n<groupId>g{k}</groupId>\n<artifactId>a</artifactId><version>3.{k}</version></dependency><dependency><groupId>h</groupId><artifactId>b</artifactId></dependency></dependencies></project>", (("g{k}.a", "3.{k}"), ("h.b", ""))),
+    ("packages.config", '<packages>\n<package id="P{k}" version="4.{k}" />\n<package version="1" id="Q" />\n</packages>', (("P{k}", "4.{k}"), ("Q", "1"))),
+    ("composer.json", '{"require": {"v/p{k}": "^5"}, "require-dev": {"t/u": "6.{k}"}}', (("v/p{k}", "^5"), ("t/u", "6.{k}"))),
+    ("Gemfile", "source 'https://r.org'\ngem 'rails{k}', '~> 7.{k}'\ngem \"puma\"\n", (("rails{k}", "~> 7.{k}"), ("puma", ""))),
+    ("Package.swift", 'let p = Package(dependencies: [.package(url: "https://a.b/c{k}.git", from: "8.{k}"), .package(path: "x")])', (("https://a.b/c{k}.git", "8.{k}"),)),
+)
+_WANTED = " UNION ALL ".join(f"SELECT replace('m/{{k}}/{file}', '{{k}}', n_nationkey::VARCHAR) AS file_path, replace({_q(name)}, '{{k}}', n_nationkey::VARCHAR) AS name, replace({_q(version)}, '{{k}}', n_nationkey::VARCHAR) AS version FROM nation" for file, _, pairs in _MANIFESTS for name, version in pairs)
+
+
+@register("g13_manifest_kinds", _WANTED)
+def g13_kinds(spark, sf):
+    from functools import reduce
+
+    n = read(spark, sf, "nation")
+    k = F.col("n_nationkey").cast("string")
+    parts = [n.select(F.concat(F.lit("m/"), k, F.lit(f"/{file}")).alias("file_path"), F.replace(F.lit(text), F.lit("{k}"), k).alias("content")) for file, text, _ in _MANIFESTS]
+    return extract.manifest_dependencies(reduce(lambda a, b: a.unionByName(b), parts)).select("file_path", "name", "version")
 
 
 _STEM = "regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\\.[^.]*$', '')"
@@ -485,7 +509,30 @@ def x6(spark, sf):
 
 @register("x8_pipe_tables", "WITH l AS (SELECT doc_id AS text_id, i, length(regexp_replace(string_split(text, chr(10))[i], '[^|]', '', 'g')) >= 2 AS t FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)), g AS (SELECT text_id, i, i - row_number() OVER (PARTITION BY text_id ORDER BY i) AS g FROM l WHERE t) SELECT text_id, CAST(min(i) AS INT) AS first_line, count(*) AS rows FROM g GROUP BY text_id, g HAVING count(*) >= 2")
 def x8(spark, sf):
-    return serving.pipe_tables(read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+    return serving.pipe_tables(_texts(spark, sf)).select("text_id", "first_line", "rows")
+
+
+def _texts(spark, sf):
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
+_TABLES = "l AS (SELECT doc_id AS text_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)), t AS (SELECT text_id, i, line, i - row_number() OVER (PARTITION BY text_id ORDER BY i) AS g FROM l WHERE length(regexp_replace(line, '[^|]', '', 'g')) >= 2), f AS (SELECT text_id, min(i) AS first_line, count(*) AS rows, arg_min(len(list_filter(string_split(line, '|'), lambda c: trim(c) <> '')), i) AS columns FROM t GROUP BY text_id, g HAVING count(*) >= 2), s AS (SELECT text_id, first_line, rows, (3 + CASE WHEN columns = 3 THEN 4 ELSE 0 END + CASE WHEN rows - 1 = text_id % 7 THEN 3 ELSE 0 END) / 10 AS likeness FROM f)"
+
+
+def _repeated(spark, sf):
+    t = _texts(spark, sf)
+    shown = t.select("text_id", F.lit(3).alias("columns"), (F.col("text_id") % 7).alias("rows"))
+    return t, serving.repeated_tables(serving.pipe_tables(t), shown)
+
+
+@register("x8_repeated_tables", f"WITH {_TABLES} SELECT text_id, CAST(first_line AS INT) AS first_line, rows, likeness FROM s WHERE likeness >= 0.7")
+def x8_repeated(spark, sf):
+    return _repeated(spark, sf)[1]
+
+
+@register("x8_tables_removed", f"WITH {_TABLES}, m AS (SELECT * FROM s WHERE likeness >= 0.7), k AS (SELECT l.* FROM l WHERE text_id IN (SELECT text_id FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.text_id = l.text_id AND l.i >= first_line AND l.i < first_line + rows)), j AS (SELECT text_id, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY text_id) SELECT doc_id AS text_id, md5(CASE WHEN doc_id IN (SELECT text_id FROM m) THEN regexp_replace(regexp_replace(coalesce(t, ''), '(?m)^([ \\t]*)\\n(?:[ \\t]*(?:\\n|\\z))+', '\\1' || chr(10), 'g'), '\\s*\\z', '') ELSE text END) AS digest FROM documents LEFT JOIN j ON j.text_id = doc_id")
+def x8_removed(spark, sf):
+    return serving.without_tables(*_repeated(spark, sf)).select("text_id", F.md5("text").alias("digest"))
 
 
 @register("x9_source_priority", "SELECT conv_id, arg_min(role, (CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 3 END, turn)) AS role FROM conversations GROUP BY conv_id")

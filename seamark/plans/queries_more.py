@@ -312,6 +312,17 @@ def r25(spark, sf):
     return serving.references(read(spark, sf, "pages").select("page_id", F.col("html").alias("text")), "page_id", r'href="([^"]+)"')
 
 
+_README = "'See `lib/page_' || page_id || '.py` and /api/v' || (page_id % 3) || '/users, src/app/part_' || page_id || ' with UserDialog; next.config.js sets router to pageRouter'"
+_NAMED = " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, unnest(list_distinct(regexp_extract_all(t, '{pattern}', {group}))) AS reference, {confidence}::DOUBLE AS confidence, {priority + serving.PRIORITIES['general'].get(kind, 0)} AS priority FROM t" for kind, pattern, group, confidence, priority in serving.REFERENCES)
+
+
+@register("r25_readme_references", f"WITH t AS (SELECT page_id, {_README} AS t FROM pages), n AS ({_NAMED}) SELECT page_id, kind, reference, confidence, priority FROM n WHERE reference <> '' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY priority, confidence DESC, kind, reference) <= 3")
+def r25_readme(spark, sf):
+    k = F.col("page_id")
+    text = F.concat(F.lit("See `lib/page_"), k, F.lit(".py` and /api/v"), k % 3, F.lit("/users, src/app/part_"), k, F.lit(" with UserDialog; next.config.js sets router to pageRouter"))
+    return serving.readme_references(read(spark, sf, "pages").select("page_id", text.alias("text")), "page_id").drop("rank")
+
+
 @register("r29_hits_in_context", _BASE + ", r AS (SELECT query_id, doc_id FROM sc WHERE round(score, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 3) SELECT query_id, doc_id, file_path, (SELECT count(*) FROM docs e WHERE regexp_replace(e.file_path, '/[^/]*$', '') = regexp_replace(d.file_path, '/[^/]*$', '')) AS siblings FROM r JOIN docs d USING (doc_id)")
 def r29(spark, sf):
     index = search_index(spark, sf)

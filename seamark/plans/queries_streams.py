@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..sources.sinks import scratch
+from ..streaming import jobs
 from .registry import register
 from .tables import read
 
@@ -66,10 +68,18 @@ def a30(spark, sf):
     return metrics.context_health(read(spark, sf, "conversations")).withColumn("used", F.round("used", 6))
 
 
+def _events(spark, sf):
+    """The events as a stream."""
+    folder = scratch(spark)
+    read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
+    return jobs.event_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=1000)
+
+
 @register("t6_tumbling_samples", "SELECT time_bucket(INTERVAL 30 SECOND, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY ALL")
 def t6(spark, sf):
-    e = read(spark, sf, "events").groupBy(F.window("ts", "30 seconds").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
-    return e.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean", "most")
+    """A stream over the events' file, drained once."""
+    out = jobs.drained(jobs.sampled(_events(spark, sf)), scratch(spark))
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
 
 
 @register("t7_rolling_memory", "WITH o AS (SELECT conv_id, length(text) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations) SELECT conv_id, count(*) FILTER (WHERE p <= 10) AS recent, count(*) FILTER (WHERE p > 10) AS older, CAST(coalesce(sum(c) FILTER (WHERE p > 10), 0) AS BIGINT) AS older_chars FROM o GROUP BY conv_id")
@@ -82,7 +92,8 @@ _SESSION = "WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITI
 
 @register("t8_sessions", _SESSION)
 def t8(spark, sf):
-    out = metrics.sessions(read(spark, sf, "events"), "12 hours")
+    """A stream over the events' file, drained once."""
+    out = jobs.drained(jobs.session_counts(_events(spark, sf), "12 hours"), scratch(spark))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 

@@ -48,6 +48,16 @@ def moving_averages(events: DataFrame, keep: float = 0.9) -> DataFrame:
     return events.select("event_type", "ts", "event_id", "value").groupBy("event_type").applyInPandasWithState(step, "event_type string, n long, ema double", "n long, ema double", "update", GroupStateTimeout.NoTimeout)
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What an aggregating stream has counted when all that is there has arrived; state and result lie below ``folder``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
+
+
 def incremental_index(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Upserts the postings of arriving documents (doc_id, file_path, text) into the index below ``path``.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.functions import intent, text
-from seamark.operators import bm25, chunking, context, evaluate, extract, fusion, graph, metrics, vectors
+from seamark.operators import bm25, chunking, context, evaluate, extract, fusion, graph, metrics, serving, vectors
 from seamark.plans.components import connected_components
 from seamark.sources import files as S
 
@@ -228,3 +228,22 @@ def test_components_of_chains_and_stars(spark, tmp_path):
     got = {r["node"]: r["component"] for r in connected_components(e, cut).collect()}
     assert all(got[i] == 100 for i in range(100, 131)) and all(got[i] == 7 for i in range(7, 20)) and got[61] == got[60] == 60 and 50 not in got
     assert connected_components(e.limit(0), cut).count() == 0
+
+
+def test_tables_that_repeat_are_removed(spark):
+    text = "intro\n\n| a | b | c |\n| 1 | 2 | 3 |\n| 4 | 5 | 6 |\n\n\nmiddle\n| x | y |\n| 1 | 2 |\nend\n\n"
+    t = spark.createDataFrame([(1, text), (2, text), (3, None)], "text_id long, text string")
+    found = serving.pipe_tables(t)
+    assert {(r["text_id"], r["first_line"], r["rows"], r["columns"]) for r in found.collect()} == {(k, a, n, c) for k in (1, 2) for a, n, c in ((3, 3, 3), (9, 2, 2))}
+    shown = spark.createDataFrame([(1, 3, 2), (2, 2, 9)], "text_id long, columns int, rows int")
+    matches = serving.repeated_tables(found, shown)
+    assert {(r["text_id"], r["first_line"], r["likeness"]) for r in matches.collect()} == {(1, 3, 1.0), (2, 9, 0.7)}
+    out = {r["text_id"]: r["text"] for r in serving.without_tables(t, matches).collect()}
+    assert out[1] == "intro\n\nmiddle\n| x | y |\n| 1 | 2 |\nend"
+    assert out[2] == "intro\n\n| a | b | c |\n| 1 | 2 | 3 |\n| 4 | 5 | 6 |\n\nmiddle\nend" and out[3] is None
+
+
+def test_readme_references_by_question(spark):
+    t = spark.createDataFrame([(1, "use `lib/x.py`, /api/users and src/app, UserDialog, package.json")], "k long, text string")
+    kinds = lambda q: [r["kind"] for r in serving.readme_references(t, "k", q).orderBy("rank").collect()]
+    assert kinds("general")[0] == "file_paths" and kinds("authentication")[0] == "api_endpoints" and len(kinds("")) == 3
