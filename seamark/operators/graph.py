@@ -138,16 +138,17 @@ def relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def with_relations(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """Each node with its first ``most`` outgoing and incoming relations, sorted, as arrays of type:node, for reports."""
+    """Each node with its numbers of outgoing and incoming relations, ``n_outgoing`` and ``n_incoming``, and the first ``most`` of each, sorted, as arrays of type:node, for reports."""
 
     def side(own: str, other: str, name: str) -> DataFrame:
         rows = edges.select(F.col(own).alias("node_id"), F.concat_ws(":", "type", other).alias("r"))
-        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("node_id").orderBy("r"))).where(F.col("_n") <= most)
-        return rows.groupBy("node_id").agg(F.array_sort(F.collect_list("r")).alias(name))
+        shown = rows.withColumn("_n", F.row_number().over(W.partitionBy("node_id").orderBy("r"))).where(F.col("_n") <= most)
+        shown = shown.groupBy("node_id").agg(F.array_sort(F.collect_list("r")).alias(name))
+        return rows.groupBy("node_id").agg(F.count("*").alias(f"n_{name}")).join(shown, "node_id")
 
     empty = F.array().cast("array<string>")
     out = nodes.join(side("source_id", "target_id", "outgoing"), "node_id", "left").join(side("target_id", "source_id", "incoming"), "node_id", "left")
-    return out.withColumns({c: F.coalesce(c, empty) for c in ("outgoing", "incoming")})
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("outgoing", "incoming")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_outgoing", "n_incoming")})
 
 
 def degrees(edges: DataFrame) -> DataFrame:

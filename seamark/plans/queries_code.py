@@ -11,7 +11,7 @@ from ..functions import intent
 from ..functions import text as T
 from ..operators import chunking, context, evaluate, extract, graph, metrics, serving
 from ..sources import files as S
-from .queries_search import _ASKED, _INTENT, _SIGNALS, _numbered, asked
+from .queries_search import _ASKED, _INTENT, _L2, _PLAIN, _SIGNALS, MASKED, _numbered, asked
 from .registry import register
 from .tables import chunks, edges, files, nodes, read, sql, transitions
 
@@ -296,7 +296,7 @@ def r12(spark, sf):
 @register("r8_structural_search", sql("WITH h AS (SELECT * FROM nodes WHERE contains(lower(name), 'nation') OR contains(lower(file_path), 'core/nation') OR contains(lower(type), 'nation')), o AS (SELECT source_id AS node_id, count(*) AS o FROM edges GROUP BY 1), i AS (SELECT target_id AS node_id, count(*) AS i FROM edges GROUP BY 1) SELECT node_id, coalesce(o, 0) AS outgoing, coalesce(i, 0) AS incoming FROM (SELECT * FROM h ORDER BY type, name, node_id LIMIT 50) LEFT JOIN o USING (node_id) LEFT JOIN i USING (node_id)", "nodes", "edges"))
 def r8(spark, sf):
     out = serving.structural(nodes(spark, sf), edges(spark, sf), ["nation", "core/nation"])
-    return out.select("node_id", F.size("outgoing").cast("long").alias("outgoing"), F.size("incoming").cast("long").alias("incoming"))
+    return out.select("node_id", F.col("n_outgoing").alias("outgoing"), F.col("n_incoming").alias("incoming"))
 
 
 @register("r10_symbol_search", sql("(SELECT 'name' AS arm, node_id FROM nodes WHERE contains(lower(name), '0000001') ORDER BY name, node_id LIMIT 5) UNION ALL (SELECT 'path', node_id FROM nodes WHERE contains(lower(file_path), '0000001') ORDER BY name, node_id LIMIT 10)", "nodes"))
@@ -304,7 +304,7 @@ def r10(spark, sf):
     return serving.symbol_search(nodes(spark, sf), "0000001")
 
 
-@register("r11_basic_hybrid")
+@register("r11_basic_hybrid", sql(f"WITH v0 AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN v0 ON vec_id = item_id % (SELECT count(*) FROM v0)), n AS (SELECT query_id, v.vec_id, round({_L2}, 9) AS d FROM v0 v, q), t AS (SELECT query_id, vec_id FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 5), s AS (SELECT node_id FROM nodes WHERE contains(lower(name), 'customer') ORDER BY name, node_id LIMIT 5) SELECT query_id, 'vector' AS arm, 'doc:' || vec_id AS id FROM t UNION ALL SELECT query_id, 'symbol', node_id FROM (SELECT DISTINCT query_id FROM t), s", "nodes"))
 def r11(spark, sf):
     """Five by vector, then five by name, for each question."""
     from ..operators import vectors
@@ -334,7 +334,12 @@ def r16(spark, sf):
     return asked(spark, sf).select("query_id", F.round(intent.graph_benefit(F.col("query"), F.lit(1)), 6).alias("benefit"), (intent.graph_benefit(F.col("query"), F.lit(1)) >= 0.5).alias("expand"))
 
 
-@register("r22_key_terms")
+_KEY_TERMS = (
+    "regexp_extract_all(query, '\"([^\"]+)\"', 1) || regexp_extract_all(" + _PLAIN + ", '\\b([A-Za-z]+(?:_[A-Za-z0-9]+)+|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*|[a-z]+[A-Z][A-Za-z0-9]*)\\b', 1) || regexp_extract_all(" + MASKED.format("query") + ", '\\b([a-z]{4,})\\b', 1)"
+)
+
+
+@register("r22_key_terms", f"WITH {_ASKED}, k AS (SELECT query_id, {_KEY_TERMS} AS l FROM a) SELECT query_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM k")
 def r22(spark, sf):
     return asked(spark, sf).select("query_id", F.array_join(serving.key_terms(F.col("query")), " ").alias("terms"))
 

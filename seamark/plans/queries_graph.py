@@ -276,7 +276,7 @@ def k5(spark, sf):
     return out.withColumn("instability", F.round("instability", 6))
 
 
-@register("k10_neighbourhood")
+@register("k10_neighbourhood", sql("SELECT a.node_id AS start_id, 'sibling' AS arm, b.node_id FROM nodes a JOIN nodes b ON a.file_path = b.file_path AND a.node_id <> b.node_id WHERE a.node_id LIKE 'nation:%' QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY b.line_start, b.node_id) <= 8 UNION ALL SELECT source_id, arm, target_id FROM edges, (VALUES ('dependency'), ('inheritance')) AS v(arm) WHERE source_id LIKE 'nation:%' AND type = 'inherits'", "nodes", "edges"))
 def k10(spark, sf):
     return graph.neighbourhood(nodes(spark, sf), edges(spark, sf), _start(spark, sf, "nation"))
 

@@ -67,7 +67,7 @@ def s23(spark, sf):
     return bm25.document_frequency(bm25.Index.load(spark, path))
 
 
-@register("s24_index_of_chunks")
+@register("s24_index_of_chunks", sql(_BASE.replace(_DOCS, "docs AS (SELECT chunk_id AS doc_id, file_path, text FROM chunks)") + ", r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank, doc_id FROM sc WHERE score >= 0.1) SELECT query_id, rank, doc_id, file_path FROM r JOIN docs USING (doc_id) WHERE rank <= 5", "chunks"))
 def s24(spark, sf):
     c = chunks(spark, sf).select(F.col("chunk_id").alias("doc_id"), "file_path", "text")
     return bm25.search(bm25.build(c), questions(spark, sf), 5).select("query_id", "rank", "doc_id", "file_path")

@@ -109,7 +109,7 @@ _LINES = "WITH c AS (SELECT c.*, substring(d.text, 1, CAST(c.position * 400 AS B
 @register("c2_lined_chunks", sql(_LINES, "chunks"))
 def c2(spark, sf):
     f = files(spark, sf).select("doc_id", F.col("content").alias("text"))
-    return chunking.lined_chunks(f).select((F.col("doc_id") * 100_000 + F.col("position")).alias("chunk_id"), "start_line", "end_line")
+    return chunking.lined_chunks(f).select((F.col("doc_id") * 100_000_000 + F.col("position")).alias("chunk_id"), "start_line", "end_line")
 
 
 _WORDS = "regexp_extract_all(lower(text), '[A-Za-z0-9_]+')"
