@@ -86,8 +86,8 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an end that is no node."""
     ids = nodes.select("node_id")
-    whole = edges.join(ids, edges["source_id"] == ids["node_id"], "left_semi").join(ids, F.col("target_id") == ids["node_id"], "left_semi")
-    return edges.exceptAll(whole)
+    start, end = edges["source_id"] == ids["node_id"], edges["target_id"] == ids["node_id"]
+    return edges.join(ids, start, "left_anti").unionByName(edges.join(ids, start, "left_semi").join(ids, end, "left_anti"))
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int, forward: bool = True, types: tuple[str, ...] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from .registry import register
 from .tables import chunks, files, nodes, read, sql
 
 _SPECIAL_SQL = " ".join(f"WHEN contains(name, '{s}') THEN '{s}'" for s in S.SPECIAL_NAMES)
-_SUFFIX_SQL = ", ".join(f"'{s}'" for s in S.SUFFIXES)
+_SUFFIX_SQL = ", ".join(f"'{s[1:]}'" for s in S.SUFFIXES)
 
 
 @register("s1_scan_skip", sql(f"SELECT file_path, size FROM files WHERE NOT list_has_any(string_split(regexp_replace(file_path, '/[^/]*$', ''), '/'), [{', '.join(repr(x) for x in S.SKIP_FOLDERS)}])", "files"))

@@ -10,20 +10,20 @@ from ..functions.text import basename, extension, glob, project_of
 
 # Suffixes and names that are indexed, folders that are not, and languages by suffix.
 SUFFIXES = (
-    "py js ts tsx jsx java kt swift go rs dart scala clj cljs rb php lua r jl "
-    "mjs cjs es6 es jsm "
-    "c cpp h hpp cc cxx c++ h++ hh hxx m mm asm s "
-    "hs lhs ml mli fs fsi fsx elm ex exs erl hrl nim cr d zig v "
-    "vue svelte jsp asp aspx erb haml slim "
-    "plist storyboard entitlements xcconfig xcworkspace "
-    "md txt rst adoc tex org "
-    "json yaml yml toml ini cfg conf pom "
-    "html htm css scss sass less stylus "
-    "lock frozen resolved "
-    "env config properties gitignore gitattributes "
-    "gradle maven sbt dockerfile containerfile cmake meson ninja bazel bzl buck pants nix rake "
-    "xml csv sql sh bat ps1 fish zsh bash makefile mk am in m4 spec desktop patch"
-).split()
+    ".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".kt", ".swift", ".go", ".rs", ".dart", ".scala", ".clj", ".cljs", ".rb", ".php", ".lua", ".r", ".jl",
+    ".mjs", ".cjs", ".es6", ".es", ".jsm",
+    ".c", ".cpp", ".h", ".hpp", ".cc", ".cxx", ".c++", ".h++", ".hh", ".hxx", ".m", ".mm", ".asm", ".s",
+    ".hs", ".lhs", ".ml", ".mli", ".fs", ".fsi", ".fsx", ".elm", ".ex", ".exs", ".erl", ".hrl", ".nim", ".cr", ".d", ".zig", ".v",
+    ".vue", ".svelte", ".jsp", ".asp", ".aspx", ".erb", ".haml", ".slim",
+    ".plist", ".storyboard", ".entitlements", ".xcconfig", ".xcworkspace",
+    ".md", ".txt", ".rst", ".adoc", ".tex", ".org",
+    ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".pom",
+    ".html", ".htm", ".css", ".scss", ".sass", ".less", ".stylus",
+    ".lock", ".frozen", ".resolved",
+    ".env", ".config", ".properties", ".gitignore", ".gitattributes",
+    ".gradle", ".maven", ".sbt", ".dockerfile", ".containerfile", ".cmake", ".meson", ".ninja", ".bazel", ".bzl", ".buck", ".pants", ".nix", ".rake",
+    ".xml", ".csv", ".sql", ".sh", ".bat", ".ps1", ".fish", ".zsh", ".bash", ".makefile", ".mk", ".am", ".in", ".m4", ".spec", ".desktop", ".patch",
+)
 SPECIAL_NAMES = (
     "dockerfile", "makefile", "rakefile", "gemfile", "procfile",
     "readme", "license", "changelog", "contributing", "authors",
@@ -96,7 +96,7 @@ def indexable(path: Column, size: Column, content: Column | None = None) -> Colu
     """By size, then suffix, then special name; a file without suffix must look like text."""
     suffix = extension(path)
     sniffed = is_text(content, size) if content is not None else F.lit(True)
-    return (size <= LARGEST) & (F.substring(suffix, 2, 64).isin(*SUFFIXES) | _special(F.lower(basename(path))).isNotNull() | ((suffix == "") & sniffed))
+    return (size <= LARGEST) & (suffix.isin(*SUFFIXES) | _special(F.lower(basename(path))).isNotNull() | ((suffix == "") & sniffed))
 
 
 def skip_reason(path: Column, size: Column, content: Column | None = None) -> Column:
@@ -107,7 +107,7 @@ def skip_reason(path: Column, size: Column, content: Column | None = None) -> Co
 def file_type(path: Column) -> Column:
     """Suffix, else special name, else text or unknown."""
     suffix = extension(path)
-    return F.when(F.substring(suffix, 2, 64).isin(*SUFFIXES), F.substring(suffix, 2, 64)).otherwise(F.coalesce(_special(F.lower(basename(path))), F.when(suffix == "", "text").otherwise("unknown")))
+    return F.when(suffix.isin(*SUFFIXES), F.substring(suffix, 2, 64)).otherwise(F.coalesce(_special(F.lower(basename(path))), F.when(suffix == "", "text").otherwise("unknown")))
 
 
 def language(path: Column) -> Column:
