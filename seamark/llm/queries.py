@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, minhash, packing, secrets, shards, substring, urlrules, warc
+from . import alignment, decontam, importance, langid, media, minhash, packing, secrets, shards, substring, tokencounts, urlrules, warc
 from .common import table
 
-#: The tokenizer file's name in the public vocabulary folder.
-VOCABULARY = "word_bpe_49k.json"
+#: The tokenizer files' names in the public vocabulary folder.
+VOCABULARY, BYTE_VOCABULARY, PIECE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,22 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.path(PIECE_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_kd_shards": op2_kd_shards,
@@ -67,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_url_rules": op9_url_rules,
     "op10_pack": op10_pack,
+    "op11_importance": op11_importance,
+    "op12_token_counts": op12_token_counts,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op4_minhash_dedup": minhash.ORACLE_SQL,
     "op5_substring_dedup": substring.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
+    "op11_importance": importance.ORACLE_SQL,
 }

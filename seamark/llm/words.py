@@ -54,10 +54,10 @@ def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h
 
 
-def hashed(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of a text column: number of its first text, word hashes, and where each text's words start (one more at the end).
+def spans(column: pa.Array, gaps: np.ndarray, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a text column: number of its first text, bytes (8 more at the end), where words start and end, and where each text's words start (one more at the end).
 
-    Words are what white space (blank, 0x09 to 0x0D) separates; null has none.
+    ``gaps`` says of each byte whether it separates words; null has none.
     """
     column = column.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
@@ -72,7 +72,7 @@ def hashed(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndar
         data[:n] = raw[offsets[first] : offsets[last]]
         if lower:
             data = LOWER[data]
-        black = ~WHITE[data[:n]]
+        black = ~gaps[data[:n]]
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         begins = black & edge[:-1]
@@ -80,11 +80,21 @@ def hashed(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndar
         ends = black & edge[1:]
         ends[:-1] |= black[:-1] & ~black[1:]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        with np.errstate(over="ignore"):
-            yield first, _hash(data, start, end), np.searchsorted(start, off)
+        yield first, data, start, end, np.searchsorted(start, off)
         first = last
 
 
+def hashed(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of a text column: number of its first text, word hashes, and where each text's words start (one more at the end).
+
+    Words are what white space (blank, 0x09 to 0x0D) separates; null has none.
+    """
+    for first, data, start, end, starts in spans(column, WHITE, lower):
+        with np.errstate(over="ignore"):
+            hashes = _hash(data, start, end)
+        yield first, hashes, starts
+
+
 def windows(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     """A hash of every ``size`` words in a row (the caller drops those that cross texts)."""
     n = max(0, len(words) - size + 1)
