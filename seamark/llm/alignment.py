@@ -39,7 +39,7 @@ STRIPE = 128
 #: Links of one salt of a stripe, about.
 SALT_LINKS = 50_000_000
 #: Pairs that a tokenising task sums up before it writes them.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 #: Pairs of a piece that are made at once.
 MADE_AT_ONCE = 1 << 20
 #: Young pieces that a worker remembers (about 500 bytes each, and as many old ones), and pieces that are taken apart at once (at most 2 ** 23).
@@ -98,10 +98,13 @@ class Aligner:
         self.a, self.b = Side(a), Side(b)
         if self.b.size > 1 << 16 or self.a.size > 1 << 24:
             raise ValueError("vocabularies of at most 2 ** 24 and 2 ** 16 entries")
-        self.memo = Memo(lambda piece: self.taken_apart([piece])[0], MEMO_PIECES)
+        #: It ages between blocks alone, so that nothing a block has learned is forgotten before it is used.
+        self.memo = Memo(lambda piece: self.taken_apart([piece])[0], 1 << 62)
 
     def learn(self, pieces: set[str]) -> None:
         """Takes apart what of these isn't known, many at once."""
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.aged()
         new = [p for p in pieces if p not in self.memo and p not in self.memo.old]
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
