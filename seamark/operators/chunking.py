@@ -282,8 +282,11 @@ def hashed_embeddings(chunks: DataFrame, width: int = 64, key: str = "chunk_id")
     """Unit vectors of hashed terms: stands in where no embedding model is at hand; a text without terms has zeros."""
     from ..functions.text import terms
 
-    cell = F.transform(terms(F.col("text")), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(cell, lambda c: c == i)).cast("double"))
-    v = chunks.select(key, counts.alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return v.select(key, F.when(norm > 0, F.transform("v", lambda x: (x / norm).cast("float"))).otherwise(F.transform("v", lambda x: x.cast("float"))).alias("embedding"))
+    # A term's cell is made once: as a column of the chunk it would be made again for every cell.
+    found = chunks.select(key, F.explode_outer(terms(F.col("text"))).alias("term"))
+    cell = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % width).cast("int")
+    counts = found.groupBy(key, cell.alias("cell")).agg(F.count("*").cast("double").alias("n"))
+    # At most ``width`` cells a chunk; a chunk without terms has one without a number.
+    held = counts.groupBy(key).agg(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n"))).alias("v"), F.sqrt(F.sum(F.when(F.col("cell").isNotNull(), F.col("n") * F.col("n")))).alias("norm"))
+    filled = held.select(key, F.map_from_entries("v").alias("v"), "norm")
+    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("v", i) / F.col("norm"), F.lit(0.0)).cast("float")).alias("embedding"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+from ..sources.sinks import written
 
 # Suffixes that raise relevance, and question words that raise a readme's.
 CODE_SUFFIXES = (".py", ".js", ".ts", ".tsx", ".jsx")
@@ -26,7 +30,7 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Queries that are sent whole to every task; more are joined in blocks of partitions.
+#: Queries that are sent whole to every task; more are sent in as many parts.
 SENT_QUERIES = 4096
 #: Share of the true neighbours that approximate search aims at (0.9 is asked for), and queries of the set by which it is measured.
 RECALL, RECALL_QUERIES = 0.95, 64
@@ -35,32 +39,36 @@ RECALL, RECALL_QUERIES = 0.95, 64
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
     """query_id, rank, vec_id, distance: the exact ``k`` nearest of (vec_id, embedding) for a stated query set (query_id, query).
 
-    Up to ``SENT_QUERIES`` queries go to every task, which compares them with
-    whole batches of vectors and keeps each query's ``k`` best of a batch; more
-    queries are joined with the vectors.  Either way a row number cut at ``k``
-    is a group limit: each task keeps its best before anything is shuffled.
-    Vectors that are null or of another width than the query are passed over.
+    Up to ``SENT_QUERIES`` queries at once go to every task, which compares them
+    with whole batches of vectors and keeps each query's ``k`` best of a batch.
+    A row number cut at ``k`` is a group limit: each task keeps its best before
+    anything is shuffled.  Vectors that are null or of another width than the
+    query are passed over.
     """
-    queries = queries.select("query_id", "query").where("query is not null")
-    sent = queries.limit(SENT_QUERIES + 1).toArrow()
-    if sent.num_rows <= SENT_QUERIES:
-        pairs = _batch_nearest(vectors, queries, sent, k, metric)
-    else:
-        distance = squared_distance(F.col("embedding"), F.col("query")) if metric == "l2" else -inner_product(F.col("embedding"), F.col("query"))
-        pairs = vectors.select("vec_id", "embedding").crossJoin(queries).where("size(embedding) = size(query)").select("query_id", "vec_id", F.round(distance, 9).alias("distance"))
+    pairs = [_batch_nearest(vectors, part, k, metric) for part in _parts(queries)]
     order = W.partitionBy("query_id").orderBy("distance", "vec_id")
-    top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = reduce(DataFrame.unionByName, pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", F.col("distance") if metric == "l2" else (-F.col("distance")).alias("similarity"))
 
 
-def _batch_nearest(vectors: DataFrame, queries: DataFrame, sent: pa.Table, k: int, metric: str, reach: np.ndarray | None = None) -> DataFrame:
+def _parts(queries: DataFrame) -> list[pa.Table]:
+    """The queries (query_id, query), dealt by hash into parts of about ``SENT_QUERIES`` at most; one part while they are no more, which is measured."""
+    queries = queries.select("query_id", "query").where("query is not null")
+    first = queries.limit(SENT_QUERIES + 1).toArrow()
+    if first.num_rows <= SENT_QUERIES:
+        return [first]
+    queries = written(queries)
+    parts = -(-queries.count() // (SENT_QUERIES // 2))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow() for i in range(parts)]
+
+
+def _batch_nearest(vectors: DataFrame, sent: pa.Table, k: int, metric: str, reach: np.ndarray | None = None) -> DataFrame:
     """query_id, vec_id, distance of the ``k`` best of each query in each batch.
 
     With ``reach``, by query and list, a query meets only vectors of the lists that it reaches.
     """
-    types = dict(vectors.dtypes), dict(queries.dtypes)
-    schema = f"query_id {types[1]['query_id']}, vec_id {types[0]['vec_id']}, distance double"
-    arrow = pa.schema([("query_id", sent.schema.field("query_id").type), ("vec_id", pa.string() if types[0]["vec_id"] == "string" else pa.int32() if types[0]["vec_id"] == "int" else pa.int64()), ("distance", pa.float64())])
+    arrow = pa.schema([sent.schema.field("query_id"), *to_arrow_schema(vectors.select("vec_id").schema), ("distance", pa.float64())])
+    schema = from_arrow_schema(arrow)
     ids, rows = sent["query_id"].to_pylist(), [np.asarray(q, np.float64) for q in sent["query"].to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +164,6 @@ def lists_needed(index: DataFrame, centers: DataFrame, queries: DataFrame, k: in
 def probe(index: DataFrame, centers: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None) -> DataFrame:
     """Approximate ``nearest``: only the ``lists`` lists nearest to a query are read, by default as many as ``lists_needed`` finds."""
     queries = queries.select("query_id", "query").where("query is not null")
-    lists = lists or lists_needed(index, centers, queries, k)
-    sent = queries.limit(SENT_QUERIES + 1).toArrow()
-    if sent.num_rows <= SENT_QUERIES:
-        pairs = _batch_nearest(index, queries, sent, k, "l2", _places(centers.toArrow(), sent) < lists)
-    else:
-        reach = nearest(centers.select(F.col("list").alias("vec_id"), F.col("center").alias("embedding")), queries, lists).select("query_id", F.col("vec_id").alias("list"))
-        pairs = index.join(reach, "list").join(queries, "query_id").select("query_id", "vec_id", F.round(squared_distance(F.col("embedding"), F.col("query")), 9).alias("distance"))
+    lists, points = lists or lists_needed(index, centers, queries, k), centers.toArrow()
+    pairs = reduce(DataFrame.unionByName, [_batch_nearest(index, part, k, "l2", _places(points, part) < lists) for part in _parts(queries)])
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import intent
 from ..functions import text as T
-from ..operators import bm25, context, extract, fusion, graph, serving, vectors
+from ..operators import bm25, chunking, context, extract, fusion, graph, serving, vectors
 from ..sources import files as S
 from ..sources import sinks
 from ..sources.sinks import scratch
-from ..streaming import jobs
+from ..streaming import watch
 from .queries_code import _IMPORTS, _LANG, CODE, code
-from .queries_search import _ASKED, _BASE, _DOCS, _FUSED, _INDEX, _INTENT, _L2, _NEAR, _SIGNALS, _arms, asked, documents, questions, vector_queries
+from .queries_search import _ASKED, _BASE, _DOCS, _FUSED, _INDEX, _INTENT, _L2, _NEAR, _SIGNALS, _TERMS, _arms, asked, documents, questions, vector_queries
 from .registry import register
 from .tables import chunks, edges, files, nodes, read, search_index, sql
 
@@ -69,8 +69,15 @@ def s23(spark, sf):
 
 @register("s24_index_of_chunks", sql(_BASE.replace(_DOCS, "docs AS (SELECT chunk_id AS doc_id, file_path, text FROM chunks)") + ", r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank, doc_id FROM sc WHERE score >= 0.1) SELECT query_id, rank, doc_id, file_path FROM r JOIN docs USING (doc_id) WHERE rank <= 5", "chunks"))
 def s24(spark, sf):
-    c = chunks(spark, sf).select(F.col("chunk_id").alias("doc_id"), "file_path", "text")
-    return bm25.search(bm25.build(c), questions(spark, sf), 5).select("query_id", "rank", "doc_id", "file_path")
+    path = scratch(spark)
+    bm25.build(chunks(spark, sf).select(F.col("chunk_id").alias("doc_id"), "file_path", "text")).save(path)
+    return bm25.search(bm25.Index.load(spark, path), questions(spark, sf), 5).select("query_id", "rank", "doc_id", "file_path")
+
+
+@register("c19_hashed_embeddings", sql(f"WITH t AS (SELECT chunk_id, unnest({_TERMS.format('text')}) AS term FROM chunks), c AS (SELECT chunk_id, CAST(('0x' || left(md5(term), 8))::BIGINT % 64 AS INT) AS cell, count(*) AS n FROM t GROUP BY ALL) SELECT chunk_id, cell, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS FLOAT) AS DOUBLE), 6) AS value FROM c", "chunks"))
+def c19(spark, sf):
+    rows = chunking.hashed_embeddings(chunks(spark, sf), 64).select("chunk_id", F.posexplode("embedding").alias("cell", "value")).where("value > 0")
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @register("s25_chunk_store", sql("SELECT file_path, count(*) AS chunks, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM chunks GROUP BY file_path", "chunks"))
@@ -84,10 +91,33 @@ def s25(spark, sf):
 def t1(spark, sf):
     """A stream over the documents' files, drained once, into an index."""
     path = scratch(spark)
-    documents(spark, sf).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("doc_id long, file_path string, text string").parquet(f"{path}/in")
-    jobs.incremental_index(stream, f"{path}/index", f"{path}/offsets").awaitTermination()
-    return jobs.current_index(spark, f"{path}/index")[0].groupBy("term").agg(F.sum("tf").alias("n"))
+    documents(spark, sf).selectExpr("doc_id", "file_path", "text", "1L AS version", "false AS deleted").write.parquet(f"{path}/in")
+    index = watch.WatchedIndex(spark, f"{path}/index")
+    index.follow(spark.readStream.schema(watch.CHANGES).parquet(f"{path}/in"), f"{path}/offsets").awaitTermination()
+    return index.index().postings.groupBy("term").agg(F.sum("tf").alias("n"))
+
+
+_WATCHED = "docs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(source, ' changed ', left(text, 200)) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0)"
+
+
+@register("s26_watched_index", f"WITH {_WATCHED}, {_INDEX} SELECT term, df FROM df")
+def s26(spark, sf):
+    """Documents arrive; some change, some go, and some of these come back: the index is what a rebuild would be."""
+    path = scratch(spark)
+    d = documents(spark, sf).withColumn("source", F.split_part("file_path", F.lit("/"), F.lit(1)))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(" changed "), F.left("text", F.lit(200)))).otherwise(F.col("text"))
+    steps = (
+        d.select("doc_id", "file_path", "text", F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted")),
+        d.where("doc_id % 3 = 0").select("doc_id", "file_path", changed.alias("text"), F.lit(2).cast("long").alias("version"), F.lit(False).alias("deleted")),
+        d.where("doc_id % 5 = 0").select("doc_id", "file_path", F.lit(None).cast("string").alias("text"), F.lit(3).cast("long").alias("version"), F.lit(True).alias("deleted")),
+        d.where("doc_id % 10 = 0").select("doc_id", "file_path", changed.alias("text"), F.lit(4).cast("long").alias("version"), F.lit(False).alias("deleted")),
+    )
+    index = watch.WatchedIndex(spark, f"{path}/index")
+    for step in steps:
+        # Each time the stream starts again where it ended.
+        step.write.mode("append").parquet(f"{path}/in")
+        index.follow(spark.readStream.schema(watch.CHANGES).parquet(f"{path}/in"), f"{path}/offsets").awaitTermination()
+    return bm25.document_frequency(index.index())
 
 
 @register("s27_refreshed_table", sql("SELECT file_path FROM files", "files"))
@@ -115,8 +145,6 @@ def s29(spark, sf):
 
 @register("s37_graph_rebuild", "SELECT 'app/service/nation_' || n_nationkey || '.py::Nation' || n_nationkey || '::4' AS node_id FROM nation")
 def s37(spark, sf):
-    from ..operators import chunking
-
     path = scratch(spark)
     sinks.write_by_project(chunking.code_chunks(code(spark, sf)), path)
     stored = spark.read.parquet(path).where("project = 'app'")

@@ -172,11 +172,6 @@ def c18(spark, sf):
     return read(spark, sf, "pages").select("page_id", T.identifier(F.col("url")).alias("id"))
 
 
-@register("c19_hashed_embeddings")
-def c19(spark, sf):
-    return chunking.hashed_embeddings(chunks(spark, sf), 64)
-
-
 @register("g3_language", sql("SELECT node_id, CASE WHEN file_path LIKE '%.py' THEN 'python' ELSE 'unknown' END AS language FROM nodes", "nodes"))
 def g3(spark, sf):
     return nodes(spark, sf).select("node_id", S.language(F.col("file_path")).alias("language"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics
-from ..sources.sinks import scratch
-from ..streaming import jobs
+from ..operators import embedding, metrics
+from ..sources.sinks import scratch, written
+from ..streaming import jobs, ttl
 from .registry import register
 from .tables import read
 
@@ -68,17 +68,18 @@ def a30(spark, sf):
     return metrics.context_health(read(spark, sf, "conversations")).withColumn("used", F.round("used", 6))
 
 
-def _events(spark, sf):
-    """The events as a stream."""
+def _events(spark, sf, end: str | None = None):
+    """The events as a stream; ``end`` is how long after the last event it is known that no more come."""
     folder = scratch(spark)
-    read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
-    return jobs.event_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=1000)
+    rows = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    (jobs.with_end(rows, end) if end else rows).write.parquet(folder)
+    return jobs.event_stream(spark, folder, rows.schema, per_trigger=None)
 
 
 @register("t6_tumbling_samples", "SELECT time_bucket(INTERVAL 30 SECOND, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY ALL")
 def t6(spark, sf):
-    """A stream over the events' file, drained once."""
-    out = jobs.drained(jobs.sampled(_events(spark, sf)), scratch(spark))
+    """A stream over the events' files, drained once; windows leave the state when they are complete."""
+    out = jobs.drained(jobs.sampled(_events(spark, sf, "1 hour")), scratch(spark))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "mean": F.round("mean", 6)})
 
 
@@ -92,8 +93,8 @@ _SESSION = "WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITI
 
 @register("t8_sessions", _SESSION)
 def t8(spark, sf):
-    """A stream over the events' file, drained once."""
-    out = jobs.drained(jobs.session_counts(_events(spark, sf), "12 hours"), scratch(spark))
+    """A stream over the events' files, drained once; sessions leave the state when they are over."""
+    out = jobs.drained(jobs.session_counts(_events(spark, sf, "2 days"), "12 hours"), scratch(spark))
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
@@ -102,11 +103,44 @@ def t2(spark, sf):
     return metrics.once_per_ttl(read(spark, sf, "events"), ("user_id", "event_type"), 86400).select("event_id")
 
 
+_LIVES = ", ".join(f"('{name}', {seconds})" for name, seconds in ttl.LIFETIMES.items())
+
+
+@register(
+    "t2_ttl_state",
+    f"WITH RECURSIVE u AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL), l AS (SELECT * FROM (VALUES {_LIVES}) AS t(cache, seconds)), s AS (SELECT cache, user_id, ts, event_id, ts + to_seconds(seconds) AS ends FROM u, l), n AS (SELECT s.cache, s.event_id, u.event_id AS next FROM s ASOF LEFT JOIN u ON s.user_id = u.user_id AND s.ends <= u.ts), "
+    "f AS (SELECT cache, event_id FROM s QUALIFY row_number() OVER (PARTITION BY cache, user_id ORDER BY ts) = 1), w AS (SELECT cache, event_id FROM f UNION ALL SELECT n.cache, n.next FROM w JOIN n ON n.cache = w.cache AND n.event_id = w.event_id WHERE n.next IS NOT NULL) SELECT cache, event_id FROM w",
+)
+def t2_state(spark, sf):
+    """Uses of a user's entry in five caches: those that find none alive."""
+    events = _events(spark, sf).select("user_id", "ts", "event_id")
+    with jobs.rocksdb(spark):
+        return jobs.drained(ttl.computed(events, ["user_id"]), scratch(spark))
+
+
 @register("t4_content_memo", "SELECT sha256(text) AS key, min(doc_id) AS first_doc, count(*) AS uses FROM documents GROUP BY sha256(text)")
 def t4(spark, sf):
     return read(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("uses"))
 
 
+@register(
+    "t4_memo_runs",
+    "WITH b AS (SELECT coalesce(text, '') AS text FROM benchmark), d AS (SELECT coalesce(text, '') AS text FROM documents UNION ALL SELECT text FROM b) SELECT 'small' AS model, 1 AS run, count(*) AS asked, count(DISTINCT text) AS computed, CAST(sum(length(text)) AS BIGINT) AS total FROM b UNION ALL SELECT 'small', 2, count(*), count(DISTINCT text) - (SELECT count(DISTINCT text) FROM b), CAST(sum(length(text)) AS BIGINT) FROM d UNION ALL SELECT 'small', 3, count(*), 0, CAST(sum(length(text)) AS BIGINT) FROM d UNION ALL SELECT 'large', 4, count(*), count(DISTINCT text), CAST(2 * sum(length(text)) AS BIGINT) FROM b",
+)
+def t4_runs(spark, sf):
+    """A memo of two models in four runs: each computes only what its model hasn't seen."""
+    memo, some = embedding.Memo(scratch(spark), "value long"), read(spark, sf, "benchmark").select("text")
+    every = read(spark, sf, "documents").select("text").unionByName(some)
+    out, before = None, 0
+    for run, (model, texts, times) in enumerate((("small", some, 1), ("small", every, 1), ("small", every, 1), ("large", some, 2)), 1):
+        found = memo.take(texts, model, lambda new, times=times: new.select("key", (F.length(F.coalesce("text", F.lit(""))) * times).cast("long").alias("value")))
+        now = memo.stored(texts).count()
+        # Written, as it shows the memo of now, not that of later runs.
+        row = written(found.agg(F.count("*").alias("asked"), F.sum("value").alias("total")).select(F.lit(model).alias("model"), F.lit(run).alias("run"), "asked", F.lit(now - before).cast("long").alias("computed"), "total"))
+        out, before = row if out is None else out.unionByName(row), now
+    return out
+
+
 @register("t5_signature", "WITH f AS (SELECT source, md5(doc_id || ':' || n_chars) AS m FROM documents), s AS (SELECT source, count(*) AS n, sum(('0x' || left(m, 12))::BIGINT) AS a, sum(('0x' || m[13:24])::BIGINT) AS b FROM f GROUP BY source) SELECT source, sha256(n || ':' || a || ':' || b) AS signature FROM s")
 def t5(spark, sf):
     return metrics.signatures(read(spark, sf, "documents").select("source", F.concat_ws(":", "doc_id", "n_chars").alias("f")), "source", "f")

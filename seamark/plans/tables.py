@@ -57,7 +57,11 @@ def search_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
 
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    state = tuple((str(f.getPath()), f.getModificationTime(), f.getLen()) for f in store.listStatus(place))
+    found, listed = [], store.listFiles(place, True)
+    while listed.hasNext():
+        f = listed.next()
+        found.append((str(f.getPath()), f.getModificationTime(), f.getLen()))
+    state = tuple(sorted(found))
     key = (spark.sparkContext.applicationId, state)
     if key not in _indexes:
         path = scratch(spark)

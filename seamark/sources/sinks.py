@@ -40,6 +40,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch that goes to Python.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keeps Arrow batches of long rows small, so that one fits a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def sent(df: DataFrame, most: int) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``most`` rows, which is measured, else as a written table."""
     rows = df.limit(most + 1).toArrow()

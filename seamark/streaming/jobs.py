@@ -2,18 +2,42 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The last values that a moving average of doubles can tell apart from none.
+LAST_VALUES = 400
+#: State that is kept on disk, with timers and changes of single values.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
-    """Files of events as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+def event_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = 1) -> DataFrame:
+    """Files of events as they arrive, ``per_trigger`` at a time or all that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
+
+
+def with_end(events: DataFrame, after: str) -> DataFrame:
+    """The events and a row ``after`` the last, without other values: windows before it are complete."""
+    end = events.agg((F.max("ts") + F.expr(f"interval {after}")).alias("ts"))
+    return events.unionByName(end, allowMissingColumns=True)
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def sampled(events: DataFrame, width: str = "30 seconds", late: str = "5 minutes") -> DataFrame:
@@ -34,14 +58,22 @@ def once(events: DataFrame, key: list[str], within: str = "300 seconds") -> Data
 
 
 def moving_averages(events: DataFrame, keep: float = 0.9) -> DataFrame:
-    """event_type, n, ema after each batch, from state by type."""
+    """event_type, n, ema after each batch, from state by type.
+
+    A task holds the last ``LAST_VALUES`` of a type's values in a batch; what is
+    older weighs less than a double can tell.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, ema = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for v in rows["value"]:
+        last, arrived = pd.DataFrame(columns=["event_type", "ts", "event_id", "value"]), 0
+        for rows in batches:
+            arrived += len(rows)
+            last = (rows if last.empty else pd.concat([last, rows])).sort_values(["ts", "event_id"]).tail(LAST_VALUES)
+        for v in last["value"]:
             ema = float(v) if n == 0 else keep * ema + (1 - keep) * float(v)
             n += 1
+        n += arrived - len(last)
         state.update((n, ema))
         yield pd.DataFrame({"event_type": [key[0]], "n": [n], "ema": [ema]})
 
@@ -49,33 +81,14 @@ def moving_averages(events: DataFrame, keep: float = 0.9) -> DataFrame:
 
 
 def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """What an aggregating stream has counted when all that is there has arrived; state and result lie below ``folder``."""
+    """What a stream has emitted when all that is there has arrived; state and results, a folder for each batch, lie below ``folder``.
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/result")
-
-    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result")
-
-
-def incremental_index(files: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Upserts the postings of arriving documents (doc_id, file_path, text) into the index below ``path``.
-
-    Every batch is written under its own number, so a batch that is repeated
-    after a failure replaces itself; the newest batch of a document counts.
+    Rows are appended once they are final, and their state is let go; a batch
+    that is repeated after a failure replaces itself.
     """
-    from ..operators.bm25 import build
 
     def write(batch: DataFrame, number: int) -> None:
-        index = build(batch.dropDuplicates(["doc_id"]))
-        index.postings.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/postings/b={number}")
-        index.documents.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/documents/b={number}")
-
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
 
-def current_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, documents) of the newest batch of each document."""
-    docs = spark.read.parquet(f"{path}/documents").drop("b")
-    newest = docs.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/postings").drop("b").join(newest, ["doc_id", "batch"], "left_semi").drop("batch"), docs.join(newest, ["doc_id", "batch"], "left_semi").drop("batch")
+    stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result").select(*stream.columns)
