@@ -5,7 +5,8 @@ all ids of one side are linked to all of the other within a group.  A pair's
 count is the number of documents that hold it linked; the ids of side B whose
 count is highest are an A id's best.
 
-Work is dealt by stripes of A ids.  One pass tokenises, a batch at a time (a
+Work is dealt by stripes of A ids, in another order than the vocabulary's, in
+which the frequent ones stand together.  One pass tokenises, a batch at a time (a
 block): it writes each document's own figures, each block's links by stripe, and
 the partition's sums of documents for each pair, so that what is counted is
 added up before it is shuffled.  A second pass gathers a stripe's sums into a
@@ -98,6 +99,9 @@ class Aligner:
         self.a, self.b = Side(a), Side(b)
         if self.b.size > 1 << 16 or self.a.size > 1 << 24:
             raise ValueError("vocabularies of at most 2 ** 24 and 2 ** 16 entries")
+        #: A ids as they are dealt to stripes: neighbours, which in these vocabularies are alike frequent, go to different ones.
+        stripes_, ids = -(-self.a.size // STRIPE), np.arange(self.a.size)
+        self.place = ids % stripes_ * STRIPE + ids // stripes_
         #: It ages between blocks alone, so that nothing a block has learned is forgotten before it is used.
         self.memo = Memo(lambda piece: self.taken_apart([piece])[0], 1 << 62)
 
@@ -142,7 +146,7 @@ class Aligner:
         text, length_a, length_b = self._as_text(a, b, group_a, group_b, n_a, n_b)
         characters = np.cumsum(np.bincount(group_a, length_a, len(ends)) + np.bincount(group_b, length_b, len(ends))).astype(np.int64)
         piece = np.repeat(np.arange(len(pieces)), np.diff(last, prepend=0))
-        of, pair, times = self._pairs(a, b, n_a, n_b, piece)
+        of, pair, times = self._pairs(self.place[a], b, n_a, n_b, piece)
         often = np.flatnonzero(times > 1)
         pair_last, often_last = (np.searchsorted(x, np.arange(1, len(pieces) + 1)) for x in (of, of[often]))
         pairs, more = pair.astype("<i8").tobytes(), np.stack([pair[often], times[often] - 1]).T.astype("<i8").tobytes()

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -50,7 +51,7 @@ def brute(texts, sides):
         groups = defaultdict(lambda: ([], []))
         for k in (0, 1):
             for (i, _), end in zip(tokens[k], ends[k]):
-                groups[next(c for c in common if c >= end) if len(common) < 200 else common[np.searchsorted(common, end)]][k].append(i)
+                groups[common[bisect_left(common, end)]][k].append(i)
         linked[d] = Counter((x, y) for c in common for x in groups[c][0] for y in groups[c][1])
         held.update(linked[d].keys())
         said = ";".join(",".join(map(str, groups[c][0])) + "|" + ",".join(map(str, groups[c][1])) for c in common)
