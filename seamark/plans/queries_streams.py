@@ -108,8 +108,8 @@ _LIVES = ", ".join(f"('{name}', {seconds})" for name, seconds in ttl.LIFETIMES.i
 
 @register(
     "t2_ttl_state",
-    f"WITH RECURSIVE u AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL), l AS (SELECT * FROM (VALUES {_LIVES}) AS t(cache, seconds)), s AS (SELECT cache, user_id, ts, event_id, ts + to_seconds(seconds) AS ends FROM u, l), n AS (SELECT s.cache, s.event_id, u.event_id AS next FROM s ASOF LEFT JOIN u ON s.user_id = u.user_id AND s.ends <= u.ts), "
-    "f AS (SELECT cache, event_id FROM s QUALIFY row_number() OVER (PARTITION BY cache, user_id ORDER BY ts) = 1), w AS (SELECT cache, event_id FROM f UNION ALL SELECT n.cache, n.next FROM w JOIN n ON n.cache = w.cache AND n.event_id = w.event_id WHERE n.next IS NOT NULL) SELECT cache, event_id FROM w",
+    f"WITH RECURSIVE u AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY ALL), l AS (SELECT * FROM (VALUES {_LIVES}) AS t(cache, seconds)), n AS (SELECT cache, user_id, ts, event_id, min(ts) OVER (PARTITION BY cache, user_id ORDER BY ts RANGE BETWEEN to_seconds(seconds) FOLLOWING AND UNBOUNDED FOLLOWING) AS next, row_number() OVER (PARTITION BY cache, user_id ORDER BY ts) AS place FROM u, l), "
+    "w AS (SELECT cache, user_id, event_id, next FROM n WHERE place = 1 UNION ALL SELECT n.cache, n.user_id, n.event_id, n.next FROM w JOIN n ON n.cache = w.cache AND n.user_id = w.user_id AND n.ts = w.next) SELECT cache, event_id FROM w",
 )
 def t2_state(spark, sf):
     """Uses of a user's entry in five caches: those that find none alive."""
