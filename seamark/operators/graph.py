@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import like_text
+from ..sources.sinks import written
 
 #: Edge types that dependency traversal follows; "extends" means "inherits".
 DEPENDENCIES = ("calls", "imports", "inherits")
@@ -95,7 +96,8 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, forward: bool = True, t
 
     Breadth first to a fixed depth: each level is one join with the edges and a
     distinct, so levels never hold more than the nodes reached, however many
-    paths lead there.  Edges are pruned to the types before they move.
+    paths lead there.  Edges are pruned to the types before they move.  From the
+    second on a level is written, as the next ones read it too.
     """
     if types:
         edges = edges.where(F.col("type").isin(*types))
@@ -105,6 +107,8 @@ def walk(edges: DataFrame, start: DataFrame, depth: int, forward: bool = True, t
     out = None
     for d in range(1, depth + 1):
         found = level.join(steps, "at").select("start_id", F.col("next").alias("node_id"), "relation", F.lit(d).alias("depth")).distinct()
+        if 1 < d < depth:
+            found = written(found)
         out = found if out is None else out.unionByName(found)
         level = found.select("start_id", F.col("node_id").alias("at")).distinct()
     return out

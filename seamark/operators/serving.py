@@ -307,3 +307,30 @@ def response_confidence(text: Column) -> Column:
     """0.5, more for long and structured answers, less for refusals."""
     score = 0.5 + F.when(F.length(text) > 500, 0.2).otherwise(0.0) + F.when(F.contains(text, F.lit("\n")), 0.1).otherwise(0.0) - F.when(F.contains(F.lower(text), F.lit("not")), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), score)
+
+
+def _if(condition: Column, value: float) -> Column:
+    return F.when(condition, value).otherwise(0.0)
+
+
+#: Signs of structured output (fixed values).
+STRUCTURED = ("📄", "🔗", "🧠")
+
+
+def tool_confidence(result: Column) -> Column:
+    """0 to 1 for what one tool gave: without errors, long and structured is better, very short is worse."""
+    low = F.lower(result)
+    marked = reduce(lambda a, m: a | F.contains(result, F.lit(m)), STRUCTURED, F.lit(False))
+    score = 0.5 + _if(~F.contains(low, F.lit("error")) & ~F.contains(low, F.lit("failed")), 0.2) + _if(F.length(result) > 500, 0.1) + _if(marked, 0.1) - _if(F.length(result) < 100, 0.2)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def assessed(response: Column, results: Column, good: Column, needs_code: Column) -> Column:
+    """0 to 1 for a whole answer: its length, the share of good results among ``results`` and their number, and code where the question needs it."""
+    code = F.lower(response).rlike("class|function|import")
+    score = 0.5 + _if(F.length(response) > 500, 0.1) + _if(F.length(response) > 1000, 0.1) + F.when(results > 0, 0.2 * good / results).otherwise(0.0) + _if(results > 5, 0.1) + _if(results > 10, 0.1) + _if(needs_code & code, 0.1)
+    return F.least(F.lit(1.0), score)
+
+
+def confidence_level(score: Column) -> Column:
+    return F.when(score >= 0.8, "high").when(score >= 0.5, "medium").otherwise("low")

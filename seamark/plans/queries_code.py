@@ -280,10 +280,23 @@ def f16(spark, sf):
     return chunks(spark, sf).select("chunk_id", serving.is_snippet(F.col("text")).alias("is_code"))
 
 
-@register("r13_routed_questions", "SELECT * FROM (VALUES (0::BIGINT, 'callers', 'UNITED_1'), (1, 'dependencies', 'nation_3'), (2, 'symbol', 'Region1'), (3, 'search', '')) AS t(query_id, form, symbol)")
+# Every question of the benchmark, and one of each form about every nation.
+_ASKS = ("what calls {}", "dependencies of {}", "subclasses of {}", "find the class {}")
+_ROUTES = "CASE " + " ".join(f"WHEN regexp_matches(query, {_q('(?i)' + p)}) THEN '{name}'" for name, p in serving.FORMS) + " ELSE 'search' END"
+_ROUTED = "CASE " + " ".join(f"WHEN regexp_matches(query, {_q('(?i)' + p)}) THEN coalesce(" + ", ".join(f"nullif(regexp_extract(query, {_q('(?i)' + p)}, {g + 1}), '')" for g in range(p.count("(\\w+)"))) + ", '')" for _, p in serving.FORMS) + " ELSE '' END"
+
+
+@register(
+    "r13_routed_questions",
+    "WITH a AS (SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL " + " UNION ALL ".join(f"SELECT 1000000 + {i} * 1000 + n_nationkey, replace('{ask}', '{{}}', n_name) FROM nation" for i, ask in enumerate(_ASKS)) + f") SELECT query_id, {_ROUTES} AS form, {_ROUTED} AS symbol FROM a",
+)
 def r13(spark, sf):
-    q = spark.createDataFrame([(0, "what calls UNITED_1"), (1, "dependencies of nation_3"), (2, "find the class Region1"), (3, "hello")], "query_id long, query string")
-    return serving.routed(q)
+    b, n = read(spark, sf, "benchmark"), read(spark, sf, "nation")
+    parts = [b.select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))]
+    for i, ask in enumerate(_ASKS):
+        before, after = ask.split("{}")
+        parts.append(n.select((F.col("n_nationkey") + 1_000_000 + i * 1000).cast("long").alias("query_id"), F.concat(F.lit(before), "n_name", F.lit(after)).alias("query")))
+    return serving.routed(reduce(DataFrame.unionByName, parts))
 
 
 @register("r12_answered_routes", sql("SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'dependencies' AS form, 'region:' || n_regionkey AS node_id FROM nation UNION ALL SELECT 100 + n_nationkey, 'symbol', 'nation:' || n_nationkey FROM nation", "nodes"))
@@ -521,13 +534,15 @@ def _texts(spark, sf):
     return read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
-_TABLES = "l AS (SELECT doc_id AS text_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)), t AS (SELECT text_id, i, line, i - row_number() OVER (PARTITION BY text_id ORDER BY i) AS g FROM l WHERE length(regexp_replace(line, '[^|]', '', 'g')) >= 2), f AS (SELECT text_id, min(i) AS first_line, count(*) AS rows, arg_min(len(list_filter(string_split(line, '|'), lambda c: trim(c) <> '')), i) AS columns FROM t GROUP BY text_id, g HAVING count(*) >= 2), s AS (SELECT text_id, first_line, rows, (3 + CASE WHEN columns = 3 THEN 4 ELSE 0 END + CASE WHEN rows - 1 = text_id % 7 THEN 3 ELSE 0 END) / 10 AS likeness FROM f)"
+_TABLES = "l AS (SELECT doc_id AS text_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)), t AS (SELECT text_id, i, line, i - row_number() OVER (PARTITION BY text_id ORDER BY i) AS g FROM l WHERE length(regexp_replace(line, '[^|]', '', 'g')) >= 2), f AS (SELECT text_id, min(i) AS first_line, count(*) AS rows, arg_min(len(list_filter(string_split(line, '|'), lambda c: trim(c) <> '')), i) AS columns FROM t GROUP BY text_id, g HAVING count(*) >= 2), h AS (SELECT text_id, arg_min(columns, first_line) AS c, arg_min(rows, first_line) - 1 + text_id % 3 AS r FROM f GROUP BY text_id), s AS (SELECT text_id, first_line, rows, (3 + CASE WHEN columns = c THEN 4 ELSE 0 END + CASE WHEN rows - 1 = r THEN 3 ELSE 0 END) / 10 AS likeness FROM f JOIN h USING (text_id))"
 
 
 def _repeated(spark, sf):
     t = _texts(spark, sf)
-    shown = t.select("text_id", F.lit(3).alias("columns"), (F.col("text_id") % 7).alias("rows"))
-    return t, serving.repeated_tables(serving.pipe_tables(t), shown)
+    found = serving.pipe_tables(t)
+    # A text's structured table is its first one, with none to two rows more.
+    shown = found.groupBy("text_id").agg(F.min_by("columns", "first_line").alias("columns"), (F.min_by("rows", "first_line") - 1 + F.col("text_id") % 3).alias("rows"))
+    return t, serving.repeated_tables(found, shown)
 
 
 @register("x8_repeated_tables", f"WITH {_TABLES} SELECT text_id, CAST(first_line AS INT) AS first_line, rows, likeness FROM s WHERE likeness >= 0.7")

@@ -315,6 +315,6 @@ def u3(spark, sf):
     return read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(read(spark, sf, "supplier").select("s_nationkey"))
 
 
-@register("u4_set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@register("u4_set_difference", "SELECT doc_id AS k FROM documents EXCEPT SELECT doc_id FROM labels")
 def u4(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).join(read(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("k")).distinct().join(read(spark, sf, "labels").select(F.col("doc_id").alias("k")), "k", "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from ..sources import sinks
 from ..sources.sinks import scratch
 from ..streaming import watch
 from .queries_code import _IMPORTS, _LANG, CODE, code
-from .queries_search import _ASKED, _BASE, _DOCS, _FUSED, _INDEX, _INTENT, _L2, _NEAR, _SIGNALS, _TERMS, _arms, asked, documents, questions, vector_queries
+from .queries_search import _ASKED, _BASE, _DOCS, _FUSED, _INDEX, _INTENT, _IP, _L2, _NEAR, _SIGNALS, _TERMS, _arms, asked, documents, questions, vector_queries
 from .registry import register
 from .tables import chunks, edges, files, nodes, read, search_index, sql
 
@@ -137,10 +140,29 @@ def s31(spark, sf):
     return sinks.read_golden(spark, path).groupBy("query_id", "category").agg(F.count("*").alias("expected"))
 
 
-@register("s29_file_tools", sql("SELECT 'list' AS tool, file_path AS value FROM (SELECT file_path FROM files WHERE file_path LIKE 'src4/%' ORDER BY file_path LIMIT 50) UNION ALL SELECT 'read', content FROM files WHERE doc_id = 3", "files"))
+@register(
+    "s29_file_tools",
+    sql(
+        "WITH g AS (SELECT file_path, i, string_split(content, chr(10))[i] AS line FROM files, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS r(i) WHERE contains(content, 'the')), m AS (SELECT file_path, i, line FROM g WHERE regexp_matches(line, '\\bthe [a-z]+ing\\b')), "
+        "t AS (SELECT DISTINCT split_part(file_path, '/', 1) AS project FROM files) "
+        "SELECT 'list' AS tool, project AS argument, file_path AS value FROM (SELECT project, file_path FROM files QUALIFY row_number() OVER (PARTITION BY project ORDER BY file_path) <= 50) UNION ALL SELECT 'find', '*7.txt', file_path FROM files WHERE file_path LIKE '%7.txt' UNION ALL SELECT 'read', file_path, md5(content) FROM files UNION ALL SELECT 'grep', file_path || ':' || i, line FROM m",
+        "files",
+    ),
+)
 def s29(spark, sf):
+    """Folders listed, paths found by pattern, files read and searched, as rows of one relation."""
     f = files(spark, sf)
-    return S.listed(f, "src4").select(F.lit("list").alias("tool"), F.col("file_path").alias("value")).unionByName(f.where("doc_id = 3").select(F.lit("read").alias("tool"), F.col("content").alias("value")))
+    rows = lambda tool, d, argument, value: d.select(F.lit(tool).alias("tool"), argument.alias("argument"), value.alias("value"))
+    place = F.row_number().over(W.partitionBy("project").orderBy("file_path"))
+    listed = f.select("project", "file_path").withColumn("n", place).where("n <= 50")
+    lines = S.grep(f.where(F.contains("content", F.lit("the"))), r"\bthe [a-z]+ing\b", context=0, most=None).where("is_match")
+    parts = [
+        rows("list", listed, F.col("project"), F.col("file_path")),
+        rows("find", S.found(f, "*7.txt"), F.lit("*7.txt"), F.col("file_path")),
+        rows("read", f, F.col("file_path"), F.md5("content")),
+        rows("grep", lines, F.concat_ws(":", "file_path", "line_no"), F.col("line")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("s37_graph_rebuild", "SELECT 'app/service/nation_' || n_nationkey || '.py::Nation' || n_nationkey || '::4' AS node_id FROM nation")
@@ -195,11 +217,11 @@ def g14(spark, sf):
     return extract.resolved_imports(extract.imports(c), c)
 
 
-@register("g21_vector_relations", "SELECT a.vec_id AS source, b.vec_id AS target FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])), 9) > 0.7")
+@register("g21_vector_relations", f"WITH {_NEAR.format(_IP, 'DESC')} SELECT query_id AS source, vec_id AS target, round(d, 6) AS similarity FROM nr WHERE query_id <> vec_id AND rank <= 4 AND round(d, 9) >= 0.3")
 def g21(spark, sf):
-    e = read(spark, sf, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("source"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("target"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("source < target").where(F.round(vectors.inner_product(F.col("x"), F.col("y")), 9) > 0.7).select("source", "target")
+    """The three nearest of every component (a stated set) that are alike enough."""
+    near = vectors.nearest(read(spark, sf, "embeddings"), vector_queries(spark, sf), 4, "ip")
+    return near.where("query_id <> vec_id and similarity >= 0.3").select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.round("similarity", 6).alias("similarity"))
 
 
 @register("f7_chunks_of_file", sql("SELECT chunk_id, position FROM chunks WHERE file_path LIKE 'src1/en/%'", "chunks"))
@@ -434,6 +456,35 @@ def x4(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.round(serving.response_confidence(F.col("text")), 6).alias("confidence"))
 
 
+_LEVEL = "CASE WHEN {0} >= 0.8 THEN 'high' WHEN {0} >= 0.5 THEN 'medium' ELSE 'low' END"
+_TOOL = "greatest(0, least(1, 0.5 + CASE WHEN NOT contains(lower(t), 'error') AND NOT contains(lower(t), 'failed') THEN 0.2 ELSE 0 END + CASE WHEN length(t) > 500 THEN 0.1 ELSE 0 END + CASE WHEN contains(t, '📄') OR contains(t, '🔗') OR contains(t, '🧠') THEN 0.1 ELSE 0 END - CASE WHEN length(t) < 100 THEN 0.2 ELSE 0 END))"
+
+
+@register("x4_tool_confidence", f"SELECT role AS tool, conv_id, turn, round({_TOOL}::DOUBLE, 6) AS confidence FROM (SELECT *, coalesce(text, '') AS t FROM conversations)")
+def x4_tool(spark, sf):
+    """Every turn as what a tool said."""
+    return read(spark, sf, "conversations").select(F.col("role").alias("tool"), "conv_id", "turn", F.round(serving.tool_confidence(F.coalesce("text", F.lit(""))), 6).alias("confidence"))
+
+
+_ANSWERS = (
+    "c AS (SELECT *, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS q FROM conversations), "
+    "r AS (SELECT conv_id, max(t) FILTER (WHERE p = 1) AS response, max(t) FILTER (WHERE q = 1) AS question, count(*) FILTER (WHERE p > 1) AS results, count(*) FILTER (WHERE p > 1 AND NOT contains(lower(t), 'error')) AS good FROM c GROUP BY conv_id), "
+    "s AS (SELECT conv_id, least(1, 0.5 + CASE WHEN length(response) > 500 THEN 0.1 ELSE 0 END + CASE WHEN length(response) > 1000 THEN 0.1 ELSE 0 END + CASE WHEN results > 0 THEN 0.2 * good / results ELSE 0 END + CASE WHEN results > 5 THEN 0.1 ELSE 0 END + CASE WHEN results > 10 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(lower(question), 'login|auth|database|entit') AND regexp_matches(lower(response), 'class|function|import') THEN 0.1 ELSE 0 END)::DOUBLE AS s FROM r)"
+)
+
+
+@register("x4_response_confidence", f"WITH {_ANSWERS} SELECT conv_id, round(s, 6) AS confidence, {_LEVEL.format('round(s, 6)')} AS level FROM s")
+def x4_response(spark, sf):
+    """The last turn of a conversation as its response, those before as what tools gave."""
+    w = W.partitionBy("conv_id")
+    c = read(spark, sf, "conversations").withColumn("t", F.coalesce("text", F.lit("")))
+    c = c.withColumns({"p": F.row_number().over(w.orderBy(F.desc("turn"))), "q": F.row_number().over(w.orderBy("turn"))})
+    before = F.col("p") > 1
+    r = c.groupBy("conv_id").agg(F.max(F.when(F.col("p") == 1, F.col("t"))).alias("response"), F.max(F.when(F.col("q") == 1, F.col("t"))).alias("question"), F.count_if(before).alias("results"), F.count_if(before & ~F.contains(F.lower("t"), F.lit("error"))).alias("good"))
+    score = F.round(serving.assessed(F.col("response"), F.col("results"), F.col("good"), F.lower("question").rlike("login|auth|database|entit")), 6)
+    return r.select("conv_id", score.alias("confidence"), serving.confidence_level(score).alias("level"))
+
+
 @register("x7_result_table", "SELECT doc_id, printf('%s | %s | %d', source, lang, n_chars) AS line FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
 def x7(spark, sf):
     return read(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", F.format_string("%s | %s | %d", "source", "lang", "n_chars").alias("line"))

@@ -256,12 +256,15 @@ def r23(spark, sf):
     return context.within_budget(r).withColumn("score", F.round("score", 6))
 
 
-_GOLD = ", go AS (SELECT q.query_id, CAST(q.query_id % 3 AS VARCHAR) AS category, list(d.doc_id) AS expected FROM qs q JOIN docs d ON d.doc_id % 40 = q.query_id % 40 GROUP BY ALL), re AS (" + _TOP.format("round(score, 9)", "(SELECT * FROM sc WHERE score >= 0.1)", 10) + "), j AS (SELECT go.query_id, category, expected, rank, doc_id, coalesce(list_contains(expected, doc_id), FALSE) AS hit FROM go LEFT JOIN re USING (query_id)), m AS (SELECT query_id, category, CASE WHEN count(doc_id) >= 3 THEN count(*) FILTER (WHERE hit AND rank <= 3) / 3.0 ELSE 0 END AS p3, CASE WHEN count(doc_id) >= 5 THEN count(*) FILTER (WHERE hit AND rank <= 5) / 5.0 ELSE 0 END AS p5, CASE WHEN count(doc_id) >= 10 THEN count(*) FILTER (WHERE hit) / 10.0 ELSE 0 END AS p10, count(*) FILTER (WHERE hit) * 1.0 / any_value(len(expected)) AS r10, coalesce(1.0 / min(rank) FILTER (WHERE hit), 0) AS mrr FROM j GROUP BY query_id, category)"
+_GOLD = ", rr AS (SELECT query_id, arg_min(term, (df, term)) AS term FROM qt JOIN df USING (term) GROUP BY query_id), go AS (SELECT query_id, CAST(query_id % 3 AS VARCHAR) AS category, list(doc_id) AS expected FROM rr JOIN ps USING (term) GROUP BY ALL), re AS (" + _TOP.format("round(score, 9)", "(SELECT * FROM sc WHERE score >= 0.1)", 10) + "), j AS (SELECT go.query_id, category, expected, rank, doc_id, coalesce(list_contains(expected, doc_id), FALSE) AS hit FROM go LEFT JOIN re USING (query_id)), m AS (SELECT query_id, category, CASE WHEN count(doc_id) >= 3 THEN count(*) FILTER (WHERE hit AND rank <= 3) / 3.0 ELSE 0 END AS p3, CASE WHEN count(doc_id) >= 5 THEN count(*) FILTER (WHERE hit AND rank <= 5) / 5.0 ELSE 0 END AS p5, CASE WHEN count(doc_id) >= 10 THEN count(*) FILTER (WHERE hit) / 10.0 ELSE 0 END AS p10, count(*) FILTER (WHERE hit) * 1.0 / any_value(len(expected)) AS r10, coalesce(1.0 / min(rank) FILTER (WHERE hit), 0) AS mrr FROM j GROUP BY query_id, category)"
 
 
 def _evaluated(spark, sf):
-    d, q = documents(spark, sf), questions(spark, sf)
-    gold = q.join(d, F.col("doc_id") % 40 == F.col("query_id") % 40).select("query_id", (F.col("query_id") % 3).cast("string").alias("category"), "doc_id")
+    """Search held against the documents that have a question's rarest term."""
+    index, q = search_index(spark, sf), questions(spark, sf)
+    words = q.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).join(index.terms, "term")
+    rarest = words.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    gold = index.postings.join(rarest, "term").select("query_id", (F.col("query_id") % 3).cast("string").alias("category"), "doc_id")
     return evaluate.per_query(b4(spark, sf), gold)
 
 

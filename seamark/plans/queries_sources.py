@@ -241,9 +241,9 @@ def f12(spark, sf):
     return read(spark, sf, "pages").select("page_id", S.included(F.col("url")).alias("included"))
 
 
-@register("f17_glob", sql("SELECT file_path FROM files WHERE regexp_matches(file_path, '^src1/.*/.*[05]\\.txt$') OR contains(file_path, 'src1/*/*[05].txt')", "files"))
+@register("f17_glob", sql("SELECT file_path FROM files WHERE regexp_matches(file_path, '^src.5/.*/.*[05]\\.txt$') OR contains(file_path, 'src?5/*/*[05].txt')", "files"))
 def f17(spark, sf):
-    return S.found(files(spark, sf), "src1/*/*[05].txt")
+    return S.found(files(spark, sf), "src?5/*/*[05].txt")
 
 
 @register("n1_listing", sql("SELECT file_path FROM files WHERE file_path LIKE 'src2/%' ORDER BY file_path LIMIT 50", "files"))
