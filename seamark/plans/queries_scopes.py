@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import scopes
-from .queries_code import _fill, _parts
+from ..operators import related, scopes
+from ..sources.sinks import written
+from .queries_code import _IMPORTS, _LANG, CODE, _fill, _parts, code
 from .registry import register
 from .tables import read
 
@@ -142,3 +143,58 @@ def c9_scoped(spark, sf):
 @register("g1_symbol_types", f"WITH {_expected()} SELECT {_TYPE} AS type, count(*) AS n, count(DISTINCT file_path) AS files, count(*) FILTER (WHERE parent IS NOT NULL) AS nested FROM found GROUP BY ALL")
 def g1_types(spark, sf):
     return scopes.scoped_symbols(sources(spark, sf)).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.count_if(F.col("parent").isNotNull()).alias("nested"))
+
+
+#: Tests and configuration beside the code base: table, path and text; {k} and {p} as there.
+_BESIDE = (
+    ("nation", "n_nationkey", "n_regionkey", "tests/test_nation_{k}.py", "from nation_{k} import Nation{k}\nimport region_{p}\n"),
+    ("region", "r_regionkey", "r_regionkey", "core/model/region_{k}_test.py", "import app.service.nation_{k}\n"),
+    ("region", "r_regionkey", "r_regionkey", "core/settings_{k}.ini", "[models]\nfirst = region_{k}\nview = customer_{k}, nation_{k}\n"),
+    ("customer", "c_custkey", "c_nationkey", "web/view/customer_{k}.spec.js", "import x from './customer_{k}';\n"),
+    ("nation", "n_nationkey", "n_regionkey", "app/service/config_{k}.py", "import os\n"),
+)
+
+
+def with_tests(spark, sf) -> DataFrame:
+    """The small code base with tests and configuration."""
+
+    def one(table, key, parent, path, text):
+        fill = lambda s: F.concat(*[F.col(key) if p == "\0k" else F.col(parent) if p == "\0p" else F.lit(p) for p in _parts(s)])
+        return read(spark, sf, table).select(fill(path).alias("file_path"), fill(text).alias("content"))
+
+    # One table instead of ten, as every pattern reads it.
+    return written(reduce(DataFrame.unionByName, [code(spark, sf), *[one(*b) for b in _BESIDE]]))
+
+
+_ALL = "al AS (SELECT * FROM code UNION ALL " + " UNION ALL ".join(f"SELECT {_fill(path, k, p)} AS file_path, {_fill(text, k, p)} AS content FROM {t}" for t, k, p, path, text in _BESIDE) + ")"
+_STEM = "regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1')"
+_FOLDER = "regexp_replace({0}, '/?[^/]*$', '')"
+_MARK = related.TEST_MARK
+_IMPORTED = f"""WITH {CODE}, {_ALL}, l AS (SELECT *, {_LANG} AS language FROM al), i AS ({_IMPORTS}),
+sx AS (SELECT file_path, array_to_string(p[k:], '/') AS suffix FROM (SELECT file_path, string_split(regexp_replace(file_path, '\\.[^./]*$', ''), '/') AS p FROM al), unnest(range(1, len(p) + 1)) AS r(k)),
+ix AS (SELECT suffix, min(file_path) AS target FROM sx GROUP BY suffix HAVING count(*) = 1),
+im AS (SELECT DISTINCT file_path, target AS name, CASE WHEN language IN ('javascript', 'typescript', 'go', 'php') THEN regexp_replace(regexp_replace(target, '^(\\.{{1,2}}/)+', ''), '\\.(js|ts|jsx|tsx|json)$', '') ELSE regexp_replace(regexp_replace(target, '^\\.+', ''), '\\.|::|\\\\', '/', 'g') END AS path FROM i WHERE target <> ''),
+tx AS (SELECT file_path, name, array_to_string(p[k:], '/') AS suffix FROM (SELECT *, string_split(path, '/') AS p FROM im), unnest(range(1, len(p) + 1)) AS r(k)),
+ed AS (SELECT DISTINCT file_path, target FROM (SELECT tx.file_path, arg_max(ix.target, length(suffix)) AS target FROM tx JOIN ix USING (suffix) GROUP BY tx.file_path, name) WHERE file_path <> target)"""
+
+
+@register("s34_import_edges", _IMPORTED + " SELECT file_path, target FROM ed")
+def s34_edges(spark, sf):
+    return related.import_edges(with_tests(spark, sf))
+
+
+@register(
+    "s34_related_arms",
+    _IMPORTED
+    + f""", f AS (SELECT file_path, content, {_STEM.format('file_path')} AS s, {_FOLDER.format('file_path')} AS d FROM al), o AS (SELECT file_path AS target, s, d FROM f),
+cf AS (SELECT * FROM f WHERE regexp_matches(lower(regexp_extract(file_path, '([^/]*)$', 1)), '{related.CONFIGURATION}')),
+arms AS (SELECT target, 'imported by' AS arm, file_path FROM ed UNION SELECT file_path, 'imports', target FROM ed
+UNION SELECT target, 'test', f.file_path FROM o JOIN f ON regexp_replace(o.s, '{_MARK}', '', 'g') = regexp_replace(f.s, '{_MARK}', '', 'g') WHERE regexp_matches(f.s, '{_MARK}')
+UNION SELECT target, 'configuration', cf.file_path FROM o JOIN cf ON cf.d = o.d OR cf.d = {_FOLDER.format('o.d')}
+UNION SELECT target, 'configuration', w.file_path FROM o JOIN (SELECT file_path, unnest(regexp_extract_all(content, '[A-Za-z0-9_-]+')) AS s FROM cf) w USING (s)
+UNION SELECT target, 'name', f.file_path FROM o JOIN f USING (d) WHERE starts_with(f.s, o.s || '_') OR ends_with(f.s, '_' || o.s) OR starts_with(f.s, CASE WHEN length(o.s) > 3 THEN left(o.s, length(o.s) - 1) ELSE o.s END))
+SELECT target, arm, file_path, CAST(row_number() OVER (PARTITION BY target, arm ORDER BY file_path) AS INT) AS rank FROM arms WHERE target <> file_path QUALIFY row_number() OVER (PARTITION BY target, arm ORDER BY file_path) <= 5""",
+)
+def s34_arms(spark, sf):
+    files = with_tests(spark, sf)
+    return related.related(files, files)
