@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from . import graph
+from ..sources.sinks import written
+from . import bm25, graph, serving
 
 # Score bonus by relation.
 BONUS = {"self": 0.3, "calls": 0.2, "inherits": 0.15, "imports": 0.1, "uses": 0.1}
@@ -80,11 +81,30 @@ def graph_expanded(hits: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
     for k, v in BONUS.items():
         bonus = F.when(F.col("relation") == k, v).otherwise(bonus)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + shared + bonus - 0.1 * F.col("depth")))
-    rows = rows.select("query_id", "node_id", "relation", "depth", (score * F.when(F.col("relation") == "self", 1.0).otherwise(1.05)).alias("score"))
+    rows = rows.select("query_id", "node_id", "relation", "depth", F.round(score * F.when(F.col("relation") == "self", 1.0).otherwise(1.05), 9).alias("score"))
     best = F.row_number().over(W.partitionBy("query_id", "node_id").orderBy(F.desc("score"), "depth", "relation"))
     return rows.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
+def retrieved_and_expanded(index: bm25.Index, files: DataFrame, nodes: DataFrame, edges: DataFrame, questions: DataFrame, initial: int = 3, most: int = 10, depth: int = 1) -> DataFrame:
+    """query_id, rank, node_id, relation, depth, score, file_path, text: what questions (query_id, query) find in the graph.
+
+    The best files of a question by keywords name symbols; those are looked up
+    among the nodes, their relations are followed, and each node that is reached
+    brings its file's text (``files``: file_path, content).
+    """
+    hits = bm25.ranked(index, questions, initial).select("query_id", "doc_id").join(index.documents.select("doc_id", "text"), "doc_id").join(questions, "query_id")
+    texts = hits.select(F.concat_ws(":", "query_id", "doc_id").alias("text_id"), "query_id", "text", "query")
+    symbols = serving.scored_symbols(texts.select("text_id", "text", "query")).select("text_id", F.col("symbol").alias("name"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]+"), F.lit(0)))
+    named = symbols.join(texts.select("text_id", "query_id", words.alias("words")), "text_id").join(nodes.select("name", "node_id"), "name")
+    # Read again for every direction and level.
+    start = written(named.select("query_id", "node_id", "words").distinct())
+    found = graph_expanded(start, nodes, edges, depth)
+    top = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("rank") <= most)
+    return top.join(nodes.select("node_id", "file_path"), "node_id").join(files.select("file_path", F.col("content").alias("text")), "file_path").select("query_id", "rank", "node_id", "relation", "depth", "score", "file_path", "text")
+
+
 def impact(related: DataFrame) -> DataFrame:
     """target, n, score, risk from rows (target, confidence)."""
     out = related.groupBy("target").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))

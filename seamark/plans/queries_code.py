@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import intent
 from ..functions import text as T
-from ..operators import chunking, context, evaluate, extract, graph, metrics, serving
+from ..operators import bm25, chunking, context, evaluate, extract, graph, metrics, serving
 from ..sources import files as S
-from .queries_search import _ASKED, _INTENT, _L2, _PLAIN, _SIGNALS, MASKED, _numbered, asked
+from ..sources.sinks import scratch, written
+from .queries_search import _ASKED, _INDEX, _INTENT, _L2, _PLAIN, _SCORES, _SIGNALS, MASKED, _numbered, asked
 from .registry import register
 from .tables import chunks, edges, files, nodes, read, sql, transitions
 
@@ -68,7 +69,11 @@ def g2(spark, sf):
 
 
 def _known(spark, sf):
-    s = extract.symbols(code(spark, sf)).where("type <> 'variable'")
+    return _known_of(code(spark, sf))
+
+
+def _known_of(files):
+    s = extract.symbols(files).where("type <> 'variable'")
     return s.select(F.concat_ws("::", "file_path", "name").alias("node_id"), "name", "file_path").distinct()
 
 
@@ -569,3 +574,37 @@ def t9(spark, sf):
 @register("t3_oldest_evicted", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) > ceil(count(*) OVER (PARTITION BY event_type) * 0.1)")
 def t3(spark, sf):
     return metrics.after_eviction(read(spark, sf, "events"), "event_type", ("ts", "event_id")).select("event_id")
+
+
+_BONUS = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in context.BONUS.items()) + " ELSE 0.05 END"
+_SYMBOL_SCORE = "(CASE WHEN contains(q, lower(symbol)) THEN 1.0 WHEN len(list_filter(string_split(lower(symbol), '_'), lambda p: length(p) > 2 AND contains(q, p))) > 0 THEN 0.5 ELSE 0 END + least(n / 10, 1) + CASE WHEN regexp_matches(symbol, '^[A-Z]') THEN 0.2 ELSE 0 END + CASE WHEN contains(symbol, '_') THEN 0.1 ELSE 0 END)::DOUBLE"
+_FILES = "docs AS (SELECT ('0x' || left(md5(file_path), 12))::BIGINT AS doc_id, file_path, content AS text FROM code)"
+_WHERE = "qs AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'where is Nation' || n_nationkey || ' loaded by load_' || n_nationkey AS query FROM nation)"
+
+
+@register(
+    "r14_graph_expansion",
+    f"WITH {CODE}, {_FILES}, {_INDEX}, {_WHERE}, {_SCORES}, {_KNOWN_SQL.replace('s AS (', 'sm AS (', 1).replace('FROM s WHERE', 'FROM sm WHERE')}, rf AS ({_REFS}), "
+    "eg AS (SELECT DISTINCT o.node_id AS source_id, t.node_id AS target_id, rf.type FROM rf JOIN known t USING (name) JOIN known o ON o.file_path = rf.file_path WHERE o.node_id <> t.node_id), "
+    "tp AS (SELECT query_id, doc_id FROM sc WHERE round(score, 9) >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 3), "
+    "tx AS (SELECT query_id, doc_id, lower(query) AS q, unnest(regexp_extract_all(text, '\\b([A-Za-z_][A-Za-z0-9_]{2,})\\b', 1)) AS symbol FROM tp JOIN docs USING (doc_id) JOIN qs USING (query_id)), "
+    f"ts AS (SELECT query_id, doc_id, symbol FROM (SELECT query_id, doc_id, q, symbol, count(*) AS n FROM tx GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {_SYMBOL_SCORE} DESC, symbol) <= 10), "
+    "st AS (SELECT DISTINCT query_id, node_id FROM ts JOIN known ON name = symbol), "
+    f"re AS (SELECT node_id AS start_id, node_id, 'self' AS relation, 0 AS depth FROM (SELECT DISTINCT node_id FROM st) UNION ALL SELECT DISTINCT source_id, target_id, type, 1 FROM eg WHERE source_id IN (SELECT node_id FROM st) AND type IN {graph.DEPENDENCIES} UNION ALL SELECT DISTINCT target_id, source_id, type, 1 FROM eg WHERE target_id IN (SELECT node_id FROM st) AND type = 'calls'), "
+    "rw AS (SELECT st.query_id, re.node_id, relation, depth, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS w, list_distinct(regexp_extract_all(lower(k.name || ' ' || k.file_path), '[a-z0-9]+')) AS h FROM st JOIN re ON st.node_id = re.start_id JOIN known k ON k.node_id = re.node_id JOIN qs USING (query_id)), "
+    f"sr AS (SELECT query_id, node_id, relation, depth, round(greatest(0, least(1, 0.5 + len(list_intersect(w, h)) / greatest(len(w), 1) + {_BONUS} - 0.1 * depth))::DOUBLE * CASE WHEN relation = 'self' THEN 1.0 ELSE 1.05 END, 9) AS score FROM rw), "
+    "be AS (SELECT * FROM sr QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY score DESC, depth, relation) = 1), "
+    "ra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM be) "
+    "SELECT query_id, CAST(rank AS INT) AS rank, ra.node_id, relation, depth, round(score, 6) AS score, md5(content) AS digest FROM ra JOIN known k ON k.node_id = ra.node_id JOIN code ON code.file_path = k.file_path WHERE rank <= 10",
+)
+def r14(spark, sf):
+    """Questions about every nation's class, over the files of the small code base and the graph of their symbols."""
+    files = written(code(spark, sf))
+    nodes_ = written(_known_of(files))
+    edges_ = written(extract.references(files, nodes_))
+    docs = files.select(F.conv(F.left(F.md5("file_path"), F.lit(12)), 16, 10).cast("long").alias("doc_id"), "file_path", F.col("content").alias("text"))
+    path = scratch(spark)
+    bm25.build(docs).save(path)
+    questions = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("where is Nation"), "n_nationkey", F.lit(" loaded by load_"), "n_nationkey").alias("query"))
+    out = context.retrieved_and_expanded(bm25.Index.load(spark, path), files, nodes_, edges_, questions)
+    return out.select("query_id", "rank", "node_id", "relation", "depth", F.round("score", 6).alias("score"), F.md5("text").alias("digest"))

@@ -294,12 +294,6 @@ def n4(spark, sf):
     return graph.common_ancestor(rows, pairs)
 
 
-@register("r14_graph_expansion")
-def r14(spark, sf):
-    hits = _start(spark, sf, "customer").select((F.expr("cast(split_part(node_id, ':', 2) AS bigint)") % 4).alias("query_id"), "node_id", F.array(F.lit("customer"), F.lit("app")).alias("words"))
-    return context.graph_expanded(hits, nodes(spark, sf), edges(spark, sf)).withColumn("score", F.round("score", 6))
-
-
 @register("r26_impact", sql("WITH r AS (SELECT target_id AS target, count(*) AS n FROM edges GROUP BY target_id) SELECT target, n, round(least(n * 0.9 / 10, 1), 6) AS score, CASE WHEN n >= 8 OR least(n * 0.9 / 10, 1) > 0.7 THEN 'HIGH' WHEN n >= 4 OR least(n * 0.9 / 10, 1) > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM r", "edges"))
 def r26(spark, sf):
     return context.impact(edges(spark, sf).select(F.col("target_id").alias("target"), F.lit(0.9).alias("confidence"))).withColumn("score", F.round("score", 6))
