@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from . import queries_code, queries_graph, queries_more, queries_scopes, queries_search, queries_sources, queries_streams  # noqa: E402, F401
+from . import queries_code, queries_graph, queries_more, queries_scopes, queries_search, queries_smart, queries_sources, queries_streams  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
