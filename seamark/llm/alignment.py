@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freed, kept, map_batches, only, shared_path, written
+from .common import kept, map_batches, only, shared_path, to_arrow_schema, written
 from .pieces import MEMO_LENGTH, Memo, cut
 from .tokencounts import byte_signs
 
@@ -309,7 +309,7 @@ def stripes(pair: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows of ``TABLE``: figures of each block's documents, links by block and stripe, sums by stripe."""
-    arrow = _arrow(docs, TABLE)
+    arrow = to_arrow_schema(docs.sparkSession, TABLE)
     key = ("aligner", a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,12 +338,6 @@ def tokenised(docs: DataFrame, a: str, b: str) -> DataFrame:
     return map_batches(only(docs, "doc_id", "text"), run, TABLE, keeps=key)
 
 
-def _arrow(df: DataFrame, schema: str) -> pa.Schema:
-    from .common import to_arrow_schema
-
-    return to_arrow_schema(df.sparkSession, schema)
-
-
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -354,7 +348,7 @@ def in_order(df: DataFrame, keys: list[str], then: list[str], make: Callable, sc
 
     ``make()`` returns a function from a row (a dict), or ``None`` at the end, to rows to emit.
     """
-    arrow = _arrow(df, schema)
+    arrow = to_arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
