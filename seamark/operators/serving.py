@@ -87,14 +87,15 @@ def scored_symbols(texts: DataFrame, most: int = 10) -> DataFrame:
     """text_id, symbol, score: the best names of each (text_id, text, query).
 
     1 where the question holds the name, else .5 where it holds a part of it;
-    more by frequency, capitals and underscores.
+    more by frequency, capitals and underscores.  Scores are rounded to six
+    places before they are ranked, so that sums which differ in their last bit tie.
     """
     names = F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b"), F.lit(1))
     rows = texts.select("text_id", F.lower("query").alias("q"), F.explode(names).alias("symbol")).groupBy("text_id", "q", "symbol").agg(F.count("*").alias("n"))
     low = F.lower("symbol")
     parts = F.exists(F.split(low, "_"), lambda p: (F.length(p) > 2) & F.contains(F.col("q"), p))
     score = F.when(F.contains("q", low), 1.0).when(parts, 0.5).otherwise(0.0) + F.least(F.col("n") / 10.0, F.lit(1.0)) + F.when(F.col("symbol").rlike("^[A-Z]"), 0.2).otherwise(0.0) + F.when(F.contains("symbol", F.lit("_")), 0.1).otherwise(0.0)
-    rows = rows.select("text_id", "symbol", score.alias("score"))
+    rows = rows.select("text_id", "symbol", F.round(score, 6).alias("score"))
     return rows.withColumn("_n", F.row_number().over(W.partitionBy("text_id").orderBy(F.desc("score"), "symbol"))).where(F.col("_n") <= most).drop("_n")
 
 

@@ -340,7 +340,7 @@ _TEXT_SYMBOLS = "WITH t AS (SELECT doc_id AS text_id, unnest(regexp_extract_all(
 @register("r15_context_symbols", _TEXT_SYMBOLS)
 def r15(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text", F.lit("the thing and that").alias("query"))
-    return serving.scored_symbols(d).withColumn("score", F.round("score", 6))
+    return serving.scored_symbols(d)
 
 
 _KINDS = ", ".join("(" + " + ".join(f"CAST(contains(l, '{w}') AS INT)" for w in words) + f") AS {k}" for k, words in intent.KINDS.items())
