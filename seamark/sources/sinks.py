@@ -100,7 +100,7 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def followed(paths: DataFrame, links: DataFrame, depth: int = 5) -> DataFrame:
-    """The files that paths lead to by links (link, target), each once; a circle leads nowhere."""
+    """The files that paths lead to by links (link, target), each once; a circle leads nowhere, nor does a link whose target is null."""
     out = paths.select(F.col("file_path").alias("_at"))
     step = links.select(F.col("link").alias("_link"), F.col("target").alias("_target"))
     for _ in range(depth):
