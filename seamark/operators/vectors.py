@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -97,6 +98,61 @@ def _batch_nearest(vectors: DataFrame, sent: pa.Table, k: int, metric: str, reac
     return vectors.select("vec_id", "embedding", *([] if reach is None else ["list"])).mapInArrow(run, schema)
 
 
+#: Vectors of a block at most (about), and blocks at least, so that small tables are dealt out too; vectors of a tile's sides.
+BLOCK, LEAST_BLOCKS, TILE = 16384, 6, 512
+
+
+def alike(vectors: DataFrame, least: float) -> DataFrame:
+    """source, target, similarity: every pair of (vec_id, embedding), the smaller id first, whose inner product, to nine places, is at least ``least``.
+
+    Vectors are dealt into blocks by id, and every two blocks meet in one group,
+    which multiplies them by tiles and gives what it finds tile by tile.  So
+    memory is bounded, but the work grows with the square of the table, and so
+    may the pairs.  Nulls are passed over, and so are pairs of unlike width.
+    """
+    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    blocks = max(LEAST_BLOCKS, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")
+    dealt = rows.withColumn("_own", own).select("vec_id", "embedding", "_own", meets).select("vec_id", "embedding", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    out = from_arrow_schema(pa.schema([pa.field(n, to_arrow_schema(rows.select("vec_id").schema).field(0).type) for n in ("source", "target")] + [("similarity", pa.float64())]))
+    arrow = to_arrow_schema(out)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[list, list]]:
+        """By width, the ids and vectors of the first block and of the second (the same if a block meets itself)."""
+        found: dict[int, tuple[list, list]] = {}
+        for batch in batches:
+            column, first = batch.column(1), pc.equal(batch.column(2), batch.column(3)).to_numpy(zero_copy_only=False)
+            width = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            for w in np.unique(width):
+                for side in (0, 1):
+                    at = np.flatnonzero((width == w) & (first if side == 0 else ~first))
+                    if len(at):
+                        v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), w)
+                        found.setdefault(int(w), ([], []))[side].append((batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False), v))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = next(batches)
+        alone = head.column(3)[0] == head.column(4)[0]
+        for one, two in sides(itertools.chain([head], batches)).values():
+            if not one or not (two or alone):
+                continue
+            a, x = (np.concatenate(c) for c in zip(*one))
+            b, y = (a, x) if alone else (np.concatenate(c) for c in zip(*two))
+            for i in range(0, len(a), TILE):
+                for j in range(0, len(b), TILE):
+                    d = x[i : i + TILE] @ y[j : j + TILE].T
+                    p, q = np.nonzero(np.round(d, 9) >= least)
+                    s, t = a[i + p], b[j + q]
+                    keep = s < t if alone else slice(None)
+                    d, s, t = d[p, q][keep], s[keep], t[keep]
+                    if len(d):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t), arrow.field(0).type), pa.array(np.maximum(s, t), arrow.field(1).type), pa.array(d)], schema=arrow)
+
+    return dealt.groupBy("_i", "_j").applyInArrow(run, out)
+
+
 def relevance(distance: Column, path: Column, query: Column) -> Column:
     """From a squared distance to 0.1 to 1, with bonuses for the project's name, the suffix and readmes."""
     low, file, project = F.lower(query), F.lower(path), F.lower(F.split_part(path, F.lit("/"), F.lit(1)))

@@ -218,11 +218,10 @@ def g14(spark, sf):
     return extract.resolved_imports(extract.imports(c), c)
 
 
-@register("g21_vector_relations", f"WITH {_NEAR.format(_IP, 'DESC')} SELECT query_id AS source, vec_id AS target, round(d, 6) AS similarity FROM nr WHERE query_id <> vec_id AND rank <= 4 AND round(d, 9) >= 0.3")
+@register("g21_vector_relations", f"SELECT source, target, round(d, 6) AS similarity FROM (SELECT q.vec_id AS source, v.vec_id AS target, {_IP} AS d FROM embeddings q JOIN embeddings v ON q.vec_id < v.vec_id) WHERE round(d, 9) >= 0.3")
 def g21(spark, sf):
-    """The three nearest of every component (a stated set) that are alike enough."""
-    near = vectors.nearest(read(spark, sf, "embeddings"), vector_queries(spark, sf), 4, "ip")
-    return near.where("query_id <> vec_id and similarity >= 0.3").select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), F.round("similarity", 6).alias("similarity"))
+    """Every two components that are alike enough."""
+    return vectors.alike(read(spark, sf, "embeddings"), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @register("f7_chunks_of_file", sql("SELECT chunk_id, position FROM chunks WHERE file_path LIKE 'src1/en/%'", "chunks"))
