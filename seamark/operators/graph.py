@@ -85,10 +85,14 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end that is no node."""
+    """Edges with an end that is no node.
+
+    Edges move once for each end; those without a target, only, move once more,
+    so that one without both ends counts once.
+    """
     ids = nodes.select("node_id")
     start, end = edges["source_id"] == ids["node_id"], edges["target_id"] == ids["node_id"]
-    return edges.join(ids, start, "left_anti").unionByName(edges.join(ids, start, "left_semi").join(ids, end, "left_anti"))
+    return edges.join(ids, start, "left_anti").unionByName(edges.join(ids, end, "left_anti").join(ids, start, "left_semi"))
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int, forward: bool = True, types: tuple[str, ...] | None = None) -> DataFrame:

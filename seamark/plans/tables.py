@@ -102,8 +102,13 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_id, target_id, type; an edge once."""
-    parts = [read(spark, sf_dir, table).selectExpr(f"concat('{a}:', {ak}) AS source_id", f"concat('{b}:', {bk}) AS target_id", f"'{kind}' AS type") for table, a, ak, b, bk, kind in _LINKS]
-    return reduce(DataFrame.unionByName, [*parts[:-1], parts[-1].distinct()])
+    parts = []
+    for table, a, ak, b, bk, kind in _LINKS:
+        keys = read(spark, sf_dir, table)
+        # By their keys, which are shorter than what is made of them.
+        keys = keys.select(ak, bk).distinct() if table == "lineitem" else keys
+        parts.append(keys.selectExpr(f"concat('{a}:', {ak}) AS source_id", f"concat('{b}:', {bk}) AS target_id", f"'{kind}' AS type"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
