@@ -292,9 +292,25 @@ def ancestors(rows: DataFrame, depth: int = 10) -> DataFrame:
 
 
 def common_ancestor(rows: DataFrame, pairs: DataFrame, depth: int = 10) -> DataFrame:
-    """For pairs (a, b) the nearest common ancestor, if there is one."""
-    up = ancestors(rows, depth)
-    a = up.select(F.col("chunk_id").alias("a"), "ancestor_id", F.col("distance").alias("da"))
-    b = up.select(F.col("chunk_id").alias("b"), "ancestor_id", F.col("distance").alias("db"))
-    both = pairs.join(a, "a").join(b, ["b", "ancestor_id"])
-    return both.groupBy("a", "b").agg(F.min_by("ancestor_id", F.struct(F.col("da") + F.col("db"), "ancestor_id")).alias("ancestor_id"))
+    """For pairs (a, b) the nearest common ancestor, if there is one.
+
+    Pairs that have the same parents have the same answer, so only different
+    pairs of parents are looked at, and only these parents' ancestors; levels
+    end where there are no more.
+    """
+    up = rows.select(F.col("chunk_id").alias("_at"), F.col("parent_id").alias("_up")).where("_at is not null and _up is not null")
+    ends = pairs.join(up.select(F.col("_at").alias("a"), F.col("_up").alias("pa")), "a").join(up.select(F.col("_at").alias("b"), F.col("_up").alias("pb")), "b")
+    ends = written(ends.select("a", "b", "pa", "pb"))
+    few = written(ends.select("pa", "pb").distinct())
+    level = few.select(F.explode(F.array("pa", "pb")).alias("parent")).distinct().select("parent", F.col("parent").alias("ancestor_id"), F.lit(0).alias("distance"))
+    every = level
+    for d in range(1, depth):
+        level = written(level.join(up, F.col("ancestor_id") == F.col("_at")).select("parent", F.col("_up").alias("ancestor_id"), F.lit(d).alias("distance")).distinct())
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    a = every.select(F.col("parent").alias("pa"), "ancestor_id", F.col("distance").alias("da"))
+    b = every.select(F.col("parent").alias("pb"), "ancestor_id", F.col("distance").alias("db"))
+    order = F.struct((F.col("da") + F.col("db")).alias("steps"), "ancestor_id")
+    near = few.join(a, "pa").join(b, ["pb", "ancestor_id"]).groupBy("pa", "pb").agg(F.min(order).alias("nearest"))
+    return ends.join(written(near), ["pa", "pb"]).groupBy("a", "b").agg(F.min("nearest")["ancestor_id"].alias("ancestor_id"))
