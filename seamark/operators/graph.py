@@ -51,9 +51,42 @@ def in_project(column: Column, project: str) -> Column:
 
 
 def symbol_at(nodes: DataFrame, places: DataFrame) -> DataFrame:
-    """For each (file_path, line) the first symbol, by line, that covers it."""
-    both = places.join(nodes.select("file_path", "node_id", "line_start", "line_end"), "file_path").where("line between line_start and line_end")
-    return both.groupBy("file_path", "line").agg(F.min_by("node_id", F.struct("line_start", "node_id")).alias("node_id"))
+    """For each (file_path, line) the first symbol, by line, that covers it.
+
+    A symbol's lines are cut into runs of powers of two, at most two of each
+    size, and a line lies in one run of each size: so files with many symbols
+    are joined by equal runs, and a run keeps its first symbol only.
+    """
+    places = places.select("file_path", "line").where("file_path is not null and line is not null").distinct()
+    spans = nodes.select("file_path", "node_id", "line_start", "line_end").where("line_end >= line_start")
+    spans = spans.join(places.select("file_path").distinct(), "file_path", "left_semi")
+    longest = nodes.agg(F.max(F.col("line_end").cast("long") - F.col("line_start") + 1)).first()[0] or 1
+    sizes = F.array(*[F.lit(k) for k in range(max(1, longest).bit_length())])
+    runs = F.filter(
+        F.flatten(
+            F.transform(
+                sizes,
+                # First whole run of this size, and the end of the last; an odd one isn't part of a run of twice the size.
+                lambda k: F.transform(
+                    F.array(F.struct(_shifted(F.col("line_start").cast("long") + _power(k) - 1, k).alias("a"), _shifted(F.col("line_end").cast("long") + 1, k).alias("b"))),
+                    lambda x: F.array(F.when((x["a"] < x["b"]) & (x["a"] % 2 != 0), F.struct(k.alias("size"), x["a"].alias("run"))), F.when((x["a"] < x["b"]) & (x["b"] % 2 != 0), F.struct(k.alias("size"), (x["b"] - 1).alias("run")))),
+                )[0],
+            )
+        ),
+        lambda r: r.isNotNull(),
+    )
+    first = F.min(F.struct("line_start", "node_id")).alias("first")
+    own = spans.select("file_path", "line_start", "node_id", F.explode(runs).alias("r")).groupBy("file_path", "r.size", "r.run").agg(first)
+    asked = places.select("file_path", "line", F.explode(sizes).alias("size")).withColumn("run", _shifted(F.col("line").cast("long"), F.col("size")))
+    return asked.join(own, ["file_path", "size", "run"]).groupBy("file_path", "line").agg(F.min("first")["node_id"].alias("node_id"))
+
+
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+def _shifted(line: Column, k: Column) -> Column:
+    return F.call_function("shiftright", line, k)
 
 
 def find_nodes(nodes: DataFrame, terms: list[str] = (), types: list[str] = (), file_type: str | None = None, directory: str | None = None, project: str | None = None, limit: int | None = 100) -> DataFrame:
