@@ -11,7 +11,7 @@ from ..operators import related, scopes
 from ..sources.sinks import written
 from .queries_code import _IMPORTS, _LANG, CODE, _fill, _parts, code
 from .registry import register
-from .tables import read
+from .tables import read, spread
 
 _JAVA = """package web.shop;
 import java.util.List;
@@ -111,7 +111,7 @@ def sources(spark, sf) -> DataFrame:
 
     def one(table, key, parent, path, text, _):
         fill = lambda s: F.concat(*[F.col(key) if p == "\0k" else F.col(parent) if p == "\0p" else F.lit(p) for p in _parts(s)])
-        return read(spark, sf, table).select(fill(path).alias("file_path"), fill(text).alias("content"))
+        return spread(read(spark, sf, table).select(key, parent)).select(fill(path).alias("file_path"), fill(text).alias("content"))
 
     return reduce(DataFrame.unionByName, [one(*s) for s in _SOURCES])
 

@@ -40,6 +40,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that makes a file of each.
+TASK_ROWS = 10_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Short rows from which files are made, in tasks of about ``TASK_ROWS``: by their bytes, millions would lie in one task."""
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, file_path, text."""
     d = read(spark, sf_dir, "documents")
