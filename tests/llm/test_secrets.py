@@ -119,3 +119,19 @@ def test_threshold_of_a_tail():
     least = secrets.beyond(top, 1.0)
     # A tenth of a token in 100,000 is expected beyond ln(1,000,000).
     assert abs(least - np.log(1e6)) < 1.5 and secrets.beyond(top, 100.0) > least + 3 and secrets.beyond([3.0], 1.0) >= 3.0
+
+
+def test_every_token_and_finding_of_all_documents_is_learned_from(spark, docs, monkeypatch):
+    """More tokens than any sample of 4,000 examples a class; equal ones are one example, however the rows are dealt."""
+    texts = [" ".join(f"{i:04d}-{k:04d} plainword{'abcdefghij'[k]}" for k in range(10)) + f' token = "{i:08x}{i:032x}"' for i in range(500)] * 2
+    rows = secrets.examples(docs(texts))
+    found = {k: tuple(sum(r[i] for (_, label, _), r in secrets.counted(rows).items() if label == k) for i in (0, 1)) for k in range(5)}
+    assert found[secrets.DIGIT_TOKEN] == (5_000, 10_000) and found[secrets.PLAIN_TOKEN] == (10, 10_000) and found[secrets.FOUND][1] == 4_000
+    again = secrets.examples(docs(texts).repartition(7))
+    assert rows.exceptAll(again).isEmpty() and again.exceptAll(rows).isEmpty()
+    monkeypatch.setattr(secrets, "BLOCK", 150_000)
+    parts = secrets.examples(docs(texts))
+    dealt = secrets.counted(parts)
+    assert len({part for part, _, _ in dealt}) > 1 and sum(r[1] for r in dealt.values()) == sum(r[1] for r in secrets.counted(rows).values())
+    first, again = (secrets.taught(parts, secrets.Network(), 0, secrets.lent(parts)).flat() for _ in range(2))
+    assert (first == again).all() and (first != secrets.Network().flat()).any()
