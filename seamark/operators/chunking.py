@@ -7,9 +7,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..sources.sinks import BATCH_BYTES, bounded_batches
 
 CHUNK_SCHEMA = "file_path string, chunk_type string, start_line int, end_line int, function_name string, class_name string, imports array<string>, parent_context string, dependencies array<string>, docstring string, decorators array<string>, text string"
 
@@ -50,11 +55,39 @@ def line_of(text: Column, at: Column) -> Column:
 
 
 def lined_chunks(files: DataFrame, size: int = 400) -> DataFrame:
-    """Fixed chunks with their first and last line."""
-    with_whole = files.withColumn("_whole", F.col("text"))
-    out = fixed_chunks(with_whole, size)
-    out = out.withColumn("start_line", line_of(F.col("_whole"), F.col("position") * size).cast("int"))
-    return out.withColumn("end_line", (F.col("start_line") + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("int")).drop("_whole")
+    """Fixed chunks with their first and last line; a text is gone through once."""
+    rest = [c for c in files.columns if c != "text"]
+    given = bounded_batches(files.select(*rest, "text"))
+    out = StructType([*given.select(*rest).schema.fields, *StructType.fromDDL("position int, text string, start_line int, end_line int").fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, position, part, first, last = [], [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                kept = [c.take(pa.array(row, pa.int32())) for c in batch.columns[:-1]]
+                made = [pa.array(x, f.type) for x, f in zip((position, part, first, last), list(arrow)[-4:])]
+                found = pa.RecordBatch.from_arrays([*(k.cast(f.type) for k, f in zip(kept, arrow)), *made], schema=arrow)
+                for x in (row, position, part, first, last):
+                    x.clear()
+                return found
+
+            for r, text in enumerate(batch.column(len(rest)).to_pylist()):
+                line = 1
+                for i, at in enumerate(range(0, len(text or ""), size)):
+                    piece = text[at : at + size]
+                    row.append(r)
+                    position.append(i)
+                    part.append(piece)
+                    first.append(line)
+                    line += piece.count("\n")
+                    last.append(line)
+                    if len(row) * size >= BATCH_BYTES // 4:
+                        yield rows()
+            yield rows()
+
+    return given.mapInArrow(run, out)
 
 
 def lines(files: DataFrame, text: str = "content") -> DataFrame:

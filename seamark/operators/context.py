@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
-from ..sources.sinks import written
+from ..sources.sinks import bounded_batches, written
 from . import bm25, graph, serving
 
 # Score bonus by relation.
 BONUS = {"self": 0.3, "calls": 0.2, "inherits": 0.15, "imports": 0.1, "uses": 0.1}
 # End of fixed values.
 
+#: Characters of merged chunks that a task holds before they are sent.
+HELD = 4 << 20
+
 
 def within_budget(results: DataFrame, budget: int = 4000, reserve: int = 200, least: int = 100) -> DataFrame:
     """Per query the best results whose tokens fit, and the first that doesn't, cut, if over ``least`` tokens are left.
@@ -39,29 +44,50 @@ def merged_neighbours(chunks: DataFrame, gap: int = 5, most: int = 1000) -> Data
     """Chunks of a file (file_path, start_line, end_line, text, score) that lie within ``gap`` lines as one, up to ``most`` tokens.
 
     The token limit depends on what was merged before, so one pass in order of
-    lines decides; it sees lines and lengths only, a few numbers for each chunk
-    of one file.  Texts are put together by group, and no group is longer than
-    the limit, unless one chunk is.
+    lines decides.  A file's chunks come to one task, sorted, and go by one after
+    the other: texts move once, and a task holds those of one group, which is no
+    longer than the limit, unless one chunk is.
     """
     rows = chunks.select("file_path", "start_line", "end_line", "text", F.col("score").cast("double").alias("score"))
-    size = rows.select("file_path", "start_line", "end_line", F.length("text").alias("size"), F.xxhash64("text", "score").alias("h"))
-
-    def groups(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start_line", "ascending"), ("end_line", "ascending"), ("h", "ascending")])
-        out, group, last, length = [], -1, 0, 0
-        for start, end, n in zip(*(table[c].to_pylist() for c in ("start_line", "end_line", "size"))):
-            if group >= 0 and start - last <= gap and max(1, length // 4) + max(1, n // 4) < most:
-                last, length = max(last, end), length + 1 + n
-            else:
-                group, last, length = group + 1, end, n
-            out.append(group)
-        return table.select(["file_path", "start_line", "end_line", "h"]).append_column("group", pa.array(out, pa.int32()))
-
-    found = size.groupBy("file_path").applyInArrow(groups, "file_path string, start_line int, end_line int, h long, group int").dropDuplicates(["file_path", "start_line", "end_line", "h"])
-    both = rows.withColumn("h", F.xxhash64("text", "score")).join(found, ["file_path", "start_line", "end_line", "h"])
-    parts = F.array_sort(F.collect_list(F.struct("start_line", "end_line", "h", "text")))
-    merged = both.groupBy("file_path", "group").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.max("score").alias("score"))
-    return merged.select("file_path", "start_line", "end_line", "text", "score")
+    rows = rows.where("file_path is not null and start_line is not null and end_line is not null").withColumn("h", F.xxhash64("text", "score"))
+    dealt = bounded_batches(rows.repartition("file_path").sortWithinPartitions("file_path", "start_line", "end_line", "h").drop("h"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, first, last, length, texts, score = None, 0, 0, 0, [], None
+        out, held = [], 0
+
+        def close() -> None:
+            nonlocal held
+            out.append((file, first, last, "\n".join(t for t in texts if t is not None), score))
+            held += len(out[-1][3])
+
+        def sent() -> pa.RecordBatch:
+            nonlocal held
+            found = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], names=["file_path", "start_line", "end_line", "text", "score"])
+            out.clear()
+            held = 0
+            return found
+
+        for batch in batches:
+            for path, start, end, text, value in zip(*(c.to_pylist() for c in batch.columns)):
+                n = len(text or "")
+                if path == file and start - last <= gap and max(1, length // 4) + max(1, n // 4) < most:
+                    last, length = max(last, end), length + 1 + n
+                    texts.append(text)
+                    if value is not None and (score is None or value > score):
+                        score = value
+                    continue
+                if texts:
+                    close()
+                    if held >= HELD:
+                        yield sent()
+                file, first, last, length, texts, score = path, start, end, n, [text], value
+        if texts:
+            close()
+        if out:
+            yield sent()
+
+    return dealt.mapInArrow(merge, "file_path string, start_line int, end_line int, text string, score double")
 
 
 def graph_expanded(hits: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
