@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -311,15 +314,61 @@ def hierarchy(chunks: DataFrame) -> DataFrame:
     return roots.unionByName(leaves)
 
 
+#: Terms whose cell a task remembers; cells counted at once.
+KNOWN_TERMS, CELLS_AT_ONCE = 300_000, 1 << 20
+
+
 def hashed_embeddings(chunks: DataFrame, width: int = 64, key: str = "chunk_id") -> DataFrame:
-    """Unit vectors of hashed terms: stands in where no embedding model is at hand; a text without terms has zeros."""
+    """Unit vectors of hashed terms: stands in where no embedding model is at hand; a text without terms has zeros.
+
+    A chunk's cells stay together, so one row a chunk is shuffled, and rows of
+    the same key, which are one chunk, lie side by side when they are counted.
+    """
     from ..functions.text import terms
 
-    # A term's cell is made once: as a column of the chunk it would be made again for every cell.
-    found = chunks.select(key, F.explode_outer(terms(F.col("text"))).alias("term"))
-    cell = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % width).cast("int")
-    counts = found.groupBy(key, cell.alias("cell")).agg(F.count("*").cast("double").alias("n"))
-    # At most ``width`` cells a chunk; a chunk without terms has one without a number.
-    held = counts.groupBy(key).agg(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n"))).alias("v"), F.sqrt(F.sum(F.when(F.col("cell").isNotNull(), F.col("n") * F.col("n")))).alias("norm"))
-    filled = held.select(key, F.map_from_entries("v").alias("v"), "norm")
-    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("v", i) / F.col("norm"), F.lit(0.0)).cast("float")).alias("embedding"))
+    found = bounded_batches(chunks.select(key, terms(F.col("text")).alias("terms")))
+    kind = found.schema[key].dataType.simpleString()
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            if len(known) > KNOWN_TERMS:
+                known.clear()
+            own = coded.dictionary.to_pylist()
+            for t in own:
+                if t not in known:
+                    known[t] = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big") % width
+            cell = np.array([known[t] for t in own], np.int32)[np.asarray(coded.indices)]
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(cell, pa.int32()))], names=[key, "cells"])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(keys: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            norm = np.sqrt((n * n).sum(1, keepdims=True))
+            unit = (n / np.where(norm > 0, norm, 1)).astype(np.float32)
+            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * width, pa.array(unit.ravel()))], names=[key, "embedding"])
+
+        last, held = None, None  # the last key, which may go on, and its counts
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, CELLS_AT_ONCE // width)):
+                some = batch.slice(at, step)
+                keys, size = some.column(0), np.asarray(pc.list_value_length(some.column(1)))
+                place = np.repeat(np.arange(len(size)), size) * width + np.asarray(some.column(1).flatten())
+                n = np.bincount(place, minlength=len(size) * width).reshape(-1, width).astype(np.float64)
+                names = keys.to_pylist()
+                first = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
+                n, keys = np.add.reduceat(n, first), keys.take(pa.array(first))
+                if last is not None:
+                    if last[0].as_py() == names[0]:
+                        n[0] += held[0]
+                    else:
+                        yield out(last, held)
+                yield out(keys[:-1], n[:-1])
+                last, held = keys[-1:], n[-1:]
+        if last is not None:
+            yield out(last, held)
+
+    rows = found.mapInArrow(cells, f"`{key}` {kind}, cells array<int>").repartition(key).sortWithinPartitions(key)
+    return rows.mapInArrow(vectors, f"`{key}` {kind}, embedding array<float>")
