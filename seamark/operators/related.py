@@ -17,6 +17,8 @@ CONFIGURATION = r"^(settings.*|config.*|\.env.*|.*\.conf|.*\.ini|.*\.config\.js|
 
 #: What marks a test file's stem.
 TEST_MARK = r"(?i)^test_|_test$|\.test$|\.spec$"
+#: Files of a task.
+TASK_FILES = 10_000
 ARMS = ("imported by", "imports", "test", "configuration", "name")
 
 
@@ -73,8 +75,11 @@ def related(files: DataFrame, targets: DataFrame, most: int = 5) -> DataFrame:
     limits what a key has before it meets the targets, so that a large folder
     or a common stem costs no more than a small one.
     """
+    # Tasks for parts of equal size: by bytes of the short paths, few tasks would hold and sort all that is made of them.
+    tasks = -(-files.count() // TASK_FILES) or 1
     own = targets.select(F.col("file_path").alias("target")).distinct()
     paths = files.select("file_path")
+    spread = paths.withColumn("_t", F.pmod(F.xxhash64("file_path"), F.lit(8 * tasks))).repartition(tasks, "_t")
     edges = import_edges(files)
     keyed = lambda rows, key: first(rows, key, most + 1)  # one more, as the target itself may be among them
 
@@ -89,7 +94,7 @@ def related(files: DataFrame, targets: DataFrame, most: int = 5) -> DataFrame:
     near = own.withColumn("f", places).join(keyed(settings.select("file_path", folder(F.col("file_path")).alias("f")), ["f"]), "f")
     words = settings.select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_-]+"), F.lit(0)))).alias("s"))
     named = own.withColumn("s", stem(F.col("target"))).join(keyed(words, ["s"]), "s")
-    config = near.select("target", "file_path").unionByName(named.select("target", "file_path")).distinct().select("target", F.lit("configuration").alias("arm"), "file_path")
+    config = near.select("target", "file_path").unionByName(named.select("target", "file_path")).select("target", F.lit("configuration").alias("arm"), "file_path")
 
     # A file's keys: its stem without a part before or after an underscore, and all beginnings of it.
     s = stem(F.col("file_path"))
@@ -98,11 +103,15 @@ def related(files: DataFrame, targets: DataFrame, most: int = 5) -> DataFrame:
     tails = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(F.lit("part").alias("how"), F.array_join(F.slice(parts, n + 1, F.size(parts) - n), "_").alias("k")))
     begins = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda n: F.struct(F.lit("beginning").alias("how"), F.substring(s, F.lit(1), n).alias("k")))
     keys = F.array_distinct(F.when(F.size(parts) > 1, F.concat(heads, tails, begins)).otherwise(begins))
-    alike = keyed(paths.select("file_path", folder(F.col("file_path")).alias("f"), F.explode(keys).alias("x")).select("file_path", "f", "x.how", "x.k"), ["f", "how", "k"])
+    every = spread.select("_t", "file_path", folder(F.col("file_path")).alias("f"), F.explode(keys).alias("x")).select("_t", "file_path", "f", "x.how", "x.k")
+    # A task limits what it makes of its own files; what is left of a key meets in one of as many tasks.
+    alike = keyed(keyed(every, ["_t", "f", "how", "k"]).drop("_t").repartition(tasks, "f", "how", "k"), ["f", "how", "k"])
     t = stem(F.col("target"))
     begin = F.when(F.length(t) > 3, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
     asked = own.select("target", folder(F.col("target")).alias("f"), F.explode(F.array(F.struct(F.lit("part").alias("how"), t.alias("k")), F.struct(F.lit("beginning").alias("how"), begin.alias("k")))).alias("x")).select("target", "f", "x.how", "x.k")
-    like = asked.join(alike, ["f", "how", "k"]).select("target", F.lit("name").alias("arm"), "file_path").distinct()
+    like = asked.join(alike, ["f", "how", "k"]).select("target", F.lit("name").alias("arm"), "file_path")
 
-    every = reduce(DataFrame.unionByName, [into, out_of, tests, config, like]).where("target <> file_path")
-    return every.withColumn("rank", F.row_number().over(W.partitionBy("target", "arm").orderBy("file_path"))).where(F.col("rank") <= most)
+    # Each arm is dealt out by itself, else a task of the union would hold what all of them sort.
+    into, out_of, tests, config, like = (x.where("target <> file_path").repartition(tasks, "target", "arm") for x in (into, out_of, tests, config, like))
+    arms = reduce(DataFrame.unionByName, [into, out_of, tests, config.distinct(), like.distinct()])
+    return arms.withColumn("rank", F.row_number().over(W.partitionBy("target", "arm").orderBy("file_path"))).where(F.col("rank") <= most)
